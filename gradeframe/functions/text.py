@@ -48,7 +48,7 @@ def without(tokens: Column, stopwords: Sequence[str]) -> Column:
 
 def keyword_tokens(text: Column) -> Column:
     """Lower-case words of ``a-z``; only the space separates, all else is deleted."""
-    return F.split(F.regexp_replace(F.lower(text), "[^a-z ]", ""), " +")
+    return F.split(F.regexp_replace(F.lower(text), "[^a-z ]+", ""), " +")
 
 
 def keyword_terms(text: Column, stopwords: Sequence[str]) -> Column:
@@ -57,9 +57,18 @@ def keyword_terms(text: Column, stopwords: Sequence[str]) -> Column:
 
 
 def class_tokens(text: Column) -> Column:
-    """Tokens by character class, reduced to ``a-z0-9``; may hold empty strings."""
+    """Tokens by character class, reduced to ``a-z0-9``; may hold empty strings.
+
+    A token of letters or digits with as many bytes as characters is plain
+    already, so only the others go through the second pattern.
+    """
     runs = F.regexp_extract_all(F.lower(text), F.lit(TOKEN_RUN), F.lit(0))
-    return F.transform(runs, lambda t: F.regexp_replace(t, "[^a-z0-9]", ""))
+    return F.transform(
+        runs,
+        lambda t: F.when(F.octet_length(t) == F.length(t), t).otherwise(
+            F.regexp_replace(t, "[^a-z0-9]", "")
+        ),
+    )
 
 
 def drop_short(tokens: Column) -> Column:
@@ -69,7 +78,9 @@ def drop_short(tokens: Column) -> Column:
 
 def clean_tokens(text: Column, stopwords: Sequence[str]) -> Column:
     """Class tokens without stopwords and without one-character tokens."""
-    return drop_short(without(class_tokens(text), stopwords))
+    if not stopwords:
+        return drop_short(class_tokens(text))
+    return F.filter(class_tokens(text), lambda t: (F.length(t) > 1) & ~t.isin(*stopwords))
 
 
 def strip_fence(text: Column, trim=trim_control) -> Column:

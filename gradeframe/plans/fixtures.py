@@ -13,6 +13,7 @@ from ..functions.stopwords import BASE
 from ..operators.attempts import JUDGE_CHAIN
 from ..operators.requests import ANSWER_FIELD, QUERY_FIELD, REASON_FIELD, SCORE_FIELD
 from ..sources.pairs import neighbour_pairs, turn_pairs
+from ..sources.spread import spread
 
 CUSTOM_MODEL = "custom-model"
 
@@ -22,11 +23,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents")
+    return spread(table(spark, folder, "documents"))
 
 
 def pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return turn_pairs(table(spark, folder, "conversations"))
+    return turn_pairs(spread(table(spark, folder, "conversations")))
 
 
 def document_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -198,15 +199,19 @@ def preferred_models(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, folder: str) -> DataFrame:
-    """Attempt log: five attempts on each of four models for every document."""
+    """Attempt log: up to five attempts on each of four models for every document.
+
+    For some documents the log breaks off after two attempts per model.
+    """
     models = F.array(*[F.lit(m) for m in [*JUDGE_CHAIN, CUSTOM_MODEL]])
+    logged = F.when(F.expr("doc_id div 7") % 4 == 0, 2).otherwise(5)
     rows = (
         preferred_models(spark, folder)
         .select("*", F.posexplode(models).alias("_m", "model"))
-        .withColumn("attempt_no", F.explode(F.sequence(F.lit(1), F.lit(5))))
+        .withColumn("attempt_no", F.explode(F.sequence(F.lit(1), logged)))
         .withColumn(
             "_mix",
-            (F.col("doc_id") * 7 + F.col("_m") * 5 + F.col("attempt_no") * 3 + F.expr("doc_id div 16")) % 23,
+            (F.col("doc_id") * 7 + F.col("_m") * 5 + F.col("attempt_no") * 2 + F.expr("doc_id div 16")) % 23,
         )
     )
     mix = F.col("_mix")

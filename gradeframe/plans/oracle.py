@@ -324,9 +324,6 @@ ORACLES["parse_chat"] = (
     f"WITH {CHAT_REPLIES}, {CHAT_PARSED} SELECT doc_id, content, parse_error, error_class FROM parsed"
 )
 
-_BLOCK = f"""'{{"type":"output_text","text":' || {{text}} || '}}'"""
-
-
 def _block(text: str) -> str:
     return f"""'{{"type":"output_text","text":' || {text} || '}}'"""
 
@@ -457,8 +454,9 @@ preferred AS (
 ATTEMPTS = f"""{PREFERRED},
 tries AS (
   SELECT p.*, m, {lits([*JUDGE_CHAIN, CUSTOM_MODEL])}[m + 1] AS model, CAST(attempt_no AS INTEGER) AS attempt_no,
-    (doc_id * 7 + m * 5 + attempt_no * 3 + doc_id // 16) % 23 AS mix
-  FROM preferred p, range(4) r(m), range(1, 6) s(attempt_no)),
+    (doc_id * 7 + m * 5 + attempt_no * 2 + doc_id // 16) % 23 AS mix
+  FROM preferred p, range(4) r(m), range(1, 6) s(attempt_no)
+  WHERE (doc_id // 7) % 4 <> 0 OR attempt_no <= 2),
 replies AS (
   SELECT *, CASE WHEN mix < 6 THEN 429 WHEN mix < 11 THEN 500 WHEN mix = 11 THEN NULL WHEN mix < 14 THEN 404 ELSE 200 END AS http_status,
     CASE mix WHEN 0 THEN '2' WHEN 2 THEN 'abc' WHEN 3 THEN '45' WHEN 4 THEN ' 7 ' WHEN 5 THEN '-1' END AS retry_after,

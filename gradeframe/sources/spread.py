@@ -1,0 +1,19 @@
+"""Give a small input enough tasks for work that is heavy per byte."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(table: DataFrame, tasks_per_core: int = 2) -> DataFrame:
+    """The table over at least a few tasks per core.
+
+    A parquet row group is read by one task, so a small file leaves most cores
+    idle while one of them tokenises every text. A table that already has as many
+    input splits as the cluster has cores is returned as it is: large inputs are
+    never shuffled for this.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() >= cores:
+        return table
+    return table.repartition(cores * tasks_per_core)
