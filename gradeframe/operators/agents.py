@@ -11,6 +11,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .staging import evaluate_once
+
 # The tool catalogue, the argument compared, the claim looked for.
 TOOLS = ("search_order", "create_refund", "check_policy")
 ID_ARGUMENT = "order_id"
@@ -37,7 +39,10 @@ def _first_position(calls: Column, failed) -> Column:
 
 
 def with_unknown_tool(runs: DataFrame, tools: Iterable[str] | DataFrame = TOOLS, key: str = "test_id") -> DataFrame:
-    """Adds ``unknown_pos`` and ``unknown_tool`` of the first call outside the catalogue."""
+    """Adds ``unknown_pos`` and ``unknown_tool`` of the first call outside the catalogue.
+
+    ``key`` names one run; it is used only for a catalogue too long for the plan.
+    """
     known = _literal_tools(tools)
     if known is not None:
         unknown = _first_position(
@@ -83,16 +88,25 @@ def with_backend_flag(table: DataFrame, backend: DataFrame, key: str = "expected
     """Adds ``in_backend``: the row's id is in the backend's ``order_id`` column.
 
     A short backend is broadcast after its size is checked. A long one is met by
-    a semi and an anti join on the same two shuffles (the exchanges are reused):
-    both kinds let the adaptive skew join split a hot id on the left, and
-    repeated ids on the right need no pass of their own.
+    a semi and an anti join over the same two shuffles. Both kinds let the
+    adaptive skew join split a hot id on the left, and repeated ids on the right
+    need no pass of their own. The marked key is never null and the flag is no
+    literal, so neither join prunes or filters its input differently and the
+    exchanges are reused.
     """
-    ids = backend.select(F.col("order_id").alias(key)).where(F.col(key).isNotNull())
+    ids = backend.select("order_id").where("order_id is not null")
     if len(ids.take(MAX_BROADCAST_IDS + 1)) <= MAX_BROADCAST_IDS:
-        flagged = F.broadcast(ids.distinct().withColumn("_hit", F.lit(True)))
-        return table.join(flagged, key, "left").withColumn("in_backend", F.col("_hit").isNotNull()).drop("_hit")
-    found = table.join(ids, key, "left_semi").withColumn("in_backend", F.lit(True))
-    missing = table.join(ids, key, "left_anti").withColumn("in_backend", F.lit(False))
+        flagged = ids.distinct().select(F.col("order_id").alias(key), F.lit(True).alias("_hit"))
+        joined = table.join(F.broadcast(flagged), key, "left")
+        return joined.withColumn("in_backend", F.col("_hit").isNotNull()).drop("_hit")
+
+    def marked(column: str) -> Column:
+        return F.coalesce(F.concat(F.lit("="), F.col(column)), F.lit("-"))
+
+    left = table.withColumn("_id", marked(key))
+    right = ids.select(marked("order_id").alias("_id"))
+    found = evaluate_once(left.join(right, "_id", "left_semi"), drop=("_id",), in_backend=F.lit(True))
+    missing = evaluate_once(left.join(right, "_id", "left_anti"), drop=("_id",), in_backend=F.lit(False))
     return found.unionByName(missing)
 
 

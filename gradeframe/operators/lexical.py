@@ -124,48 +124,52 @@ def with_cosine_verdict(pairs: DataFrame, stopwords: Stopwords = None) -> DataFr
 
 
 def exploded_terms(pairs: DataFrame, key: str) -> DataFrame:
-    """Long form ``(key, term, in_expected, in_actual)`` of both sides' cleaned tokens."""
-
-    def side(column: str, expected: int) -> DataFrame:
-        tokens = text.clean_tokens(F.col(column), [])
-        return pairs.select(key, F.explode(tokens).alias("term")).select(
-            key, "term",
-            F.lit(expected).cast("bigint").alias("in_expected"),
-            F.lit(1 - expected).cast("bigint").alias("in_actual"),
+    """Long form of both sides' cleaned tokens in one pass over the pairs.
+
+    Each pair adds one row with an empty term that says which texts are present,
+    so a pair without tokens is not lost.
+    """
+
+    def row(term: Column, e: int, a: int, has_e: Column, has_a: Column) -> Column:
+        return F.struct(
+            term.alias("term"),
+            F.lit(e).cast("bigint").alias("e"), F.lit(a).cast("bigint").alias("a"),
+            has_e.alias("has_e"), has_a.alias("has_a"),
         )
 
-    return side("expected", 1).unionByName(side("actual", 0))
+    def side(column: str, e: int, a: int) -> Column:
+        tokens = F.coalesce(text.clean_tokens(F.col(column), []), F.array().cast("array<string>"))
+        return F.transform(tokens, lambda t: row(t, e, a, F.lit(False), F.lit(False)))
+
+    present = row(F.lit(""), 0, 0, F.col("expected").isNotNull(), F.col("actual").isNotNull())
+    rows = [F.array(present), side("expected", 1, 0), side("actual", 0, 1)]
+    return pairs.select(key, F.inline(F.concat(*rows)))
 
 
 def cosine_by_terms(pairs: DataFrame, stopwords: DataFrame, key: str = "pair_id") -> DataFrame:
     """Cosine as joins and aggregates, for a stopword table of any length.
 
-    Counts are combined map-side on ``(key, term)`` first, so a long text or a
-    hot term shrinks before it is shuffled. ``key`` must be unique in ``pairs``.
+    Counts are combined on ``(key, term)`` first: a pair's tokens meet in the
+    task that reads the pair, so repeats never reach the shuffle, and a hot term
+    costs one row per pair before the stopword join.
     """
     counts = (
-        drop_stopwords(exploded_terms(pairs, key), stopwords)
+        exploded_terms(pairs, key)
         .groupBy(key, "term")
-        .agg(F.sum("in_expected").alias("e"), F.sum("in_actual").alias("a"))
+        .agg(
+            F.sum("e").alias("e"), F.sum("a").alias("a"),
+            F.max("has_e").alias("has_e"), F.max("has_a").alias("has_a"),
+        )
     )
-    norms = counts.groupBy(key).agg(
+    kept = drop_stopwords(counts, stopwords.where("word <> ''"))
+    norms = kept.groupBy(key).agg(
         F.sum(F.col("e") * F.col("e")).alias("ee"),
         F.sum(F.col("a") * F.col("a")).alias("aa"),
         F.sum((F.col("e") + F.col("a")) * (F.col("e") + F.col("a"))).alias("both"),
+        F.max("has_e").alias("has_e"),
+        F.max("has_a").alias("has_a"),
     )
-
-    def norm(column: str, source: str) -> Column:
-        return F.when(F.col(source).isNotNull(), F.coalesce(F.col(column), F.lit(0).cast("bigint")))
-
-    # Only the key and two null flags travel to the join, never the texts.
-    flags = pairs.select(
-        key,
-        F.when(F.col("expected").isNotNull(), True).alias("expected"),
-        F.when(F.col("actual").isNotNull(), True).alias("actual"),
-    )
-    return flags.join(norms, key, "left").select(
-        key,
-        scores.cosine_from_squares(
-            norm("ee", "expected"), norm("aa", "actual"), F.coalesce("both", F.lit(0).cast("bigint"))
-        ).alias("cosine"),
+    cosine = scores.cosine_from_squares(
+        F.when(F.col("has_e"), F.col("ee")), F.when(F.col("has_a"), F.col("aa")), F.col("both")
     )
+    return norms.select(key, cosine.alias("cosine"))
