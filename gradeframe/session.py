@@ -7,13 +7,15 @@ from pyspark.sql import SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
-def local_session(name: str = "gradeframe", cores: str = "*", memory: str = "8g") -> SparkSession:
+def local_session(
+    name: str = "gradeframe", cores: str = "*", memory: str = "8g", checkpoint_dir: str | None = None
+) -> SparkSession:
     """A session for tests and benchmarks; on a cluster use the one you are given.
 
     Adaptive execution sizes the shuffles at run time, so the partition count
     here is only the starting point for a single machine.
     """
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.driver.memory", memory)
@@ -23,8 +25,10 @@ def local_session(name: str = "gradeframe", cores: str = "*", memory: str = "8g"
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if checkpoint_dir:
+        builder = builder.config(CHECKPOINT_KEY, checkpoint_dir)
+    return builder.getOrCreate()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -10,7 +11,8 @@ from gradeframe.session import local_session  # noqa: E402
 
 def pytest_configure(config):
     # Column literals at module level need a session while tests are collected.
-    local_session("gradeframe-tests", cores="4", memory="4g")
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    local_session("gradeframe-tests", cores="4", memory="4g", checkpoint_dir=folder)
 
 
 @pytest.fixture(scope="session")
