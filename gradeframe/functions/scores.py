@@ -17,24 +17,22 @@ def containment_pct(expected_terms: Column, actual_terms: Column) -> Column:
 def sum_of_squares(tokens: Column) -> Column:
     """Sum over distinct tokens of count squared, by run length over the sorted array.
 
-    The k-th repeat of a token adds ``2k - 1``, and those odd numbers add up to
-    the square of the count.
+    One more of the same token turns ``run^2`` into ``(run + 1)^2``, which is
+    ``2 run + 1`` more; a new token adds one.
     """
-    start = F.struct(
-        F.lit(None).cast("string").alias("token"),
-        F.lit(0).cast("bigint").alias("run"),
-        F.lit(0).cast("bigint").alias("total"),
-    )
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+
+    def state(token: Column, run: Column, total: Column) -> Column:
+        return F.struct(token.alias("token"), run.alias("run"), total.alias("total"))
 
-    def add(state: Column, token: Column) -> Column:
-        run = F.when(state.token == token, state.run + 1).otherwise(F.lit(1).cast("bigint"))
-        return F.struct(
-            token.alias("token"),
-            run.alias("run"),
-            (state.total + run * 2 - 1).alias("total"),
-        )
+    def add(so_far: Column, token: Column) -> Column:
+        return F.when(
+            so_far.token == token,
+            state(token, so_far.run + 1, so_far.total + so_far.run * 2 + 1),
+        ).otherwise(state(token, one, so_far.total + 1))
 
-    return F.aggregate(F.sort_array(tokens), start, add, lambda state: state.total)
+    start = state(F.lit(None).cast("string"), zero, zero)
+    return F.aggregate(F.sort_array(tokens), start, add, lambda end: end.total)
 
 
 def cosine_from_squares(expected_sq: Column, actual_sq: Column, both_sq: Column) -> Column:

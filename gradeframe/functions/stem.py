@@ -45,6 +45,8 @@ def _longest(suffixes) -> re.Pattern:
 
 
 _STEP_2, _STEP_3, _STEP_4 = _longest(STEP_2), _longest(STEP_3), _longest(STEP_4)
+# A word without any of these endings is its own stem.
+_ANY_ENDING = "(?:" + "|".join(["s", "ed", "ing", "y", "e", "ll", *STEP_2, *STEP_3, *STEP_4]) + ")$"
 # In a shape string: v for a vowel, c for a consonant.
 _VC = re.compile("v+c+")
 
@@ -133,8 +135,10 @@ def porter_stem(word: str) -> str:
 
 def _stem_values(values: pa.Array) -> pa.Array:
     coded = values.dictionary_encode()
-    stems = pa.array([porter_stem(w) for w in coded.dictionary.to_pylist()], pa.string())
-    return stems.take(coded.indices)
+    words = coded.dictionary.cast(pa.string())
+    changing = pc.match_substring_regex(words, _ANY_ENDING)
+    stems = pa.array([porter_stem(w) for w in words.filter(changing).to_pylist()], pa.string())
+    return pc.replace_with_mask(words, changing, stems).take(coded.indices)
 
 
 @F.arrow_udf(T.StringType())

@@ -39,13 +39,19 @@ def with_containment(
 
 
 def _cosine_of(tokens: DataFrame) -> DataFrame:
-    """``cosine`` from token arrays ``_expected`` and ``_actual``."""
+    """``cosine`` from token arrays ``_expected`` and ``_actual``.
+
+    Texts without a common token need no third fold: their norms just add up.
+    """
+    both = F.when(
+        F.arrays_overlap("_expected", "_actual"), scores.sum_of_squares(F.concat("_expected", "_actual"))
+    ).otherwise(F.col("_e") + F.col("_a"))
     return (
         tokens.withColumns({
             "_e": scores.sum_of_squares(F.col("_expected")),
             "_a": scores.sum_of_squares(F.col("_actual")),
-            "_both": scores.sum_of_squares(F.concat("_expected", "_actual")),
         })
+        .withColumn("_both", both)
         .withColumn("cosine", scores.cosine_from_squares(F.col("_e"), F.col("_a"), F.col("_both")))
         .drop("_expected", "_actual", "_e", "_a", "_both")
     )
@@ -63,14 +69,26 @@ def with_cosine(pairs: DataFrame, stopwords: Stopwords = None) -> DataFrame:
 
 
 def with_stemmed_cosine(pairs: DataFrame, stopwords: Stopwords = None) -> DataFrame:
-    """Adds ``cosine`` over stemmed tokens: stopword test, then stem, then length test."""
+    """Adds ``cosine`` over stemmed tokens: stopword test, then stem, then length test.
+
+    Both sides go to Python as one array, so a word they share is stemmed once.
+    """
     words = as_words(stopwords)
-    return _cosine_of(
+    stems = (
         pairs.withColumns({
-            "_expected": text.drop_short(stemmed(F.col("expected"), words)),
-            "_actual": text.drop_short(stemmed(F.col("actual"), words)),
+            "_expected": text.without(text.class_tokens(F.col("expected")), words),
+            "_actual": text.without(text.class_tokens(F.col("actual")), words),
+        })
+        .withColumn("_stems", stem_tokens(F.concat("_expected", "_actual")))
+        .withColumns({
+            "_expected": F.slice("_stems", 1, F.size("_expected")),
+            "_actual": F.slice("_stems", F.size("_expected") + 1, F.size("_actual")),
+        })
+        .withColumns({
+            "_expected": text.drop_short(F.col("_expected")), "_actual": text.drop_short(F.col("_actual")),
         })
     )
+    return _cosine_of(stems).drop("_stems")
 
 
 def stemmed(column: Column, words: list[str]) -> Column:

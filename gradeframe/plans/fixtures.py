@@ -298,7 +298,7 @@ def _expected_tools() -> Column:
 def cases(spark: SparkSession, folder: str) -> DataFrame:
     """One test case per order."""
     missing = F.col("o_orderkey") % 29 == 0
-    return table(spark, folder, "orders").select(
+    return spread(table(spark, folder, "orders")).select(
         F.concat(F.lit("T"), F.col("o_orderkey").cast("string")).alias("test_id"),
         F.concat(F.lit("Refund my order "), _order_id()).alias("input"),
         _expected_tools().alias("expected_tools"),
@@ -336,7 +336,7 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
     answer = F.when(
         key % 4 < 3, F.concat(F.lit("Refund has been successfully created for order "), _order_id())
     ).otherwise("Your refund is being checked.")
-    return table(spark, folder, "orders").select(
+    return spread(table(spark, folder, "orders")).select(
         F.concat(F.lit("T"), key.cast("string")).alias("test_id"),
         calls.alias("tool_calls"),
         answer.alias("final_answer"),
