@@ -61,3 +61,26 @@ def test_one_python_stage_and_no_shuffle(spark):
     scored = lexical.with_stemmed_cosine(frame).select(F.col("cosine"))
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
+
+
+def test_against_the_sql_stemmer():
+    """The SQL twin marks vowels by patterns and shares only the suffix tables."""
+    import random
+
+    import duckdb
+    import pyarrow as pa
+
+    from gradeframe.functions.stem import STEP_2, STEP_3, STEP_4
+    from gradeframe.plans.oracle import STEMS
+
+    rng = random.Random(11)
+    ends = [*STEP_2, *STEP_3, *STEP_4, "s", "ed", "ing", "y", "eed", "ies", "sses", "e", "ll", ""]
+    words = {
+        "".join(rng.choice("aeiouybcdlstzwxnr") for _ in range(rng.randint(0, 6)))
+        + rng.choice(ends) + rng.choice(["", "", "s", "ed", "ing", "ly"])
+        for _ in range(30_000)
+    } - {""}
+    connection = duckdb.connect()
+    connection.register("tokens", pa.table({"term": sorted(words)}))
+    stems = dict(connection.sql(f"WITH {STEMS} SELECT term, stem FROM stems").fetchall())
+    assert {w: porter_stem(w) for w in words} == stems
