@@ -50,8 +50,3 @@ def split_rejects(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows that passed and rows that did not; together they are the input."""
     good = checked.where("input_error is null").drop("input_error", "error_kind")
     return good, checked.where("input_error is not null")
-
-
-def typed_request(table: DataFrame, casts: dict[str, str]) -> DataFrame:
-    """Casts named columns; a value that cannot be read becomes null and fails its rule."""
-    return table.withColumns({name: F.col(name).try_cast(kind) for name, kind in casts.items()})

@@ -62,7 +62,7 @@ def judge_inputs(spark: SparkSession, folder: str) -> DataFrame:
     n = F.col("doc_id")
     none = F.lit(None).cast("string")
     return documents(spark, folder).select(
-        "doc_id",
+        n.alias("pair_id"),
         _cases(n % 11, {0: none, 1: F.lit(" \t\n")}, F.col("text")).alias("expected"),
         _cases(n % 13, {0: F.lit("")}, F.col("source")).alias("actual"),
         _cases(n % 17, {0: F.lit(" ")}, F.lit("Compare both answers.")).alias("prompt"),

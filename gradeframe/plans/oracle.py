@@ -264,7 +264,7 @@ ORACLES["cosine_stemmed_documents"] = (
 
 JUDGE_INPUTS = """
 inputs AS (
-  SELECT doc_id,
+  SELECT CAST(doc_id AS VARCHAR) AS pair_id,
     CASE doc_id % 11 WHEN 0 THEN NULL WHEN 1 THEN ' ' || chr(9) || chr(10) ELSE text END AS expected,
     CASE doc_id % 13 WHEN 0 THEN '' ELSE source END AS actual,
     CASE doc_id % 17 WHEN 0 THEN ' ' ELSE 'Compare both answers.' END AS prompt,
@@ -279,7 +279,7 @@ checked AS (
       THEN 'Similarity_Threshold must be an integer between 0 and 100.' END AS input_error
   FROM inputs)""".format(expected=blank("expected"), actual=blank("actual"), prompt=blank("prompt"))
 ORACLES["judge_input_rules"] = f"""
-WITH {JUDGE_INPUTS} SELECT doc_id, threshold, input_error,
+WITH {JUDGE_INPUTS} SELECT pair_id, threshold, input_error,
   CASE WHEN input_error IS NOT NULL THEN 'INPUT' END AS error_kind FROM checked"""
 
 DOCUMENT_BYTES = """
@@ -521,9 +521,9 @@ SELECT doc_id, CAST(i AS INTEGER) AS pos, l[i + 1] AS line FROM (SELECT doc_id,
 ORACLES["judge_verdict"] = f"""
 WITH {JUDGE_INPUTS}, {CHAT_JUDGED},
 joined AS (
-  SELECT c.doc_id, c.threshold, CASE WHEN usable THEN n END AS judge_score, CASE WHEN usable THEN rt END AS reason
-  FROM checked c JOIN scored s ON s.doc_id = c.doc_id WHERE c.input_error IS NULL)
-SELECT doc_id, judge_score, threshold, len(string_split(regexp_replace(reason, '\\n+$', ''), chr(10))) AS n_lines,
+  SELECT c.pair_id, c.threshold, CASE WHEN usable THEN n END AS judge_score, CASE WHEN usable THEN rt END AS reason
+  FROM checked c JOIN scored s ON CAST(s.doc_id AS VARCHAR) = c.pair_id WHERE c.input_error IS NULL)
+SELECT pair_id, judge_score, threshold, len(string_split(regexp_replace(reason, '\\n+$', ''), chr(10))) AS n_lines,
   CASE WHEN judge_score >= threshold THEN 'PASS' ELSE 'FAIL' END AS status,
   CASE WHEN judge_score IS NULL THEN 'Error: no valid reply'
     WHEN judge_score >= threshold THEN 'PASS - Similarity Score: ' || judge_score || '%'
@@ -557,9 +557,22 @@ _HTTP = """CASE WHEN http_status IS NULL THEN 'NETWORK' WHEN http_status BETWEEN
     WHEN http_status = 429 THEN 'RATE_LIMIT' WHEN http_status >= 500 THEN 'SERVER' ELSE 'CLIENT' END"""
 ORACLES["http_outcome"] = f"WITH {ATTEMPTS} SELECT pair_id, model, attempt_no, {_HTTP} AS outcome FROM replies"
 
-OUTCOMES = f"""{ATTEMPTS}, {RESPONSES_PARSED}, {JUDGED},
+RESPONSES_UNFENCED = RESPONSES_PARSED.replace(unfence("t", SPACE), "t")
+
+
+def outcomes(relation: str, error_class: str) -> str:
+    return f"""
 outcomes AS (
-  SELECT *, CASE WHEN {_HTTP} = 'OK' THEN coalesce(final_class, 'OK') ELSE {_HTTP} END AS outcome FROM scored)"""
+  SELECT *, CASE WHEN {_HTTP} = 'OK' THEN coalesce({error_class}, 'OK') ELSE {_HTTP} END AS outcome FROM {relation})"""
+
+
+OUTCOMES = f"{ATTEMPTS}, {RESPONSES_PARSED}, {JUDGED}, {outcomes('scored', 'final_class')}"
+DIRECT_OUTCOMES = f"""{ATTEMPTS}, {RESPONSES_UNFENCED}, {JUDGED},
+loose AS (
+  SELECT * REPLACE (coalesce(n, TRY_CAST(st AS INTEGER)) AS n),
+    coalesce(error_class, CASE WHEN loose_error IS NOT NULL THEN 'BAD_JSON' END) AS loose_class FROM judged),
+{outcomes('loose', 'loose_class')}"""
+VISION_OUTCOMES = f"{ATTEMPTS}, {RESPONSES_UNFENCED}, {outcomes('parsed', 'error_class')}"
 
 
 def actions(policy: str) -> str:
@@ -576,7 +589,7 @@ SELECT pair_id, model, attempt_no, outcome, CAST(
     WHEN action = 'retry' AND attempt_no < {MAX_ATTEMPTS} THEN least(doubling, {LONGEST_WAIT_MS}) ELSE 0 END AS BIGINT) AS wait_ms
 FROM acted"""
 ORACLES["attempt_wait_direct"] = f"""
-WITH {OUTCOMES}, acted AS (
+WITH {DIRECT_OUTCOMES}, acted AS (
   SELECT *, {actions('direct')} AS action, coalesce(TRY_CAST(trim(retry_after) AS BIGINT), 0) * 1000 AS asked FROM outcomes)
 SELECT pair_id, model, attempt_no, outcome, CAST(
   CASE WHEN attempt_no >= {MAX_ATTEMPTS} THEN 0
@@ -599,11 +612,12 @@ SELECT pair_id, preferred_model, CAST(i AS INTEGER) AS rank, o[i + 1] AS model
 FROM (SELECT *, unnest(range(len(o))) AS i FROM ordered)"""
 
 
-def resolved(policy: str, chain) -> str:
+def resolved(policy: str, chain, log: str = OUTCOMES, payload=(("judge_score", "n"), ("reason", "rt"))) -> str:
     first = lit(chain[0])
     wish = f"coalesce(preferred_model, {first})" if len(chain) > 1 else first
+    kept = ", ".join(f"CASE WHEN e.action = 'accept' THEN e.{column} END AS {name}" for name, column in payload)
     return f"""
-WITH {OUTCOMES},
+WITH {log},
 placed AS (SELECT *, {order_of(wish, chain)} AS o, {actions(policy)} AS action FROM outcomes),
 ranked AS (SELECT *, list_position(o, model) AS place FROM placed),
 stops AS (
@@ -618,15 +632,15 @@ SELECT p.pair_id,
   CASE e.action WHEN 'accept' THEN 'ACCEPTED' WHEN 'abort' THEN 'ABORTED' WHEN 'retry' THEN 'RETRIES_USED_UP'
     ELSE CASE WHEN r.pair_id IS NOT NULL THEN 'MODELS_USED_UP' ELSE 'INCOMPLETE' END END AS end_state,
   CASE WHEN e.action = 'accept' THEN e.model END AS model_used, e.attempt_no,
-  CASE WHEN e.action = 'accept' THEN e.n END AS judge_score, CASE WHEN e.action = 'accept' THEN e.rt END AS reason
+  {kept}
 FROM keys p LEFT JOIN (SELECT * FROM ends WHERE k = 1) e ON e.pair_id = p.pair_id
 LEFT JOIN refused r ON r.pair_id = p.pair_id"""
 
 
 ORACLES["resolve_attempts"] = resolved("responses", JUDGE_CHAIN)
 ORACLES["resolve_attempts_chat"] = resolved("chat", JUDGE_CHAIN[:1])
-ORACLES["resolve_attempts_vision"] = resolved("vision", VISION_CHAIN)
-ORACLES["resolve_attempts_direct"] = resolved("direct", JUDGE_CHAIN[:1])
+ORACLES["resolve_attempts_vision"] = resolved("vision", VISION_CHAIN, VISION_OUTCOMES, (("content", "content"),))
+ORACLES["resolve_attempts_direct"] = resolved("direct", JUDGE_CHAIN[:1], DIRECT_OUTCOMES)
 
 # --- documents and generated pairs ----------------------------------------------------
 

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import files, http, text
 from ..functions.stopwords import BASE, as_words
 from ..operators import agents, attempts, lexical, questions, replies, requests, rules
+from ..sources import schemas
 from ..sources.files import read_files, with_document_text
+from ..sources.schemas import conform
 from . import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,7 +127,7 @@ def cosine_verdict(spark, folder):
         "actual",
         F.when(number % 7 != 0, (number % 10) * F.lit(10.0)).alias("threshold"),
     )
-    verdict = lexical.with_cosine_verdict(requests_in)
+    verdict = lexical.with_cosine_verdict(conform(requests_in, schemas.LEXICAL_REQUEST))
     return verdict.select("pair_id", _score("cosine_pct"), "threshold", "status", "message")
 
 
@@ -155,16 +157,20 @@ def cosine_stemmed_documents(spark, folder):
 # --- input rules ----------------------------------------------------------------------
 
 
+def _judge_inputs(spark, folder):
+    typed = conform(fixtures.judge_inputs(spark, folder), schemas.JUDGE_REQUEST)
+    return rules.with_input_error(typed, rules.judge_input_error())
+
+
 @query
 def judge_input_rules(spark, folder):
-    typed = rules.typed_request(fixtures.judge_inputs(spark, folder), {"threshold": "int"})
-    checked = rules.with_input_error(typed, rules.judge_input_error())
-    return checked.select("doc_id", "threshold", "input_error", "error_kind")
+    return _judge_inputs(spark, folder).select("pair_id", "threshold", "input_error", "error_kind")
 
 
 @query
 def qa_input_rules(spark, folder):
-    checked = rules.with_input_error(fixtures.question_inputs(spark, folder), rules.question_input_error())
+    typed = conform(fixtures.question_inputs(spark, folder), schemas.QUESTION_REQUEST)
+    checked = rules.with_input_error(typed, rules.question_input_error())
     return checked.select("doc_id", "query_count", "input_error", "error_kind")
 
 
@@ -273,12 +279,13 @@ def reason_lines(spark, folder):
 @query
 def judge_verdict(spark, folder):
     """Requests joined with their replies: the thresholds come from the first, the scores from the second."""
-    typed = rules.typed_request(fixtures.judge_inputs(spark, folder), {"threshold": "int"})
-    good, _ = rules.split_rejects(rules.with_input_error(typed, rules.judge_input_error()))
-    judged = _judged(spark, folder).select("doc_id", "judge_score", "reason")
-    verdict = replies.with_judge_verdict(good.select("doc_id", "threshold").join(judged, "doc_id"))
+    good, _ = rules.split_rejects(_judge_inputs(spark, folder))
+    judged = _judged(spark, folder).select(
+        F.col("doc_id").cast("string").alias("pair_id"), "judge_score", "reason"
+    )
+    verdict = replies.with_judge_verdict(good.select("pair_id", "threshold").join(judged, "pair_id"))
     return verdict.select(
-        "doc_id", "judge_score", "threshold", F.size("reason_lines").cast("bigint").alias("n_lines"),
+        "pair_id", "judge_score", "threshold", F.size("reason_lines").cast("bigint").alias("n_lines"),
         "status", "message",
     )
 
@@ -286,8 +293,15 @@ def judge_verdict(spark, folder):
 # --- attempts -------------------------------------------------------------------------
 
 
-def _outcomes(spark, folder):
-    log = replies.check_judge_schema(replies.parse_responses(fixtures.attempts(spark, folder)))
+def _outcomes(spark, folder, client="judge"):
+    """The log with outcomes as each client sees them.
+
+    The direct client neither strips fences nor checks the schema; the image
+    reader takes the text as it is.
+    """
+    log = replies.parse_responses(fixtures.attempts(spark, folder), fence=client == "judge")
+    if client != "vision":
+        log = replies.check_judge_schema(log, mode="unchecked" if client == "direct" else "checked")
     return attempts.with_outcome(log)
 
 
@@ -298,19 +312,19 @@ def http_outcome(spark, folder):
     return log.select("pair_id", "model", "attempt_no", outcome.alias("outcome"))
 
 
-def _waits(spark, folder, policy):
-    timed = attempts.with_wait(_outcomes(spark, folder), policy)
+def _waits(log, policy):
+    timed = attempts.with_wait(log, policy)
     return timed.select("pair_id", "model", "attempt_no", "outcome", "wait_ms")
 
 
 @query
 def attempt_wait(spark, folder):
-    return _waits(spark, folder, "responses")
+    return _waits(_outcomes(spark, folder), "responses")
 
 
 @query
 def attempt_wait_direct(spark, folder):
-    return _waits(spark, folder, "direct")
+    return _waits(_outcomes(spark, folder, "direct"), "direct")
 
 
 @query
@@ -321,31 +335,31 @@ def model_order(spark, folder):
     )
 
 
-def _resolved(spark, folder, policy, chain):
-    log = _outcomes(spark, folder)
-    if len(chain) == 1:
-        log = log.withColumn("preferred_model", F.lit(None).cast("string"))
-    return attempts.resolve_attempts(log, policy, chain)
+def _one_model(log):
+    return log.withColumn("preferred_model", F.lit(None).cast("string"))
 
 
 @query
 def resolve_attempts(spark, folder):
-    return _resolved(spark, folder, "responses", attempts.JUDGE_CHAIN)
+    return attempts.resolve_attempts(_outcomes(spark, folder), "responses", attempts.JUDGE_CHAIN)
 
 
 @query
 def resolve_attempts_chat(spark, folder):
-    return _resolved(spark, folder, "chat", attempts.JUDGE_CHAIN[:1])
+    log = _one_model(_outcomes(spark, folder))
+    return attempts.resolve_attempts(log, "chat", attempts.JUDGE_CHAIN[:1])
 
 
 @query
-def resolve_attempts_vision(spark, folder):
-    return _resolved(spark, folder, "vision", attempts.VISION_CHAIN)
+def resolve_attempts_direct(spark, folder):
+    log = _one_model(_outcomes(spark, folder, "direct"))
+    return attempts.resolve_attempts(log, "direct", attempts.JUDGE_CHAIN[:1])
 
 
 @query
-def resolve_attempts_direct(spark, folder):
-    return _resolved(spark, folder, "direct", attempts.JUDGE_CHAIN[:1])
+def resolve_attempts_vision(spark, folder):
+    log = _outcomes(spark, folder, "vision")
+    return attempts.resolve_attempts(log, "vision", attempts.VISION_CHAIN, payload=("content",))
 
 
 # --- documents, generated pairs, pictures ---------------------------------------------

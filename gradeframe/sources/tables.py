@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession
 
-REPLY_SCHEMA = T.StructType([
-    T.StructField("pair_id", T.StringType()),
-    T.StructField("model", T.StringType()),
-    T.StructField("attempt_no", T.IntegerType()),
-    T.StructField("http_status", T.IntegerType()),
-    T.StructField("retry_after", T.StringType()),
-    T.StructField("body", T.StringType()),
-])
+from .schemas import REPLIES
 
 
 def write_requests(requests: DataFrame, path: str) -> None:
@@ -21,7 +14,7 @@ def write_requests(requests: DataFrame, path: str) -> None:
 
 def read_replies(spark: SparkSession, path: str, kind: str = "parquet", stream: bool = False) -> DataFrame:
     """Replies of the outside service, as a table or as a stream; the schema is never guessed."""
-    reader = (spark.readStream if stream else spark.read).schema(REPLY_SCHEMA)
+    reader = (spark.readStream if stream else spark.read).schema(REPLIES)
     return reader.format(kind).load(path)
 
 

@@ -4,6 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeframe.operators import requests, rules
+from gradeframe.sources.files import read_files, read_images, split_documents, with_document_text
+from gradeframe.sources.pairs import named_pairs
+from gradeframe.sources.schemas import JUDGE_REQUEST, PAIRS, conform
 from gradeframe.sources.tables import read_replies, write_requests, write_results
 
 
@@ -37,9 +40,10 @@ def test_question_rules(spark, row, wanted):
 
 
 def test_rejects_and_good_rows_are_the_input(spark):
-    frame = spark.createDataFrame([("e", "a", "p", t) for t in ("5", "abc", None, "300")],
-                                  "expected string, actual string, prompt string, threshold string")
-    typed = rules.typed_request(frame, {"threshold": "int"})
+    frame = spark.createDataFrame([(1, "e", "a", "p", t) for t in ("5", "abc", None, "300")],
+                                  "pair_id int, expected string, actual string, prompt string, threshold string")
+    typed = conform(frame, JUDGE_REQUEST)
+    assert typed.schema == JUDGE_REQUEST
     good, rejects = rules.split_rejects(rules.with_input_error(typed, rules.judge_input_error()))
     assert (good.count(), rejects.count()) == (1, 3)
 
@@ -89,3 +93,37 @@ def test_sinks_and_reply_source(spark, tmp_path):
     assert read_replies(spark, str(tmp_path / "replies"), "json").first().body == "{}"
     write_results(replies.withColumn("status", F.lit("PASS")), str(tmp_path / "results"))
     assert (tmp_path / "results" / "status=PASS").is_dir()
+
+
+def test_missing_column_is_an_error(spark):
+    with pytest.raises(ValueError, match="actual"):
+        conform(spark.range(1).selectExpr("'1' AS pair_id", "'e' AS expected"), PAIRS)
+
+
+def test_named_pairs(spark):
+    frame = spark.createDataFrame([(7, "want", "got")], "id int, gold string, answer string")
+    assert named_pairs(frame, "id", "gold", "answer").schema == PAIRS
+
+
+def test_documents_from_files(spark, tmp_path):
+    files = {"a.txt": b" text \n", "b.txt": b" \n", "c.pdf": b"%PDF-1.7 x", "d.docx": b"PK\x03\x04", "e.txt": "grün".encode()}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    read = with_document_text(read_files(spark, str(tmp_path)))
+    good, rejects = split_documents(read)
+    assert sorted(r.text for r in good.collect()) == ["grün", "text"]
+    assert sorted(r.document_error for r in rejects.collect()) == [
+        "Document is empty.", "No text reader for type docx", "No text reader for type pdf"]
+
+
+def test_images_from_files(spark, tmp_path):
+    for name in ("a.png", "B.PNG", "c.gif", "note.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    got = {r.path.rsplit("/", 1)[1]: r.media_type for r in read_images(spark, str(tmp_path)).collect()}
+    assert got == {"a.png": "image/png", "B.PNG": "image/png", "c.gif": "image/gif"}
+
+
+def test_file_bytes_are_read_only_if_selected(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"x")
+    plan = read_files(spark, str(tmp_path)).select("path", "length")._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[1]
