@@ -169,7 +169,7 @@ def cosine_by_terms(pairs: DataFrame, stopwords: DataFrame, key: str = "pair_id"
 
     Counts are combined on ``(key, term)`` first: a pair's tokens meet in the
     task that reads the pair, so repeats never reach the shuffle, and a hot term
-    costs one row per pair before the stopword join.
+    costs one row per pair before the stopword join. ``key`` names one pair.
     """
     counts = (
         exploded_terms(pairs, key)

@@ -11,7 +11,8 @@ def spread(table: DataFrame, tasks_per_core: int = 2) -> DataFrame:
     A parquet row group is read by one task, so a small file leaves most cores
     idle while one of them tokenises every text. A table that already has as many
     input splits as the cluster has cores is returned as it is: large inputs are
-    never shuffled for this.
+    never shuffled for this. Meant for a table as read: counting the splits of a
+    plan with shuffles would run them.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
     if table.rdd.getNumPartitions() >= cores:

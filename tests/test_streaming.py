@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeframe.functions import text
-from gradeframe.operators import attempts, lexical, replies, requests, rules
+from gradeframe.operators import attempts, lexical, questions, replies, requests, rules
 from gradeframe.plans import fixtures
 from gradeframe.session import shared_folder
 from gradeframe.streaming.runner import run_per_batch, run_row_local
@@ -29,6 +29,14 @@ STEPS = {
     "rules": (fixtures.question_inputs, lambda d: rules.with_input_error(d, rules.question_input_error())),
     "requests": (lambda s, f: fixtures.pairs(s, f).withColumn("prompt", F.lit("p")), requests.with_judge_request),
     "replies": (fixtures.chat_replies, lambda d: replies.check_judge_schema(replies.parse_chat(d))),
+    "images": (
+        lambda s, f: fixtures.images(s, f).withColumns({"model": F.lit("m"), "prompt": F.lit("p")}),
+        requests.with_vision_request,
+    ),
+    "questions": (
+        fixtures.question_replies,
+        lambda d: questions.question_rows(questions.check_questions(questions.parse_questions(d))),
+    ),
     "outcomes": (
         fixtures.attempts,
         lambda d: attempts.with_wait(attempts.with_outcome(replies.check_judge_schema(replies.parse_responses(d))), "responses"),
