@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # The base English stopword list.
 BASE = """
@@ -65,6 +65,11 @@ def as_words(stopwords: Iterable[str] | DataFrame | None) -> list[str]:
     return words
 
 
+def as_literals(stopwords: Iterable[str] | DataFrame | None) -> list[Column]:
+    """The list as literals, made once for all columns they are tested against."""
+    return [F.lit(word) for word in as_words(stopwords)]
+
+
 def drop_stopwords(terms: DataFrame, stopwords: DataFrame) -> DataFrame:
     """Rows of ``terms`` whose ``term`` is not in the list, for a list of any size.
 

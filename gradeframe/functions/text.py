@@ -36,7 +36,7 @@ def is_blank(text: Column) -> Column:
     return F.coalesce(trim_control(text) == "", F.lit(True))
 
 
-def without(tokens: Column, stopwords: Sequence[str]) -> Column:
+def without(tokens: Column, stopwords: Sequence[str | Column]) -> Column:
     """Multiset filter: keeps order and repeats.
 
     A literal membership test becomes one constant hash set for the whole plan,
@@ -56,7 +56,7 @@ def keyword_tokens(text: Column) -> Column:
     return F.split(F.regexp_replace(F.lower(text), "[^a-z ]++", ""), " ")
 
 
-def keyword_terms(text: Column, stopwords: Sequence[str]) -> Column:
+def keyword_terms(text: Column, stopwords: Sequence[str | Column]) -> Column:
     """Distinct keywords of a text."""
     return F.array_distinct(without(keyword_tokens(text), stopwords))
 
@@ -81,7 +81,7 @@ def drop_short(tokens: Column) -> Column:
     return F.filter(tokens, lambda t: F.length(t) > 1)
 
 
-def clean_tokens(text: Column, stopwords: Sequence[str]) -> Column:
+def clean_tokens(text: Column, stopwords: Sequence[str | Column]) -> Column:
     """Class tokens without stopwords and without one-character tokens."""
     if not stopwords:
         return drop_short(class_tokens(text))

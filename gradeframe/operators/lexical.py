@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scores, text
 from ..functions.stem import stem_tokens, stem_words
-from ..functions.stopwords import as_words, drop_stopwords
+from ..functions.stopwords import as_literals, drop_stopwords
 
 Stopwords = Iterable[str] | DataFrame | None
 
@@ -26,7 +26,7 @@ def with_containment(
     pairs: DataFrame, stopwords: Stopwords = None, threshold: float = CONTAINMENT_THRESHOLD
 ) -> DataFrame:
     """Adds ``containment_pct`` and ``is_valid`` from ``expected`` and ``actual``."""
-    words = as_words(stopwords)
+    words = as_literals(stopwords)
     return (
         pairs.withColumns({
             "_expected": text.keyword_terms(F.col("expected"), words),
@@ -59,7 +59,7 @@ def _cosine_of(tokens: DataFrame) -> DataFrame:
 
 def with_cosine(pairs: DataFrame, stopwords: Stopwords = None) -> DataFrame:
     """Adds ``cosine`` (0 to 1) over cleaned tokens without stemming."""
-    words = as_words(stopwords)
+    words = as_literals(stopwords)
     return _cosine_of(
         pairs.withColumns({
             "_expected": text.clean_tokens(F.col("expected"), words),
@@ -73,7 +73,7 @@ def with_stemmed_cosine(pairs: DataFrame, stopwords: Stopwords = None) -> DataFr
 
     Both sides go to Python as one array, so a word they share is stemmed once.
     """
-    words = as_words(stopwords)
+    words = as_literals(stopwords)
     stems = (
         pairs.withColumns({
             "_expected": text.without(text.class_tokens(F.col("expected")), words),
@@ -91,14 +91,14 @@ def with_stemmed_cosine(pairs: DataFrame, stopwords: Stopwords = None) -> DataFr
     return _cosine_of(stems).drop("_stems")
 
 
-def stemmed(column: Column, words: list[str]) -> Column:
+def stemmed(column: Column, words: list[Column]) -> Column:
     """Stemmed tokens of a text column, before the length test."""
     return stem_tokens(text.without(text.class_tokens(column), words))
 
 
 def with_stemmed_tokens(table: DataFrame, column: str, stopwords: Stopwords = None) -> DataFrame:
     """Adds ``tokens``: cleaned and stemmed, in text order."""
-    return table.withColumn("tokens", text.drop_short(stemmed(F.col(column), as_words(stopwords))))
+    return table.withColumn("tokens", text.drop_short(stemmed(F.col(column), as_literals(stopwords))))
 
 
 def stem_vocabulary(table: DataFrame, column: str, stopwords: Stopwords = None) -> DataFrame:
@@ -107,7 +107,7 @@ def stem_vocabulary(table: DataFrame, column: str, stopwords: Stopwords = None)
     Repeats are dropped inside each row and then map-side before the shuffle,
     so a term found everywhere costs one row per task.
     """
-    terms = text.without(text.class_tokens(F.col(column)), as_words(stopwords))
+    terms = text.without(text.class_tokens(F.col(column)), as_literals(stopwords))
     return (
         table.select(F.explode(F.array_distinct(terms)).alias("term"))
         .distinct()
