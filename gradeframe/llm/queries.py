@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from gradeframe.llm import exact_dedup, mixing, packing, secrets, token_counts, topk
+from gradeframe.llm import exact_dedup, language, mixing, packing, secrets, token_counts, topk
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
     "op2_secrets": secrets.op2_secrets,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op5_language": language.op5_language,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op8_packing": packing.op8_packing,
