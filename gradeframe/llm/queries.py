@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gradeframe.llm import exact_dedup, language, mixing, packing, pii, secrets, token_counts, topk
+from gradeframe.llm import exact_dedup, language, mixing, near_join, packing, pii, secrets, token_counts, topk
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op8_packing": packing.op8_packing,
+    "op9_near_join": near_join.op9_near_join,
     "op10_pii": pii.op10_pii,
 }
 
