@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gradeframe.llm import exact_dedup, language, mixing, near_join, packing, pii, secrets, token_counts, topk
+from gradeframe.llm import exact_dedup, language, mixing, near_join, packing, pii, secrets, suffix_dedup, token_counts, topk
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
     "op2_secrets": secrets.op2_secrets,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_language": language.op5_language,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
