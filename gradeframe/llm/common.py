@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 TOKENIZER = "word_bpe_49k.json"
@@ -20,19 +20,40 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def checkpointed(table: DataFrame) -> DataFrame:
-    """The table, written once to the shared checkpoint folder and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application that all executors share.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    session without that setting, as in tests on one machine, gets a folder of its own.
+    It lies in the folder the cluster names in ``spark.checkpoint.dir``. Only a session without that
+    setting, as in tests on one machine, gets a folder of its own.
     """
-    context = table.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = table.sparkSession.conf.get(CHECKPOINT_KEY, None)
+        named = spark.conf.get(CHECKPOINT_KEY, None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(table: DataFrame) -> DataFrame:
+    """The table, written once to the shared checkpoint folder and read from there."""
+    shared_folder(table.sparkSession)
     return table.checkpoint()
 
 
+def keep_rows(docs: DataFrame, kept: DataFrame, tag: Column) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and ``tag`` (a hash of the text) are in ``kept`` (doc_id, tag), one of each.
+
+    All columns stay as they are. Rows that repeat doc_id and text become one; which of them stays is
+    settled by their other plain columns.
+    """
+    key = lambda: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
+    named = docs.select(F.struct("*").alias("doc"), key().alias("key"), tag.alias("tag"))
+    chosen = named.join(kept.select(key().alias("key"), "tag").distinct(), ["key", "tag"], "left_semi")
+    others = [F.col("doc")[f.name] for f in docs.schema if f.name not in ("doc_id", "text")
+              and isinstance(f.dataType, T.AtomicType)]
+    once = Window.partitionBy("key", "tag").orderBy(*others or [F.lit(0)])
+    return chosen.withColumn("nth", F.row_number().over(once)).where("nth = 1").select("doc.*")
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 

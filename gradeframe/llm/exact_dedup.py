@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from gradeframe.llm.common import as_bytes, checkpointed, read_table
+from gradeframe.llm.common import SPACE, as_bytes, checkpointed, keep_rows, read_table
 
 LEAST_CHUNK, MOST_CHUNK, MASK = 512, 65_536, 2_047
 RECIPE = T.StructType([
@@ -116,6 +116,13 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     )
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The documents that exact dedup keeps, all columns: one row for each group of equal texts."""
+    kept = exact_dedup(docs).where("kept").select("doc_id", F.col("text_sha256").alias("tag"))
+    normal = F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " ")
+    return keep_rows(docs, kept, F.sha2(normal, 256))
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(read_table(spark, folder, "documents"))
 

@@ -194,5 +194,12 @@ def identify(docs: DataFrame) -> DataFrame:
         "doc_id", "held_out", "g.lang_pred", "g.score")
 
 
+def keep_known(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, without those whose language is ``und``."""
+    guess = predicted(fit(docs), F.col("text"))
+    return docs.select(F.struct("*").alias("doc"), guess.alias("guess")).where(
+        F.col("guess.lang_pred") != UNKNOWN).select("doc.*")
+
+
 def op5_language(spark: SparkSession, folder: str) -> DataFrame:
     return identify(read_table(spark, folder, "documents"))

@@ -61,7 +61,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, seed: int = SEED, **also: Column) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken.
 
     ``size`` counts the runs of other characters than ASCII white space; null and empty texts have
@@ -69,16 +69,17 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     fractional selection takes; the one document of a source in which the budget ends gives a part,
     so taken words sum to the target rounded. Ties of keys are ordered by doc_id and size. A null
     source is a source of its own. Repeated rows are documents of their own. Other columns are
-    ignored; an empty table gives an empty result.
+    ignored, but ``also`` names more columns to compute and return; an empty table gives an empty result.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
     uniform = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(2**52)) + 0.5) / float(2**52)
     sized = checkpointed(
-        docs.select("doc_id", "source", F.length("text").alias("chars"), size.alias("size"), uniform.alias("u"))
+        docs.select("doc_id", "source", F.length("text").alias("chars"), size.alias("size"), uniform.alias("u"),
+                    *[c.alias(n) for n, c in also.items()])
     )
     quality = prose_quality("chars", "size")
     # 1 - exp(-key) grows with the key and stays within 0 and 1, as buckets need.
-    keyed = sized.select("doc_id", "source", "size", (1 - F.pow("u", 1 / quality)).alias("at"))
+    keyed = sized.select("doc_id", "source", "size", *also, (1 - F.pow("u", 1 / quality)).alias("at"))
 
     totals = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     targets = source_targets(totals.select("source", "source_size"))
@@ -91,7 +92,7 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     )
     same = F.col("k.source").eqNullSafe(F.col("p.source"))
     placed = keyed.alias("k").join(plan.alias("p"), same).select(
-        "doc_id", "k.source", "size", "at", "source_size", "target", "epochs", "rest",
+        "doc_id", *also, "k.source", "size", "at", "source_size", "target", "epochs", "rest",
         F.floor(F.col("at") * F.col("buckets")).alias("bucket"))
 
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -111,7 +112,24 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     cut = marked.where("bucket = end").withColumn("part", F.greatest(F.least("size", left), F.lit(0)))
     return plain.unionByName(cut).select(
         "doc_id", "size", "source_size", "target",
-        (F.col("size") * F.col("epochs") + F.col("part")).cast("bigint").alias("taken"))
+        (F.col("size") * F.col("epochs") + F.col("part")).cast("bigint").alias("taken"), *also)
+
+
+def take(docs: DataFrame) -> DataFrame:
+    """The documents of the mix, all columns, as often as they are taken.
+
+    Documents stay whole: the one in which a source's budget ends is taken once more as a whole. Rows
+    that repeat doc_id, source and text are taken equally often.
+    """
+    key = lambda: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("key")
+    times = (
+        mix(docs, text_hash=F.xxhash64("text"), origin=F.xxhash64("source")).where("taken > 0")
+        .groupBy(key(), "text_hash", "origin").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).alias("times"))
+    )
+    named = docs.select(F.struct("*").alias("doc"), key(), F.xxhash64("text").alias("text_hash"),
+                        F.xxhash64("source").alias("origin"))
+    return named.join(times, ["key", "text_hash", "origin"]).select(
+        "doc", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))).alias("nth")).select("doc.*")
 
 
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeframe.llm.common import checkpointed, read_table, slices
+from gradeframe.llm.common import checkpointed, keep_rows, read_table, slices
 from gradeframe.llm.components import components, join_dealt
 
 WORDS, THRESHOLD = 5, 0.8
@@ -37,7 +37,7 @@ SHIFTS = _rng.integers(0, 2**63, TREES * DEPTH, dtype=np.uint64)
 PLACES = _rng.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SKETCH = 192  # bits, three longs
 
-SIGNED = "doc_id bigint, sid binary, n int, keys array<bigint>, sketch array<bigint>"
+SIGNED = "doc_id bigint, text_hash bigint, sid binary, n int, keys array<bigint>, sketch array<bigint>"
 SETS = "cluster binary, low int, high int, block int, sid binary, copies bigint, shingles binary"
 LINKS = "sid binary, links bigint, root binary"
 
@@ -99,7 +99,7 @@ def signed(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
     trees, count = np.arange(TREES, dtype=np.uint64), max(TREES * depth, SKETCH)
     for batch in slices(batches, 1_000):
         sids, sizes, keys, sketches = [], [], [], []
-        for text in batch.column(1).to_pylist():
+        for text in batch.column(2).to_pylist():
             x = shingles(text, hashes)
             sids.append(xxhash.xxh3_128_digest(x.tobytes()))
             sizes.append(len(x))
@@ -116,9 +116,9 @@ def signed(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
                 keys.append([])
                 sketches.append([])
         yield pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array(sids, pa.binary()), pa.array(sizes, pa.int32()),
+            batch.column(0), batch.column(1), pa.array(sids, pa.binary()), pa.array(sizes, pa.int32()),
             pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())),
-        ], ["doc_id", "sid", "n", "keys", "sketch"])
+        ], ["doc_id", "text_hash", "sid", "n", "keys", "sketch"])
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], columns: tuple[int, ...]) -> Iterator[pa.Table]:
@@ -257,23 +257,22 @@ def linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
 
 
 def near_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row per document: doc_id, class_id, class_size, n_links.
+    """One row per document: doc_id, class_id, class_size, n_links, kept, text_hash.
 
     Words are runs of other characters than ASCII white space; shingles are five words, or all words
     of a shorter text. ``n_links`` counts the other documents whose shingle sets have a Jaccard similarity
-    of at least ``threshold``, copies included; ``class_id`` is the smallest doc_id that links lead to.
-    A null text or one without words links to nothing and is a class of its own. Repeated rows are
+    of at least ``threshold``, copies included; ``class_id`` is the smallest doc_id that links lead to,
+    and one row with it is ``kept`` of each class; ``text_hash`` is xxhash64 of the text. A null text or one without words links to nothing and is a class of its own. Repeated rows are
     documents of their own; a null doc_id comes before all others. Other columns are ignored; an
     empty table gives an empty result.
     """
     depth, most = depth_for(recall, threshold), sketch_distance(threshold)
-    ids = docs.select(F.col("doc_id").cast("bigint"), "text")
+    ids = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "text")
     marked = checkpointed(ids.mapInArrow(lambda batches: signed(batches, depth), SIGNED)
                           .withColumn("row", F.monotonically_increasing_id()))
     lone = marked.where("n = 0")
     sets = checkpointed(marked.where("n > 0").groupBy("sid").agg(
-        F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"),
-        F.max(F.col("doc_id").isNull()).alias("unnamed"),
+        F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "row")).alias("first"),
         F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
 
     rows = sets.select(F.explode("keys").alias("key"), "sid", *[F.col("sketch")[i].alias(f"s{i}") for i in range(3)])
@@ -281,11 +280,11 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = REC
         lambda batches: candidate_edges(batches, most), "u binary, v binary")
     clusters = checkpointed(components(edges).select(F.col("node").alias("sid"), F.col("component").alias("cluster")))
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
-    # The text of a set is looked up by the doc_id of one of its documents.
-    named = F.when(F.col("unnamed"), F.lit(None)).otherwise(F.col("doc_id"))
-    members = join_dealt(clusters, sizes, "cluster").join(sets.select("sid", "copies", named.alias("named")), "sid")
-    text = ids.withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63)))).drop("doc_id").join(
-        members.withColumn("k", F.coalesce("named", F.lit(-(1 << 63)))), "k")
+    # The text of a set is looked up by the doc_id of its first document.
+    members = join_dealt(clusters, sizes, "cluster").join(sets.select("sid", "copies", "first"), "sid")
+    key = lambda doc_id: F.coalesce(doc_id, F.lit(-(1 << 63))).alias("key")
+    text = ids.select(key(F.col("doc_id")), "text").join(
+        members.select(key(F.col("first.doc_id")), "sid", "cluster", "copies", "blocks"), "key")
     tiles = text.select("text", "sid", "cluster", "copies", "blocks").mapInArrow(sets_for_tiles, SETS)
     keys = ["cluster", "low", "high"]
     links = checkpointed(tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
@@ -293,19 +292,25 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = REC
 
     counted = links.groupBy("sid").agg(F.sum("links").alias("links"))
     classes = components(links.select(F.col("sid").alias("u"), F.col("root").alias("v")))
-    placed = sets.select("sid", "copies", "doc_id", "unnamed").join(counted, "sid", "left").join(
+    placed = sets.select("sid", "copies", "first").join(counted, "sid", "left").join(
         classes.select(F.col("node").alias("sid"), F.col("component")), "sid", "left"
     ).withColumn("component", F.coalesce("component", "sid"))
-    least = placed.groupBy("component").agg(
-        F.min("doc_id").alias("least"), F.max("unnamed").alias("unnamed"), F.sum("copies").alias("class_size"))
-    least = least.select("component", F.when(~F.col("unnamed"), F.col("least")).alias("class_id"), "class_size")
+    least = placed.groupBy("component").agg(F.min("first").alias("least"), F.sum("copies").alias("class_size"))
     by_set = join_dealt(placed.select("sid", "component", "copies", "links"), least, "component").select(
-        "sid", "class_id", "class_size", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    found = join_dealt(marked.where("n > 0").select("doc_id", "sid"), by_set, "sid").select(
-        "doc_id", "class_id", "class_size", "n_links")
+        "sid", "least", "class_size", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    found = join_dealt(marked.where("n > 0").select("doc_id", "row", "text_hash", "sid"), by_set, "sid").select(
+        "doc_id", F.col("least.doc_id").alias("class_id"), "class_size", "n_links",
+        (F.col("row") == F.col("least.row")).alias("kept"), "text_hash")
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     return found.unionByName(lone.select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"),
-        F.lit(0).cast("bigint").alias("n_links")))
+        "doc_id", F.col("doc_id").alias("class_id"), one.alias("class_size"), zero.alias("n_links"),
+        F.lit(True).alias("kept"), "text_hash"))
+
+
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, with one document of each class of near duplicates."""
+    kept = near_join(docs).where("kept").select("doc_id", F.col("text_hash").alias("tag"))
+    return keep_rows(docs, kept, F.xxhash64("text"))
 
 
 def op9_near_join(spark: SparkSession, folder: str) -> DataFrame:
