@@ -173,7 +173,7 @@ def candidate_edges(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa
     for table in groups_of(batches, (0,)):
         key = table.column(0).to_numpy()
         sid = table.column(1).combine_chunks()
-        sketch = np.stack([table.column(i).to_numpy() for i in (2, 3, 4)], axis=1)
+        sketch = np.stack([table.column(i).to_numpy() for i in (2, 3, 4)], axis=1).view(np.uint64)
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         ends = np.append(starts[1:], len(key))
         us, vs = [], []
