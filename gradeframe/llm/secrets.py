@@ -8,8 +8,9 @@ Positions come without a position function: the pieces between the matches (``sp
 
 The method. Candidates are runs of 20 and more encoding characters with a letter and a digit. The
 encoding is the narrowest alphabet that holds all characters: hex, base 32, base 36, base 64. Under
-"drawn uniformly from that alphabet" three tests give a p-value each: chi-squared of the character counts
-(upper tail, Wilson-Hilferty), Wald-Wolfowitz runs above and below the middle of the alphabet, and
+"drawn uniformly from that alphabet" these tests give a p-value each: chi-squared of the character counts
+(upper tail, Wilson-Hilferty) and of three classes of characters (digits, letters common in words, others),
+which tells words in short strings; Wald-Wolfowitz runs above and below the middle of the alphabet; and
 the lag-one serial correlation (both two-sided). They are combined by the Cauchy rule. Text-like
 candidates have values near 0; random ones are uniform, so twice the candidates above one half
 estimate how many are random (Storey). Per encoding and length class the smallest threshold is
@@ -44,6 +45,7 @@ ENCODINGS = (
     ("base36", r"^[a-z0-9]+$", DIGITS + LOWER),
     ("base64", r"^[A-Za-z0-9+/_-]+$", UPPER + LOWER + DIGITS + "+/"),
 )
+COMMON = "aeinorstAEINORST"
 FALSE_SHARE, BINS, LEAST_CLASS = 0.05, 100, 20
 
 
@@ -93,14 +95,20 @@ def battery(candidates: Column) -> Column:
     def valued(c):
         alphabet = F.element_at(F.array(*[F.lit(a) for _, _, a in ENCODINGS]), c.encoding + 1)
         values = F.transform(F.split(c.text, ""), lambda x: F.instr(alphabet, x).cast("double") - 1)
-        return F.struct(c.start, c.end, c.encoding, F.length(alphabet).cast("double").alias("k"),
-                        F.length(c.text).cast("double").alias("n"), values.alias("v"))
+        n = F.length(c.text).cast("double")
+        share = lambda chars: F.element_at(F.array(*[
+            F.lit(sum(x in chars for x in a) / len(a)) for _, _, a in ENCODINGS]), c.encoding + 1)
+        seen = [(share(x), F.length(F.regexp_replace(c.text, f"[^{x}]", ""))) for x in (DIGITS, COMMON)]
+        seen.append((1 - seen[0][0] - seen[1][0], n - seen[0][1] - seen[1][1]))
+        classes = sum(((count - n * part) * (count - n * part) / (n * part) for part, count in seen), F.lit(0.0))
+        return F.struct(c.start, c.end, c.encoding, F.length(alphabet).cast("double").alias("k"), n.alias("n"),
+                        classes.alias("classes"), values.alias("v"))
 
     def summed(c):
         squares = total(F.transform(F.array_distinct(c.v), lambda x: F.pow(
             F.size(F.filter(c.v, lambda y: y == x)).cast("double"), F.lit(2.0))))
         above = F.transform(c.v, lambda x: F.when(x >= c.k / 2, 1.0).otherwise(0.0))
-        return F.struct(c.start, c.end, c.encoding, c.k, c.n, c.v, squares.alias("squares"), above.alias("above"),
+        return F.struct(c.start, c.end, c.encoding, c.k, c.n, c.classes, c.v, squares.alias("squares"), above.alias("above"),
                         total(above).alias("high"), (total(c.v) / c.n).alias("mean"))
 
     def paired(c):
@@ -109,7 +117,7 @@ def battery(candidates: Column) -> Column:
         changes = total(F.zip_with(F.slice(c.above, F.lit(1), count - 1), ahead(c.above), lambda a, b: F.abs(a - b)))
         product = total(F.zip_with(F.slice(c.v, F.lit(1), count - 1), ahead(c.v), lambda a, b: (a - c.mean) * (b - c.mean)))
         spread = total(F.transform(c.v, lambda x: (x - c.mean) * (x - c.mean)))
-        return F.struct(c.start, c.end, c.encoding, c.k, c.n, c.squares, c.high, changes.alias("changes"),
+        return F.struct(c.start, c.end, c.encoding, c.k, c.n, c.classes, c.squares, c.high, changes.alias("changes"),
                         (product / F.greatest(spread, F.lit(1e-9))).alias("r"))
 
     def scored(c):
@@ -121,12 +129,12 @@ def battery(candidates: Column) -> Column:
         variance = (mean - 1) * (mean - 2) / (c.n - 1)
         z_runs = F.when(variance > 0, (c.changes + 1 - mean) / F.sqrt(variance)).otherwise(F.lit(9.0))
         z_serial = (c.r + 1 / (c.n - 1)) * F.sqrt(c.n)
-        return F.struct(c.start, c.end, c.encoding, c.n, z_chi.alias("chi"), F.abs(z_runs).alias("runs"),
+        return F.struct(c.start, c.end, c.encoding, c.n, F.exp(-c.classes / 2).alias("classes"), z_chi.alias("chi"), F.abs(z_runs).alias("runs"),
                         F.abs(z_serial).alias("serial"))
 
     def combined(c):
         inside = lambda p: F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
-        values = (inside(upper_tail(c.chi)), inside(2 * upper_tail(c.runs)), inside(2 * upper_tail(c.serial)))
+        values = (inside(c.classes), inside(upper_tail(c.chi)), inside(2 * upper_tail(c.runs)), inside(2 * upper_tail(c.serial)))
         cauchy = sum((F.tan((0.5 - p) * F.lit(3.141592653589793)) for p in values), F.lit(0.0)) / len(values)
         return F.struct(c.start, c.end, c.encoding, c.n.cast("int").alias("n"),
                         (0.5 - F.atan(cauchy) / F.lit(3.141592653589793)).alias("p"))
