@@ -24,26 +24,6 @@ which while who who's whom why why's with won't would wouldn't
 you you'd you'll you're you've your yours yourself yourselves
 """.split()
 
-# A list up to this size is held as literals in the plan (a constant hash set
-# inside the expression); a longer one has to go through `drop_stopwords`.
-MAX_LITERAL_WORDS = 10_000
-
-
-class StopwordListTooLong(ValueError):
-    """The list does not fit the literal form; use the join form."""
-
-
-def load_stopwords(words: DataFrame, limit: int = MAX_LITERAL_WORDS) -> list[str]:
-    """Distinct words of the table's ``word`` column, refused beyond ``limit``.
-
-    At most ``limit + 1`` short strings reach the driver whatever the table's size.
-    """
-    rows = words.select("word").where("word is not null").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise StopwordListTooLong(f"more than {limit} stopwords: use drop_stopwords on exploded terms")
-    return sorted(r.word for r in rows)
-
-
 def read_stopwords(spark, path: str, list_name: str | None = None) -> DataFrame:
     """A caller's list: text (one word a line) or parquet ``(list_name, word)``."""
     if path.rstrip("/").endswith(".parquet"):
@@ -53,19 +33,19 @@ def read_stopwords(spark, path: str, list_name: str | None = None) -> DataFrame:
     return lines.where("word <> ''").select(F.lit(list_name or "custom").alias("list_name"), "word")
 
 
-def as_words(stopwords: Iterable[str] | DataFrame | None) -> list[str]:
-    """A literal list from any accepted form; ``None`` means the base list."""
+def as_words(stopwords: Iterable[str] | None) -> list[str]:
+    """A list of any length, held in the plan as one constant set; ``None`` means the base list.
+
+    A table is never read while a plan is built: it joins, by `drop_stopwords`.
+    """
     if stopwords is None:
         return list(BASE)
     if isinstance(stopwords, DataFrame):
-        return load_stopwords(stopwords)
-    words = sorted(set(stopwords))
-    if len(words) > MAX_LITERAL_WORDS:
-        raise StopwordListTooLong(f"more than {MAX_LITERAL_WORDS} stopwords: pass them as a table")
-    return words
+        raise TypeError("a table of stopwords joins: use drop_stopwords or cosine_by_terms")
+    return sorted(set(stopwords))
 
 
-def as_literals(stopwords: Iterable[str] | DataFrame | None) -> list[Column]:
+def as_literals(stopwords: Iterable[str] | None) -> list[Column]:
     """The list as literals, made once for all columns they are tested against."""
     return [F.lit(word) for word in as_words(stopwords)]
 

@@ -11,54 +11,37 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .staging import evaluate_once
-
 # The tool catalogue, the argument compared, the claim looked for.
 TOOLS = ("search_order", "create_refund", "check_policy")
 ID_ARGUMENT = "order_id"
 SUCCESS_WORD = "successfully"
 
-# A catalogue up to this size is a constant set in the plan.
-MAX_LITERAL_TOOLS = 1_000
-# Backend ids up to this number are broadcast; beyond it the join is shuffled.
-MAX_BROADCAST_IDS = 10_000
-
-
-def _literal_tools(tools) -> list[str] | None:
-    """The catalogue as a list, or None when the table is too long for that."""
-    if not isinstance(tools, DataFrame):
-        return sorted(set(tools))
-    rows = tools.select("tool_name").where("tool_name is not null").take(MAX_LITERAL_TOOLS + 1)
-    return sorted({r.tool_name for r in rows}) if len(rows) <= MAX_LITERAL_TOOLS else None
-
-
 def _first_position(calls: Column, failed) -> Column:
     """Position (from 0) of the first call that fails the test, or null."""
     positions = F.transform(calls, lambda c, i: F.when(failed(c), i))
     return F.array_min(positions)
 
 
-def with_unknown_tool(runs: DataFrame, tools: Iterable[str] | DataFrame = TOOLS, key: str = "test_id") -> DataFrame:
+def with_unknown_tool(runs: DataFrame, tools: Iterable[str] | DataFrame = TOOLS) -> DataFrame:
     """Adds ``unknown_pos`` and ``unknown_tool`` of the first call outside the catalogue.
 
-    ``key`` names one run; it is used only for a catalogue too long for the plan.
+    An iterable becomes a constant set in the plan. A table joins: the answer depends on the called names
+    alone, so each distinct list of names is checked once and joined back.
     """
-    known = _literal_tools(tools)
-    if known is not None:
+    if isinstance(tools, DataFrame):
+        named = runs.withColumn("_names", tool_names(F.col("tool_calls")))
+        calls = named.select("_names").distinct().select("_names", F.posexplode("_names").alias("_pos", "tool_name"))
+        unknown = (
+            calls.join(tools.select("tool_name").where("tool_name is not null"), "tool_name", "left_anti")
+            .groupBy(F.col("_names").alias("_called")).agg(F.min("_pos").alias("unknown_pos"))
+        )
+        found = named.join(unknown, F.col("_names").eqNullSafe(F.col("_called")), "left").drop("_names", "_called")
+    else:
+        known = sorted(set(tools))
         unknown = _first_position(
             F.col("tool_calls"), lambda c: F.coalesce(~c.tool_name.isin(*known), F.lit(True))
         )
         found = runs.withColumn("unknown_pos", unknown)
-    else:
-        calls = runs.select(key, F.posexplode("tool_calls").alias("_pos", "_call")).select(
-            key, "_pos", F.col("_call.tool_name").alias("tool_name")
-        )
-        unknown = (
-            calls.join(tools.select("tool_name"), "tool_name", "left_anti")
-            .groupBy(key)
-            .agg(F.min("_pos").alias("unknown_pos"))
-        )
-        found = runs.join(unknown, key, "left")
     return found.withColumn("unknown_tool", F.get("tool_calls", F.col("unknown_pos"))["tool_name"])
 
 
@@ -87,27 +70,14 @@ def same_sequence() -> Column:
 def with_backend_flag(table: DataFrame, backend: DataFrame, key: str = "expected_order_id") -> DataFrame:
     """Adds ``in_backend``: the row's id is in the backend's ``order_id`` column.
 
-    A short backend is broadcast after its size is checked. A long one is met by
-    a semi and an anti join over the same two shuffles. Both kinds let the
-    adaptive skew join split a hot id on the left, and repeated ids on the right
-    need no pass of their own. The marked key is never null and the flag is no
-    literal, so neither join prunes or filters its input differently and the
-    exchanges are reused.
+    One left join on the distinct ids, without a hint: Spark compares their size with its own threshold.
+    The ids are joined by their hash as well, so that both sides are dealt anew after the distinct and the
+    adaptive skew join may split a hot id on the left.
     """
-    ids = backend.select("order_id").where("order_id is not null")
-    if len(ids.take(MAX_BROADCAST_IDS + 1)) <= MAX_BROADCAST_IDS:
-        flagged = ids.distinct().select(F.col("order_id").alias(key), F.lit(True).alias("_hit"))
-        joined = table.join(F.broadcast(flagged), key, "left")
-        return joined.withColumn("in_backend", F.col("_hit").isNotNull()).drop("_hit")
-
-    def marked(column: str) -> Column:
-        return F.coalesce(F.concat(F.lit("="), F.col(column)), F.lit("-"))
-
-    left = table.withColumn("_id", marked(key))
-    right = ids.select(marked("order_id").alias("_id"))
-    found = evaluate_once(left.join(right, "_id", "left_semi"), drop=("_id",), in_backend=F.lit(True))
-    missing = evaluate_once(left.join(right, "_id", "left_anti"), drop=("_id",), in_backend=F.lit(False))
-    return found.unionByName(missing)
+    ids = backend.select("order_id").where("order_id is not null").distinct()
+    flagged = ids.select(F.col("order_id").alias(key), F.xxhash64("order_id").alias("_dealt"), F.lit(True).alias("_hit"))
+    joined = table.withColumn("_dealt", F.xxhash64(key)).join(flagged, [key, "_dealt"], "left")
+    return joined.withColumn("in_backend", F.col("_hit").isNotNull()).drop("_hit", "_dealt")
 
 
 def is_hallucination() -> Column:
@@ -144,6 +114,7 @@ def agent_verdict(
     )
     actual_id = F.coalesce(id_argument(F.get("tool_calls", F.col("wrong_pos"))), F.lit("null"))
     check = F.col("failed_check")
+    # The texts of the messages.
     message = (
         F.when(check == "input", "expected_order_id must not be null.")
         .when(

@@ -83,6 +83,7 @@ def resolve_attempts(
     chain: Sequence[str] = JUDGE_CHAIN,
     payload: Sequence[str] = ("judge_score", "reason"),
     key: str = "pair_id",
+    most: int = MAX_ATTEMPTS,
 ) -> DataFrame:
     """One row per key: how the search ended, and the winning reply if there is one.
 
@@ -92,8 +93,9 @@ def resolve_attempts(
     For each place in the model order the attempt that ends it is the least one
     that is not a retry; the last allowed retry ends it too. These minima are
     combined map-side, so a key that fills a third of the log still reaches the
-    shuffle as one row per task, and the winner carries its payload along: there
-    is no sort of a key's attempts and no join back.
+    shuffle as one row per task, and the winner carries its payload along. Minima
+    of structs sort each task's rows before and after the shuffle; there is no
+    join back. An end counts only if every earlier model was refused.
     """
     order = model_order(F.coalesce("preferred_model", F.lit(chain[0])), chain)
     places = range(1, len(chain) + 2)
@@ -104,11 +106,11 @@ def resolve_attempts(
         .withColumn("_action", action_of(F.col("outcome"), policy))
         .withColumn(
             "_action",
-            F.when((F.col("_action") == "retry") & (F.col("attempt_no") == MAX_ATTEMPTS), "exhausted")
+            F.when((F.col("_action") == "retry") & (F.col("attempt_no") == most), "exhausted")
             .when(F.col("_action") != "retry", F.col("_action")),
         )
     )
-    counted = F.col("_action").isNotNull() & F.col("attempt_no").between(1, MAX_ATTEMPTS)
+    counted = F.col("_action").isNotNull() & F.col("attempt_no").between(1, most)
     kept = [F.when(F.col("_action") == "accept", F.col(c)).alias(c) for c in payload]
     stop = F.struct(F.col("attempt_no"), F.col("_action").alias("action"), F.col("model"), *kept)
     ends = ranked.groupBy(key).agg(
@@ -116,10 +118,14 @@ def resolve_attempts(
         *[F.min(F.when(counted & (F.col("_place") == p), stop)).alias(f"_end{p}") for p in places],
     )
     final = ("accept", "abort", "exhausted")
-    decided = F.coalesce(*[F.when(F.col(f"_end{p}.action").isin(*final), F.col(f"_end{p}")) for p in places])
-    last_refused = F.coalesce(
-        *[F.when((F.col("_places") == p) & (F.col(f"_end{p}.action") == "next"), True) for p in places]
-    )
+    reached, decided, refused = F.lit(True), [], []
+    for p in places:
+        action = F.col(f"_end{p}.action")
+        decided.append(F.when(reached & action.isin(*final), F.col(f"_end{p}")))
+        # A model is asked only after the one before it was refused.
+        reached = reached & F.coalesce(action == "next", F.lit(False))
+        refused.append(F.when(reached & (F.col("_places") == p), True))
+    decided, last_refused = F.coalesce(*decided), F.coalesce(*refused)
     return (
         ends.withColumn("_end", decided)
         .withColumn(

@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import scores, text
 from ..functions.stem import stem_tokens, stem_words
 from ..functions.stopwords import as_literals, drop_stopwords
+from .staging import evaluate_once
 
-Stopwords = Iterable[str] | DataFrame | None
+Stopwords = Iterable[str] | None
 
 # Fixed value: containment must be strictly above this percentage.
 CONTAINMENT_THRESHOLD = 60.0
@@ -27,15 +28,16 @@ def with_containment(
 ) -> DataFrame:
     """Adds ``containment_pct`` and ``is_valid`` from ``expected`` and ``actual``."""
     words = as_literals(stopwords)
-    return (
-        pairs.withColumns({
-            "_expected": text.keyword_terms(F.col("expected"), words),
-            "_actual": text.keyword_terms(F.col("actual"), words),
-        })
-        .withColumn("containment_pct", scores.containment_pct(F.col("_expected"), F.col("_actual")))
-        .withColumn("is_valid", F.coalesce(F.col("containment_pct") > threshold, F.lit(False)))
-        .drop("_expected", "_actual")
+    terms = evaluate_once(
+        pairs,
+        _expected=text.keyword_terms(F.col("expected"), words),
+        _actual=text.keyword_terms(F.col("actual"), words),
+    )
+    scored = evaluate_once(
+        terms, drop=("_expected", "_actual"),
+        containment_pct=scores.containment_pct(F.col("_expected"), F.col("_actual")),
     )
+    return scored.withColumn("is_valid", F.coalesce(F.col("containment_pct") > threshold, F.lit(False)))
 
 
 def _cosine_of(tokens: DataFrame) -> DataFrame:
@@ -46,25 +48,28 @@ def _cosine_of(tokens: DataFrame) -> DataFrame:
     both = F.when(
         F.arrays_overlap("_expected", "_actual"), scores.sum_of_squares(F.concat("_expected", "_actual"))
     ).otherwise(F.col("_e") + F.col("_a"))
-    return (
-        tokens.withColumns({
-            "_e": scores.sum_of_squares(F.col("_expected")),
-            "_a": scores.sum_of_squares(F.col("_actual")),
-        })
-        .withColumn("_both", both)
-        .withColumn("cosine", scores.cosine_from_squares(F.col("_e"), F.col("_a"), F.col("_both")))
-        .drop("_expected", "_actual", "_e", "_a", "_both")
+    norms = evaluate_once(
+        tokens, _e=scores.sum_of_squares(F.col("_expected")), _a=scores.sum_of_squares(F.col("_actual"))
     )
+    squares = evaluate_once(norms, drop=("_expected", "_actual"), _both=both)
+    return evaluate_once(
+        squares, drop=("_e", "_a", "_both"),
+        cosine=scores.cosine_from_squares(F.col("_e"), F.col("_a"), F.col("_both")),
+    )
+
 
+def with_cosine(pairs: DataFrame, stopwords: Iterable[str]) -> DataFrame:
+    """Adds ``cosine`` (0 to 1) over cleaned tokens without stemming.
 
-def with_cosine(pairs: DataFrame, stopwords: Stopwords = None) -> DataFrame:
-    """Adds ``cosine`` (0 to 1) over cleaned tokens without stemming."""
+    The list has no default: this score goes with a longer one than the base list, which callers bring.
+    """
     words = as_literals(stopwords)
     return _cosine_of(
-        pairs.withColumns({
-            "_expected": text.clean_tokens(F.col("expected"), words),
-            "_actual": text.clean_tokens(F.col("actual"), words),
-        })
+        evaluate_once(
+            pairs,
+            _expected=text.clean_tokens(F.col("expected"), words),
+            _actual=text.clean_tokens(F.col("actual"), words),
+        )
     )
 
 
@@ -74,21 +79,17 @@ def with_stemmed_cosine(pairs: DataFrame, stopwords: Stopwords = None) -> DataFr
     Both sides go to Python as one array, so a word they share is stemmed once.
     """
     words = as_literals(stopwords)
-    stems = (
-        pairs.withColumns({
-            "_expected": text.without(text.class_tokens(F.col("expected")), words),
-            "_actual": text.without(text.class_tokens(F.col("actual")), words),
-        })
-        .withColumn("_stems", stem_tokens(F.concat("_expected", "_actual")))
-        .withColumns({
-            "_expected": F.slice("_stems", 1, F.size("_expected")),
-            "_actual": F.slice("_stems", F.size("_expected") + 1, F.size("_actual")),
-        })
-        .withColumns({
-            "_expected": text.drop_short(F.col("_expected")), "_actual": text.drop_short(F.col("_actual")),
-        })
+    tokens = evaluate_once(
+        pairs,
+        _expected=text.without(text.class_tokens(F.col("expected")), words),
+        _actual=text.without(text.class_tokens(F.col("actual")), words),
+    )
+    stems = evaluate_once(
+        tokens.withColumn("_stems", stem_tokens(F.concat("_expected", "_actual"))), drop=("_stems",),
+        _expected=text.drop_short(F.slice("_stems", 1, F.size("_expected"))),
+        _actual=text.drop_short(F.slice("_stems", F.size("_expected") + 1, F.size("_actual"))),
     )
-    return _cosine_of(stems).drop("_stems")
+    return _cosine_of(stems)
 
 
 def stemmed(column: Column, words: list[Column]) -> Column:
@@ -115,7 +116,7 @@ def stem_vocabulary(table: DataFrame, column: str, stopwords: Stopwords = None)
     )
 
 
-def with_cosine_verdict(pairs: DataFrame, stopwords: Stopwords = None) -> DataFrame:
+def with_cosine_verdict(pairs: DataFrame, stopwords: Iterable[str]) -> DataFrame:
     """Adds ``cosine_pct``, ``status`` and ``message`` against the ``threshold`` column.
 
     A null text or threshold is a failed row without a score, not a failed job.
@@ -131,7 +132,7 @@ def with_cosine_verdict(pairs: DataFrame, stopwords: Stopwords = None) -> DataFr
     return (
         scored.withColumn("status", F.when(passed, "PASS").otherwise("FAIL"))
         .withColumn(
-            "message",
+            "message",  # fixed values: the texts
             F.when(F.col("_pct").isNull(), F.concat(F.lit("Error: "), problem))
             .when(passed, F.concat(F.lit("Similarity Matched | Score: "), shown))
             .otherwise(F.concat(F.lit("Not Matched | Score: "), shown)),
@@ -142,25 +143,23 @@ def with_cosine_verdict(pairs: DataFrame, stopwords: Stopwords = None) -> DataFr
 
 
 def exploded_terms(pairs: DataFrame, key: str) -> DataFrame:
-    """Long form of both sides' cleaned tokens in one pass over the pairs.
+    """Long form of both sides' cleaned tokens in one pass over the pairs: term, e and a.
 
-    Each pair adds one row with an empty term that says which texts are present,
-    so a pair without tokens is not lost.
+    Each pair adds one row with an empty term whose counts are 1 where a text is present, so a pair
+    without tokens is not lost.
     """
 
-    def row(term: Column, e: int, a: int, has_e: Column, has_a: Column) -> Column:
-        return F.struct(
-            term.alias("term"),
-            F.lit(e).cast("bigint").alias("e"), F.lit(a).cast("bigint").alias("a"),
-            has_e.alias("has_e"), has_a.alias("has_a"),
-        )
+    def row(term: Column, e: Column, a: Column) -> Column:
+        return F.struct(term.alias("term"), e.alias("e"), a.alias("a"))
 
-    def side(column: str, e: int, a: int) -> Column:
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+
+    def side(column: str, e: Column, a: Column) -> Column:
         tokens = F.coalesce(text.clean_tokens(F.col(column), []), F.array().cast("array<string>"))
-        return F.transform(tokens, lambda t: row(t, e, a, F.lit(False), F.lit(False)))
+        return F.transform(tokens, lambda t: row(t, e, a))
 
-    present = row(F.lit(""), 0, 0, F.col("expected").isNotNull(), F.col("actual").isNotNull())
-    rows = [F.array(present), side("expected", 1, 0), side("actual", 0, 1)]
+    present = row(F.lit(""), F.col("expected").isNotNull().cast("bigint"), F.col("actual").isNotNull().cast("bigint"))
+    rows = [F.array(present), side("expected", one, zero), side("actual", zero, one)]
     return pairs.select(key, F.inline(F.concat(*rows)))
 
 
@@ -174,18 +173,17 @@ def cosine_by_terms(pairs: DataFrame, stopwords: DataFrame, key: str = "pair_id"
     counts = (
         exploded_terms(pairs, key)
         .groupBy(key, "term")
-        .agg(
-            F.sum("e").alias("e"), F.sum("a").alias("a"),
-            F.max("has_e").alias("has_e"), F.max("has_a").alias("has_a"),
-        )
+        .agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
     )
     kept = drop_stopwords(counts, stopwords.where("word <> ''"))
+    marker = F.col("term") == ""
+    total = lambda x: F.coalesce(F.sum(F.when(~marker, x)), F.lit(0))
     norms = kept.groupBy(key).agg(
-        F.sum(F.col("e") * F.col("e")).alias("ee"),
-        F.sum(F.col("a") * F.col("a")).alias("aa"),
-        F.sum((F.col("e") + F.col("a")) * (F.col("e") + F.col("a"))).alias("both"),
-        F.max("has_e").alias("has_e"),
-        F.max("has_a").alias("has_a"),
+        total(F.col("e") * F.col("e")).alias("ee"),
+        total(F.col("a") * F.col("a")).alias("aa"),
+        total((F.col("e") + F.col("a")) * (F.col("e") + F.col("a"))).alias("both"),
+        F.max(F.when(marker, F.col("e") > 0)).alias("has_e"),
+        F.max(F.when(marker, F.col("a") > 0)).alias("has_a"),
     )
     cosine = scores.cosine_from_squares(
         F.when(F.col("has_e"), F.col("ee")), F.when(F.col("has_a"), F.col("aa")), F.col("both")

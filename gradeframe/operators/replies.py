@@ -79,27 +79,34 @@ def parse_chat(replies: DataFrame, fence: bool = True) -> DataFrame:
 def parse_responses(replies: DataFrame, fence: bool = True) -> DataFrame:
     """Adds ``content``: the first ``output_text`` block of the ``message`` items of ``output``."""
 
-    def message_blocks(items: Column) -> Column:
-        messages = F.filter(items, lambda i: field(i, "type", "string") == "message")
-        blocks = F.transform(messages, lambda m: field(m, "content", "array<variant>"))
-        return F.flatten(F.filter(blocks, lambda b: b.isNotNull()))
+    def stops(items: Column) -> Column:
+        """In order: ``output_text`` blocks of messages, and what is no object, which ends the search."""
+        kind = "array<struct<bad: boolean, block: variant>>"
+        no_object = lambda v: ~F.coalesce(is_object(kind_of(v)), F.lit(False))
+        bad = F.array(F.struct(F.lit(True).alias("bad"), F.lit(None).cast("variant").alias("block")))
+
+        def of_item(item: Column) -> Column:
+            blocks = F.coalesce(field(item, "content", "array<variant>"), F.array().cast("array<variant>"))
+            found = F.filter(
+                F.transform(blocks, lambda b: F.struct(no_object(b).alias("bad"), b.alias("block"))),
+                lambda s: s.bad | F.coalesce(field(s.block, "type", "string") == "output_text", F.lit(False)),
+            )
+            is_message = F.coalesce(field(item, "type", "string") == "message", F.lit(False))
+            return F.when(no_object(item), bad).when(is_message, found).otherwise(F.array().cast(kind))
+
+        return F.flatten(F.transform(items, of_item))
 
     opened = (
         _envelope(replies, "output")
-        .withColumn("_blocks", message_blocks(F.col("_list")))
-        .withColumn(
-            "_block",
-            F.try_element_at(
-                F.filter("_blocks", lambda b: field(b, "type", "string") == "output_text"), F.lit(1)
-            ),
-        )
-        .withColumn("_value", field(F.col("_block"), "text"))
+        .withColumn("_stop", F.try_element_at(stops(F.col("_list")), F.lit(1)))
+        .withColumn("_value", field(F.col("_stop.block"), "text"))
         .withColumn("_text", strip_unicode(F.try_variant_get("_value", "$", "string")))
     )
     problem = first_of(
         _not_an_object(),
         F.when(F.col("_list").isNull(), _problem("ENVELOPE", "Response missing 'output' array.")),
-        F.when(F.col("_block").isNull(), _problem("ENVELOPE", "No 'output_text' block found in response.")),
+        F.when(F.col("_stop").isNull(), _problem("ENVELOPE", "No 'output_text' block found in response.")),
+        F.when(F.col("_stop.bad"), _problem("BAD_JSON", "Item or block is not a JSON object.")),
         F.when(
             F.coalesce(kind_of(F.col("_value")) != "STRING", F.lit(True)),
             _problem("BAD_JSON", "Block has no 'text' string."),
@@ -226,3 +233,23 @@ def with_judge_verdict(judged: DataFrame) -> DataFrame:
             )
         ),
     })
+
+
+def judge_pairs(requests: DataFrame, judged: DataFrame, key: str = "pair_id") -> DataFrame:
+    """A verdict for every request: ``judge_score``, ``reason``, ``status``, ``error_kind``, ``message``.
+
+    ``requests`` has ``threshold`` and ``input_error``, ``judged`` the score and reason by key. A rejected request
+    fails as INPUT; one without a reply, or without a valid one, fails as RUNTIME.
+    """
+    answers = judged.select(key, "judge_score", "reason", F.lit(True).alias("_answered"))
+    joined = requests.select(key, "threshold", "input_error").join(answers, key, "left")
+    rejected = F.col("input_error").isNotNull()
+    accepted = joined.withColumns({c: F.when(~rejected, F.col(c)) for c in ("judge_score", "reason")})
+    verdict = with_judge_verdict(accepted.withColumn("_asked", F.col("threshold")))
+    return verdict.select(
+        key, "judge_score", "reason", "reason_lines",
+        F.when(rejected, F.col("_asked")).otherwise(F.col("threshold")).alias("threshold"), "status",
+        F.when(rejected, "INPUT").when(F.col("judge_score").isNull(), "RUNTIME").alias("error_kind"),
+        F.when(rejected, F.concat(F.lit("Error: "), "input_error"))
+        .when(F.col("_answered").isNull(), "Error: no reply").otherwise(F.col("message")).alias("message"),
+    )

@@ -13,7 +13,6 @@ from ..functions.stopwords import BASE
 from ..operators.attempts import JUDGE_CHAIN
 from ..operators.requests import ANSWER_FIELD, QUERY_FIELD, REASON_FIELD, SCORE_FIELD
 from ..sources.pairs import neighbour_pairs, turn_pairs
-from ..sources.spread import spread
 
 CUSTOM_MODEL = "custom-model"
 
@@ -23,11 +22,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "documents"))
+    return table(spark, folder, "documents")
 
 
 def pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return turn_pairs(spread(table(spark, folder, "conversations")))
+    return turn_pairs(table(spark, folder, "conversations"))
 
 
 def document_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,20 +40,14 @@ def _cases(number: Column, values: dict[int, Column], other: Column) -> Column:
     return chosen.otherwise(other)
 
 
-def caller_stopwords(spark: SparkSession, folder: str) -> DataFrame:
-    """A caller's longer list: the base list and the words of at least 1 in 20 benchmark items.
+# A caller's list: the base list and words of their own.
+CALLER_WORDS = [*BASE, "also", "ed", "el", "en", "he", "however", "la", "le", "need", "nd", "or", "please", "que", "th", "the", "und"]
 
-    Its length is bounded by 20 times the mean number of words of an item.
-    """
-    items = table(spark, folder, "benchmark")
-    total = items.count()
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
-    frequent = (
-        items.select(F.explode(words).alias("word")).groupBy("word").count()
-        .where(F.col("count") * 20 >= total).select("word")
-    )
-    base = spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in BASE])).alias("word"))
-    return base.unionByName(frequent).distinct()
+
+def caller_stopwords(spark: SparkSession, folder: str) -> DataFrame:
+    """A caller's table of words: all words of up to three letters of the benchmark items."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    return table(spark, folder, "benchmark").select(F.explode(words).alias("word")).where("length(word) <= 3").distinct()
 
 
 def judge_inputs(spark: SparkSession, folder: str) -> DataFrame:
@@ -153,7 +146,7 @@ def chat_replies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def responses_replies(spark: SparkSession, folder: str) -> DataFrame:
-    """One reply per document in the responses envelope, in 12 forms."""
+    """One reply per document in the responses envelope, in 14 forms."""
     n = F.col("doc_id")
     inner = _judge_json((n % 101).cast("string"), quoted(F.col("text")))
     fenced = F.concat(F.lit(" ```json\n"), inner, F.lit("\n``` "))
@@ -181,9 +174,11 @@ def responses_replies(spark: SparkSession, folder: str) -> DataFrame:
         9: body(item(block(inner), kind="reasoning")),
         10: body(F.lit('{"type":"message","content":null}'), item(block(inner), block(F.lit("later")))),
         11: F.lit('{"output":"x"}'),
+        12: body(F.lit("7"), item(block(inner))),
+        13: body(item(F.lit("null"), block(inner))),
     }
     good = body(F.lit('{"type":"reasoning"}'), item(block(inner)))
-    return documents(spark, folder).select("doc_id", _cases(n % 12, bodies, good).alias("body"))
+    return documents(spark, folder).select("doc_id", _cases(n % 14, bodies, good).alias("body"))
 
 
 def preferred_models(spark: SparkSession, folder: str) -> DataFrame:
@@ -298,9 +293,9 @@ def _expected_tools() -> Column:
 def cases(spark: SparkSession, folder: str) -> DataFrame:
     """One test case per order."""
     missing = F.col("o_orderkey") % 29 == 0
-    return spread(table(spark, folder, "orders")).select(
+    return table(spark, folder, "orders").select(
         F.concat(F.lit("T"), F.col("o_orderkey").cast("string")).alias("test_id"),
-        F.concat(F.lit("Refund my order "), _order_id()).alias("input"),
+        F.concat(F.lit("Please take back "), _order_id()).alias("input"),
         _expected_tools().alias("expected_tools"),
         F.when(~missing, _order_id()).alias("expected_order_id"),
     )
@@ -334,9 +329,9 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
         names, lambda name, i: F.struct(name.alias("tool_name"), argument(i).alias("arguments"))
     )
     answer = F.when(
-        key % 4 < 3, F.concat(F.lit("Refund has been successfully created for order "), _order_id())
-    ).otherwise("Your refund is being checked.")
-    return spread(table(spark, folder, "orders")).select(
+        key % 4 < 3, F.concat(F.lit("The money was sent back successfully, see "), _order_id())
+    ).otherwise("We still look into the matter.")
+    return table(spark, folder, "orders").select(
         F.concat(F.lit("T"), key.cast("string")).alias("test_id"),
         calls.alias("tool_calls"),
         answer.alias("final_answer"),

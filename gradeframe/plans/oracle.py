@@ -13,10 +13,10 @@ from ..functions.stopwords import BASE
 from ..functions.text import CONTROL_AND_SPACE, UNICODE_SPACE
 from ..operators.attempts import JUDGE_CHAIN, POLICIES, VISION_CHAIN
 from ..operators.requests import (
-    COMPARE_RULES, JUDGE_RULES, JUDGE_SYSTEM, PROMPT_VERSION, QUESTION_RULES, QUESTION_SYSTEM,
+    COMPARE_RULES, DIRECT_TEMPERATURE_MODELS, JUDGE_RULES, JUDGE_SYSTEM, PROMPT_VERSION, QUESTION_RULES, QUESTION_SYSTEM,
     REASON_FIELD, SCORE_FIELD, TEMPERATURE_MODELS,
 )
-from .fixtures import CUSTOM_MODEL
+from .fixtures import CALLER_WORDS, CUSTOM_MODEL
 from .queries import JUDGE_PROMPT, QUESTION_PROMPT, VISION_PROMPT
 
 ORACLES: dict[str, str] = {}
@@ -60,14 +60,11 @@ pairs AS (
   SELECT d.doc_id AS pair_id, d.text AS expected, n.text AS actual
   FROM documents d JOIN documents n ON n.doc_id = d.doc_id + 1)"""
 
-CALLER_LIST = f"""
-caller AS (
-  SELECT unnest({BASE_LIST}) AS word
-  UNION
-  SELECT word FROM (
-    SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS word FROM benchmark)
-  GROUP BY word HAVING count(*) * 20 >= (SELECT count(*) FROM benchmark)),
-words AS (SELECT list(word) AS stop FROM caller)"""
+CALLER_LIST = f"words AS (SELECT {lits(CALLER_WORDS)} AS stop)"
+CALLER_TABLE = """
+words AS (
+  SELECT list(DISTINCT word) AS stop FROM (
+    SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark) WHERE length(word) <= 3)"""
 
 BASE_WORDS = f"words AS (SELECT {BASE_LIST} AS stop)"
 
@@ -152,14 +149,16 @@ ORACLES["cosine_pct"] = f"{cosine(PAIRS, CALLER_LIST)} SELECT pair_id, round(cos
 ORACLES["cosine_pct_documents"] = (
     f"{cosine(DOCUMENT_PAIRS, CALLER_LIST)} SELECT pair_id AS doc_id, round(cosine * 100, 6) AS cosine_pct FROM scored"
 )
-ORACLES["cosine_by_terms"] = ORACLES["cosine_pct_documents"]
+ORACLES["cosine_by_terms"] = (
+    f"{cosine(DOCUMENT_PAIRS, CALLER_TABLE)} SELECT pair_id AS doc_id, round(cosine * 100, 6) AS cosine_pct FROM scored"
+)
 
 VERDICT_PAIRS = f"""{PAIRS.replace('pairs AS', 'turns AS', 1)},
 pairs AS (
   SELECT pair_id, CASE WHEN (conv_id + turn) % 9 <> 0 THEN expected END AS expected, actual,
     CASE WHEN (conv_id + turn) % 7 <> 0 THEN ((conv_id + turn) % 10) * 10.0::DOUBLE END AS threshold FROM turns)"""
 ORACLES["cosine_verdict"] = f"""
-{cosine(VERDICT_PAIRS, BASE_WORDS)},
+{cosine(VERDICT_PAIRS, CALLER_LIST)},
 shown AS (
   SELECT *, CASE WHEN threshold IS NOT NULL THEN cosine * 100 END AS pct,
     CAST(CAST(cosine * 100 AS FLOAT) AS VARCHAR) AS txt FROM scored)
@@ -334,6 +333,12 @@ SELECT pair_id, model, {lit(PROMPT_VERSION)} AS prompt_version,
     THEN to_json({{'model': model, 'input': prompt, 'temperature': 0, 'text': {{'format': {{'type': 'json_object'}}}}}})
     ELSE to_json({{'model': model, 'input': prompt, 'text': {{'format': {{'type': 'json_object'}}}}}}) END
     AS VARCHAR) AS body FROM asked"""
+ORACLES["judge_request_direct"] = f"""
+WITH {PAIRS}, asked AS (SELECT pair_id, {COMPARE_TEXT} AS prompt, unnest({lits(JUDGE_CHAIN)}) AS model FROM pairs)
+SELECT pair_id, model, CAST(CASE WHEN list_contains({lits(DIRECT_TEMPERATURE_MODELS)}, model)
+    THEN to_json({{'model': model, 'input': prompt, 'temperature': 0, 'text': {{'format': {{'type': 'json_object'}}}}}})
+    ELSE to_json({{'model': model, 'input': prompt, 'text': {{'format': {{'type': 'json_object'}}}}}}) END
+    AS VARCHAR) AS body FROM asked"""
 ORACLES["qa_prompt"] = f"SELECT doc_id, {QUESTION_TEXT} AS prompt FROM documents"
 ORACLES["qa_request"] = f"""
 SELECT doc_id, CAST(to_json({{'messages': {messages(QUESTION_SYSTEM, QUESTION_TEXT)}, 'temperature': 0}}) AS VARCHAR) AS body
@@ -433,7 +438,7 @@ _LATER = """'"later"'"""
 RESPONSES_REPLIES = f"""
 contents AS (SELECT doc_id, {_GOOD} AS inner_text FROM documents),
 replies AS (
-  SELECT doc_id, CASE doc_id % 12
+  SELECT doc_id, CASE doc_id % 14
     WHEN 1 THEN {_body(_item(_REFUSAL, _block(_INNER)))}
     WHEN 2 THEN {_body(_item(_REFUSAL), _item(_block(_INNER)))}
     WHEN 3 THEN {_body(_item(_block(_FENCED)))}
@@ -445,26 +450,31 @@ replies AS (
     WHEN 9 THEN {_body(_item(_block(_INNER), kind="reasoning"))}
     WHEN 10 THEN {_body(lit('{"type":"message","content":null}'), _item(_block(_INNER), _block(_LATER)))}
     WHEN 11 THEN '{{"output":"x"}}'
+    WHEN 12 THEN {_body(lit('7'), _item(_block(_INNER)))}
+    WHEN 13 THEN {_body(_item(lit('null'), _block(_INNER)))}
     ELSE {_body(lit('{"type":"reasoning"}'), _item(_block(_INNER)))} END AS body FROM contents)"""
 
 RESPONSES_PARSED = f"""
 opened AS (SELECT *, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j FROM replies),
 blocks AS (
-  SELECT *, list_filter(
-      flatten(list_transform(
-        list_filter(json_extract(j, '$.output[*]'), lambda i: json_extract_string(i, '$.type') = 'message'),
-        lambda m: json_extract(m, '$.content[*]'))),
-      lambda b: json_extract_string(b, '$.type') = 'output_text')[1] AS block FROM opened),
+  SELECT * EXCLUDE (hit), hit.bad AS bad, hit.block AS block FROM (
+    SELECT *, list_filter(flatten(list_transform(json_extract(j, '$.output[*]'), lambda i:
+        CASE WHEN json_type(i) <> 'OBJECT' THEN [{{'bad': true, 'block': NULL::JSON}}]
+          WHEN json_extract_string(i, '$.type') = 'message'
+            THEN list_transform(json_extract(i, '$.content[*]'), lambda b: {{'bad': json_type(b) <> 'OBJECT', 'block': b}})
+          ELSE [] END)),
+      lambda e: e.bad OR json_extract_string(e.block, '$.type') = 'output_text')[1] AS hit FROM opened)),
 read AS (SELECT *, trim(json_extract_string(block, '$.text'), {SPACE}) AS t FROM blocks),
 named AS (
   SELECT *, CASE WHEN j IS NULL OR json_type(j) <> 'OBJECT' THEN 'Body is not a JSON object.'
     WHEN json_type(j, '$.output') IS DISTINCT FROM 'ARRAY' THEN 'Response missing ''output'' array.'
-    WHEN block IS NULL THEN 'No ''output_text'' block found in response.'
+    WHEN bad IS NULL THEN 'No ''output_text'' block found in response.'
+    WHEN bad THEN 'Item or block is not a JSON object.'
     WHEN json_type(block, '$.text') IS DISTINCT FROM 'VARCHAR' THEN 'Block has no ''text'' string.' END AS parse_error
   FROM read),
 parsed AS (
-  SELECT * EXCLUDE (j, block), CASE WHEN parse_error IS NULL THEN {unfence('t', SPACE)} END AS content,
-    CASE WHEN parse_error LIKE 'B%' THEN 'BAD_JSON' WHEN parse_error IS NOT NULL THEN 'ENVELOPE' END AS error_class
+  SELECT * EXCLUDE (j, bad, block), CASE WHEN parse_error IS NULL THEN {unfence('t', SPACE)} END AS content,
+    CASE WHEN parse_error LIKE 'B%' OR parse_error LIKE 'Item%' THEN 'BAD_JSON' WHEN parse_error IS NOT NULL THEN 'ENVELOPE' END AS error_class
   FROM named)"""
 ORACLES["parse_responses"] = (
     f"WITH {RESPONSES_REPLIES}, {RESPONSES_PARSED} SELECT doc_id, content, parse_error, error_class FROM parsed"
@@ -521,11 +531,13 @@ SELECT doc_id, CAST(i AS INTEGER) AS pos, l[i + 1] AS line FROM (SELECT doc_id,
 ORACLES["judge_verdict"] = f"""
 WITH {JUDGE_INPUTS}, {CHAT_JUDGED},
 joined AS (
-  SELECT c.pair_id, c.threshold, CASE WHEN usable THEN n END AS judge_score, CASE WHEN usable THEN rt END AS reason
-  FROM checked c JOIN scored s ON CAST(s.doc_id AS VARCHAR) = c.pair_id WHERE c.input_error IS NULL)
+  SELECT c.pair_id, c.threshold, c.input_error, CASE WHEN usable AND c.input_error IS NULL THEN n END AS judge_score,
+    CASE WHEN usable AND c.input_error IS NULL THEN rt END AS reason
+  FROM checked c JOIN scored s ON CAST(s.doc_id AS VARCHAR) = c.pair_id)
 SELECT pair_id, judge_score, threshold, len(string_split(regexp_replace(reason, '\\n+$', ''), chr(10))) AS n_lines,
   CASE WHEN judge_score >= threshold THEN 'PASS' ELSE 'FAIL' END AS status,
-  CASE WHEN judge_score IS NULL THEN 'Error: no valid reply'
+  CASE WHEN input_error IS NOT NULL THEN 'INPUT' WHEN judge_score IS NULL THEN 'RUNTIME' END AS error_kind,
+  CASE WHEN input_error IS NOT NULL THEN 'Error: ' || input_error WHEN judge_score IS NULL THEN 'Error: no valid reply'
     WHEN judge_score >= threshold THEN 'PASS - Similarity Score: ' || judge_score || '%'
     ELSE 'FAIL - Similarity Score: ' || judge_score || '% is below threshold of ' || threshold || '%' END AS message
 FROM joined"""
@@ -624,9 +636,13 @@ stops AS (
   SELECT *, row_number() OVER (PARTITION BY pair_id, place ORDER BY attempt_no) AS nth
   FROM ranked WHERE place > 0 AND attempt_no <= {MAX_ATTEMPTS} AND (action <> 'retry' OR attempt_no = {MAX_ATTEMPTS})),
 firsts AS (SELECT * FROM stops WHERE nth = 1),
-ends AS (
-  SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY place) AS k FROM firsts WHERE action <> 'next'),
-refused AS (SELECT pair_id FROM firsts WHERE action = 'next' AND place = len(o)),
+reached AS (
+  SELECT * FROM (
+    SELECT *, count(CASE WHEN action = 'next' THEN 1 END) OVER (
+      PARTITION BY pair_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS refusals FROM firsts)
+  WHERE refusals = place - 1),
+ends AS (SELECT *, 1 AS k FROM reached WHERE action <> 'next'),
+refused AS (SELECT pair_id FROM reached WHERE action = 'next' AND place = len(o)),
 keys AS (SELECT DISTINCT pair_id FROM outcomes)
 SELECT p.pair_id,
   CASE e.action WHEN 'accept' THEN 'ACCEPTED' WHEN 'abort' THEN 'ABORTED' WHEN 'retry' THEN 'RETRIES_USED_UP'
@@ -647,6 +663,8 @@ ORACLES["resolve_attempts_direct"] = resolved("direct", JUDGE_CHAIN[:1], DIRECT_
 DOC_TYPES = f"""{DOCUMENT_BYTES},
 kinds AS (SELECT *, CASE WHEN starts_with(hex(content), '25504446') THEN 'pdf' WHEN starts_with(hex(content), '504B') THEN 'docx'
   ELSE 'txt' END AS doc_type FROM bytes)"""
+ORACLES["document_source"] = f"""
+WITH {DOCUMENT_BYTES} SELECT doc_id, octet_length(content) AS length, left(hex(content), 8) AS first_bytes FROM bytes"""
 ORACLES["document_type"] = f"WITH {DOC_TYPES} SELECT doc_id, doc_type FROM kinds"
 ORACLES["document_text"] = f"""
 WITH {DOC_TYPES}, read AS (SELECT *, CASE WHEN doc_type = 'txt' THEN {trim('decode(content)')} END AS t FROM kinds)
@@ -729,7 +747,7 @@ keys AS (
       ELSE ['search_order', 'create_refund'] END AS expected_tools FROM orders),
 named AS (
   SELECT *, CASE WHEN k % 29 <> 0 THEN id END AS expected_order_id,
-    CASE WHEN k % 4 < 3 THEN 'Refund has been successfully created for order ' || id ELSE 'Your refund is being checked.' END AS final_answer,
+    CASE WHEN k % 4 < 3 THEN 'The money was sent back successfully, see ' || id ELSE 'We still look into the matter.' END AS final_answer,
     CASE f WHEN 0 THEN list_concat(['delete_order'], expected_tools) WHEN 3 THEN list_reverse(expected_tools) WHEN 4 THEN []
       WHEN 5 THEN [expected_tools[1], 'delete_order']
       WHEN 6 THEN list_transform(expected_tools, lambda t: upper(t[1]) || t[2:])
@@ -747,8 +765,10 @@ ORACLES["tool_exists"] = f"""
 WITH {TRACES} SELECT test_id, unknown IS NULL AS all_known, CAST(unknown.pos AS INTEGER) AS unknown_pos,
   unknown.name AS unknown_tool FROM flagged"""
 ORACLES["tool_params"] = f"""
-WITH {TRACES} SELECT test_id, wrong IS NULL AS all_right, CAST(wrong.pos AS INTEGER) AS wrong_pos
-FROM flagged WHERE expected_order_id IS NOT NULL"""
+WITH {TRACES} SELECT test_id, expected_order_id IS NULL AS rejected,
+  CASE WHEN expected_order_id IS NOT NULL THEN wrong IS NULL END AS all_right,
+  CASE WHEN expected_order_id IS NOT NULL THEN CAST(wrong.pos AS INTEGER) END AS wrong_pos
+FROM flagged"""
 ORACLES["tool_sequence"] = f"""
 WITH {TRACES} SELECT test_id, array_to_string(names, ',') AS called, names = expected_tools AS same_sequence FROM flagged"""
 ORACLES["backend_exists"] = f"WITH {TRACES} SELECT test_id, expected_order_id, in_backend FROM flagged"

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import files, http, text
-from ..functions.stopwords import BASE, as_words
+from ..functions.stopwords import BASE
 from ..operators import agents, attempts, lexical, questions, replies, requests, rules
 from ..sources import schemas
-from ..sources.files import read_files, with_document_text
+from ..sources.files import with_document_text
 from ..sources.schemas import conform
 from . import fixtures
 
@@ -85,12 +85,12 @@ def stopword_filter(spark, folder):
 
 @query
 def stopword_filter_ext(spark, folder):
-    return _kept(spark, folder, as_words(fixtures.caller_stopwords(spark, folder)))
+    return _kept(spark, folder, fixtures.CALLER_WORDS)
 
 
 @query
 def clean_tokens(spark, folder):
-    words = as_words(fixtures.caller_stopwords(spark, folder))
+    words = fixtures.CALLER_WORDS
     tokens = text.clean_tokens(F.col("text"), words)
     return fixtures.documents(spark, folder).select("doc_id", _joined(tokens).alias("tokens"))
 
@@ -101,14 +101,12 @@ def _percent(scored, *keys):
 
 @query
 def cosine_pct(spark, folder):
-    words = fixtures.caller_stopwords(spark, folder)
-    return _percent(lexical.with_cosine(fixtures.pairs(spark, folder), words), "pair_id")
+    return _percent(lexical.with_cosine(fixtures.pairs(spark, folder), fixtures.CALLER_WORDS), "pair_id")
 
 
 @query
 def cosine_pct_documents(spark, folder):
-    words = fixtures.caller_stopwords(spark, folder)
-    return _percent(lexical.with_cosine(fixtures.document_pairs(spark, folder), words), "doc_id")
+    return _percent(lexical.with_cosine(fixtures.document_pairs(spark, folder), fixtures.CALLER_WORDS), "doc_id")
 
 
 @query
@@ -127,7 +125,9 @@ def cosine_verdict(spark, folder):
         "actual",
         F.when(number % 7 != 0, (number % 10) * F.lit(10.0)).alias("threshold"),
     )
-    verdict = lexical.with_cosine_verdict(conform(requests_in, schemas.LEXICAL_REQUEST))
+    verdict = lexical.with_cosine_verdict(
+        conform(requests_in, schemas.LEXICAL_REQUEST), fixtures.CALLER_WORDS
+    )
     return verdict.select("pair_id", _score("cosine_pct"), "threshold", "status", "message")
 
 
@@ -204,6 +204,14 @@ def judge_request_b(spark, folder):
     return requests.with_compare_request(asked).select("pair_id", "model", "prompt_version", "body")
 
 
+@query
+def judge_request_direct(spark, folder):
+    models = F.array(*[F.lit(m) for m in attempts.JUDGE_CHAIN])
+    asked = fixtures.pairs(spark, folder).withColumn("model", F.explode(models))
+    sent = requests.with_compare_request(asked, requests.DIRECT_TEMPERATURE_MODELS)
+    return sent.select("pair_id", "model", "body")
+
+
 @query
 def vision_request(spark, folder):
     asked = fixtures.images(spark, folder).withColumns(
@@ -279,14 +287,13 @@ def reason_lines(spark, folder):
 @query
 def judge_verdict(spark, folder):
     """Requests joined with their replies: the thresholds come from the first, the scores from the second."""
-    good, _ = rules.split_rejects(_judge_inputs(spark, folder))
     judged = _judged(spark, folder).select(
         F.col("doc_id").cast("string").alias("pair_id"), "judge_score", "reason"
     )
-    verdict = replies.with_judge_verdict(good.select("pair_id", "threshold").join(judged, "pair_id"))
+    verdict = replies.judge_pairs(_judge_inputs(spark, folder), judged)
     return verdict.select(
         "pair_id", "judge_score", "threshold", F.size("reason_lines").cast("bigint").alias("n_lines"),
-        "status", "message",
+        "status", "error_kind", "message",
     )
 
 
@@ -367,8 +374,11 @@ def resolve_attempts_vision(spark, folder):
 
 @query
 def document_source(spark, folder):
-    found = read_files(spark, folder, "*.parquet")
-    return found.select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "length")
+    """The table's texts as bytes; files come by `read_files` in the same columns."""
+    content = F.col("content")
+    return fixtures.document_bytes(spark, folder).select(
+        "doc_id", F.octet_length(content).cast("bigint").alias("length"), F.hex(F.substring(content, 1, 4)).alias("first_bytes")
+    )
 
 
 @query
@@ -438,8 +448,13 @@ def _traces(spark, folder):
 
 @query
 def tool_params(spark, folder):
-    checked = agents.with_wrong_argument(_traces(spark, folder).where("expected_order_id is not null"))
-    return checked.select("test_id", F.col("wrong_pos").isNull().alias("all_right"), "wrong_pos")
+    """A case without an expected id is a reject: a null would equal a missing argument."""
+    checked = agents.with_wrong_argument(_traces(spark, folder))
+    rejected = F.col("expected_order_id").isNull()
+    return checked.select(
+        "test_id", rejected.alias("rejected"), F.when(~rejected, F.col("wrong_pos").isNull()).alias("all_right"),
+        F.when(~rejected, F.col("wrong_pos")).alias("wrong_pos"),
+    )
 
 
 @query

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .schemas import REPLIES
 
 
-def write_requests(requests: DataFrame, path: str) -> None:
-    """One JSON request per line from the ``body`` column."""
-    requests.select("body").write.mode("errorifexists").text(path)
+def write_requests(requests: DataFrame, path: str, key: str = "pair_id") -> None:
+    """One JSON line per request: its key, its model if it has one, and the ``body`` to send.
+
+    The key comes back with the reply: lines of many tasks have no order that could tie them together.
+    """
+    named = [F.col(key).cast("string").alias(key), *[c for c in ("model",) if c in requests.columns], "body"]
+    requests.select(*named).write.mode("errorifexists").json(path)
 
 
 def read_replies(spark: SparkSession, path: str, kind: str = "parquet", stream: bool = False) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..session import shared_folder
@@ -46,7 +46,8 @@ def run_per_batch(
     """Run a batch job with joins or aggregates on each micro-batch.
 
     Each batch replaces its own ``batch_id`` folder, so a repeated batch leaves
-    the same result. Aggregates see one micro-batch: send whole keys together.
+    the same result. Aggregates see one micro-batch;
+    where keys span several, use `run_recomputed`.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -58,3 +59,35 @@ def run_per_batch(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def run_recomputed(
+    stream: DataFrame, step: Step, log: str, path: str, name: str, key: str, checkpoint: str | None = None
+) -> StreamingQuery:
+    """Run a batch job per key although a key's rows arrive in several micro-batches.
+
+    Each micro-batch is added to the stored log, and the keys it touches are computed anew from all
+    their rows up to then. Both folders are replaced by ``batch_id``, so a repeated batch leaves the same
+    result; `latest` reads the result of each key's last batch.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{log}/batch_id={batch_id}")
+        stored = spark.read.parquet(log).where(F.col("batch_id") <= batch_id)
+        touched = stored.where(F.col("batch_id") == batch_id).select(key).distinct()
+        whole = stored.drop("batch_id").join(touched, key, "left_semi")
+        step(whole).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return (
+        stream.writeStream.foreachBatch(write).queryName(name)
+        .option("checkpointLocation", _state(stream, name, checkpoint))
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def latest(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """Results of `run_recomputed`: of each key those of its last batch."""
+    results = spark.read.parquet(path)
+    last = results.groupBy(key).agg(F.max("batch_id").alias("batch_id"))
+    return results.join(last, [key, "batch_id"], "left_semi").drop("batch_id")

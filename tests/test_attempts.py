@@ -74,6 +74,8 @@ def search(rows, policy, chain, preferred):
             if action == "next":
                 moved_on = True
                 break
+        if not moved_on:
+            return "INCOMPLETE", None, None, None, None  # the next model was never asked
     return ("MODELS_USED_UP" if moved_on else "INCOMPLETE"), None, None, None, None
 
 
@@ -102,6 +104,13 @@ def test_search_against_the_loop(spark, policy):
     assert len({v[0] for v in wanted.values()}) >= 3
 
 
+def test_models_behind_an_open_search_do_not_count(spark):
+    rows = [("a", None, CHAIN[0], 1, "SERVER", 1, "r"), ("a", None, CHAIN[0], 2, "SERVER", 1, "r"), ("a", None, CHAIN[1], 1, "OK", 2, "r"),
+            ("b", None, CHAIN[0], 1, "SERVER", 1, "r"), ("b", None, CHAIN[2], 1, "CLIENT", 1, "r")]
+    got = attempts.resolve_attempts(spark.createDataFrame(rows, SCHEMA), "responses").collect()
+    assert {(r.pair_id, r.end_state, r.model_used) for r in got} == {("a", "INCOMPLETE", None), ("b", "INCOMPLETE", None)}
+
+
 def test_one_shuffle_with_map_side_combine(spark):
     frame = spark.createDataFrame([("p", None, CHAIN[0], 1, "OK", 5, "r")], SCHEMA)
     plan = attempts.resolve_attempts(frame, "chat", CHAIN[:1])._jdf.queryExecution().executedPlan().toString()

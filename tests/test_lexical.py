@@ -4,14 +4,16 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from gradeframe.functions.stem import porter_stem
 from gradeframe.functions.stopwords import BASE
 from gradeframe.operators import lexical
+from gradeframe.sources.pairs import turn_pairs
 
 PAIRS = [
-    ("ref3", "here are the related specific content based on your questions",
-     "I can only answer related to product specific questions"),
+    ("ref3", "your parcel leaves the harbour by ship on a monday morning",
+     "we only know that a parcel leaves by train every monday"),
     ("ref4", " ", " "),
     ("m1", "any text", ""),
     ("m2", "foo\nbar", "foo bar"),
@@ -35,7 +37,7 @@ def by_id(frame, *columns):
 
 def test_containment(pairs):
     got = by_id(lexical.with_containment(pairs), "containment_pct", "is_valid")
-    # related, specific, questions of: can, answer, related, product, specific, questions
+    # parcel, leaves, monday of: know, parcel, leaves, train, every, monday
     assert got["ref3"] == (50.0, False)
     assert got["m1"] == (None, False)
     assert got["m2"] == (0.0, False)
@@ -52,7 +54,7 @@ def test_containment_threshold_is_strict(spark):
 
 
 def test_cosine(pairs):
-    got = by_id(lexical.with_cosine(pairs), "cosine")
+    got = by_id(lexical.with_cosine(pairs, BASE), "cosine")
     assert got["ref4"] == (1.0,)            # both empty, by our definition
     assert got["m1"] == (0.0,)
     assert got["m4"] == (1.0,)              # the negation is a stopword
@@ -68,7 +70,7 @@ def test_cosine_verdict(spark):
          ("null", None, "x", 50.0), ("mark", "red", "red", None)],
         SCHEMA + ", threshold double",
     )
-    got = by_id(lexical.with_cosine_verdict(rows), "cosine_pct", "status", "message")
+    got = by_id(lexical.with_cosine_verdict(rows, BASE), "cosine_pct", "status", "message")
     assert got["hit"] == (100.0, "PASS", "Similarity Matched | Score: 100.0")
     assert got["edge"] == (50.0, "PASS", "Similarity Matched | Score: 50.0")
     assert got["miss"] == (50.0, "FAIL", "Not Matched | Score: 50.0")
@@ -111,7 +113,7 @@ def random_pairs(spark):
 @pytest.mark.parametrize("stem", [False, True])
 def test_cosine_against_brute_force(random_pairs, stem):
     rows, frame = random_pairs
-    scored = (lexical.with_stemmed_cosine if stem else lexical.with_cosine)(frame)
+    scored = (lexical.with_stemmed_cosine if stem else lexical.with_cosine)(frame, BASE)
     got = by_id(scored, "cosine")
     for key, expected, actual in rows:
         a, b = (brute_tokens(t, set(BASE), stem) for t in (expected, actual))
@@ -121,13 +123,13 @@ def test_cosine_against_brute_force(random_pairs, stem):
 def test_term_form_equals_row_form(spark, random_pairs, pairs):
     words = spark.createDataFrame([(w,) for w in BASE], "word string")
     for frame in (random_pairs[1], pairs):
-        assert by_id(lexical.cosine_by_terms(frame, words), "cosine") == by_id(lexical.with_cosine(frame), "cosine")
+        assert by_id(lexical.cosine_by_terms(frame, words), "cosine") == by_id(lexical.with_cosine(frame, BASE), "cosine")
 
 
 def test_cosine_is_symmetric_and_bounded(random_pairs):
     frame = random_pairs[1]
     swapped = frame.selectExpr("pair_id", "actual AS expected", "expected AS actual")
-    forth, back = by_id(lexical.with_cosine(frame), "cosine"), by_id(lexical.with_cosine(swapped), "cosine")
+    forth, back = by_id(lexical.with_cosine(frame, BASE), "cosine"), by_id(lexical.with_cosine(swapped, BASE), "cosine")
     assert forth == back and all(0 <= v[0] <= 1 for v in forth.values())
 
 
@@ -136,4 +138,21 @@ def test_stopword_list_is_an_argument(spark):
     kept = [w for w in BASE if w != "not"]
     assert by_id(lexical.with_cosine(rows, kept), "cosine")["p"][0] == pytest.approx(1 / math.sqrt(2))
     table = spark.createDataFrame([("is",)], "word string")
-    assert by_id(lexical.with_cosine(rows, table), "cosine")["p"][0] == pytest.approx(1 / math.sqrt(2))
+    assert by_id(lexical.cosine_by_terms(rows, table), "cosine")["p"][0] == pytest.approx(1 / math.sqrt(2))
+    with pytest.raises(TypeError, match="joins"):  # a table is never read while a plan is built
+        lexical.with_cosine(rows, table)
+
+
+@pytest.mark.parametrize("score, wanted", [
+    (lambda p: lexical.with_containment(p).where("not is_valid"), ("regexp_replace", 2)),
+    (lambda p: lexical.with_cosine(p, BASE).where("cosine < 0.5"), ("regexp_extract_all", 2)),
+    (lambda p: lexical.with_cosine_verdict(p.withColumn("threshold", F.lit(50.0)), BASE).where("status = 'FAIL'"), ("regexp_extract_all", 2)),
+    (lambda p: lexical.with_stemmed_cosine(p).where("cosine < 0.5"), ("regexp_extract_all", 2)),
+])
+def test_filter_on_a_score_does_not_tokenise_again(spark, score, wanted):
+    turns = spark.createDataFrame([(1, 0, "user", "a b"), (1, 1, "assistant", "a c")], "conv_id int, turn int, role string, text string")
+    plan = score(turn_pairs(turns))._jdf.queryExecution().optimizedPlan().toString()
+    pattern, times = wanted
+    assert plan.count(pattern) == times and plan.count("ArrowEvalPython") <= 1
+    (join,) = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert "regexp" not in join

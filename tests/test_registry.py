@@ -4,11 +4,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from gradeframe.plans.oracle import ORACLES as LIBRARY_ORACLES
+from gradeframe.plans.queries import QUERIES as LIBRARY
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+# The training-data queries have tests of their own.
+QUERIES, ORACLES = LIBRARY, LIBRARY_ORACLES
 
 # Keys the coverage list asks for.
 WANTED = """
@@ -17,7 +20,7 @@ cosine_pct cosine_verdict stem_terms stemmed_tokens cosine_stemmed judge_input_r
 judge_prompt_b judge_request judge_request_b vision_request qa_prompt qa_request parse_chat parse_responses
 fence_strip judge_schema judge_scores reason_lines judge_verdict http_outcome attempt_wait model_order
 resolve_attempts document_type document_text qa_parse qa_validate qa_pairs qa_totals document_source media_type
-data_url tool_exists tool_params tool_sequence backend_exists hallucination agent_verdict
+data_url judge_request_direct tool_exists tool_params tool_sequence backend_exists hallucination agent_verdict
 """.split()
 
 
@@ -35,7 +38,8 @@ def ordered(columns, names):
 
 
 def test_all_keys_are_there():
-    assert set(WANTED) <= set(QUERIES) and set(ORACLES) <= set(QUERIES)
+    assert set(WANTED) <= set(QUERIES) and set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))

@@ -59,10 +59,11 @@ def test_responses_envelope(spark):
         out({"type": "message", "content": None}, message(block(GOOD))),
         out({"type": "other", "content": [block(GOOD)]}), out(), "{}", '{"output": {}}',
         out(message({"type": "output_text"})), out(message({"type": "output_text", "text": 5})), "nope",
+        out(7, message(block(GOOD))), out(message(None, block(GOOD))), out(message(block(GOOD)), 7), out({"type": "other", "content": [7]}, message(block(GOOD))),
     ]
     got = run(spark, replies.parse_responses, bodies)
     assert [r.content for r in got[:3]] == [GOOD] * 3
-    assert [r.error_class for r in got[3:]] == ["ENVELOPE"] * 4 + ["BAD_JSON"] * 3
+    assert [r.error_class for r in got[3:]] == ["ENVELOPE"] * 4 + ["BAD_JSON"] * 5 + [None] * 2  # what comes after the hit is not read
 
 
 CASES = [

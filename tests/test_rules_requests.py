@@ -3,11 +3,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from gradeframe.operators import requests, rules
+from gradeframe.operators import replies as reply, requests, rules
 from gradeframe.sources.files import read_files, read_images, split_documents, with_document_text
 from gradeframe.sources.pairs import named_pairs
-from gradeframe.sources.schemas import JUDGE_REQUEST, PAIRS, conform
+from gradeframe.sources.schemas import JUDGE_REQUEST, PAIRS, REPLIES, conform
 from gradeframe.sources.tables import read_replies, write_requests, write_results
+from gradeframe.streaming.runner import run_row_local
 
 
 @pytest.mark.parametrize("row, wanted", [
@@ -84,9 +85,9 @@ def test_question_and_vision_requests(spark):
 
 def test_sinks_and_reply_source(spark, tmp_path):
     frame = spark.createDataFrame([(NASTY, "b", "base")], "expected string, actual string, prompt string")
-    write_requests(requests.with_judge_request(frame), str(tmp_path / "out"))
-    lines = spark.read.text(str(tmp_path / "out")).collect()
-    assert len(lines) == 1 and json.loads(lines[0].value)
+    write_requests(requests.with_judge_request(frame.withColumn("pair_id", F.lit(7))), str(tmp_path / "out"))
+    (line,) = spark.read.text(str(tmp_path / "out")).collect()
+    assert json.loads(line.value)["pair_id"] == "7" and json.loads(json.loads(line.value)["body"])
     replies = spark.createDataFrame([("1", "m", 1, 200, None, "{}")],
                                     "pair_id string, model string, attempt_no int, http_status int, retry_after string, body string")
     replies.write.json(str(tmp_path / "replies"))
@@ -95,6 +96,37 @@ def test_sinks_and_reply_source(spark, tmp_path):
     assert (tmp_path / "results" / "status=PASS").is_dir()
 
 
+@pytest.mark.parametrize("stream", [False, True])
+def test_replies_find_their_requests(spark, tmp_path, stream):
+    asked = spark.range(40).select(F.col("id").cast("string").alias("pair_id"), F.lit("e").alias("expected"), F.lit("a").alias("actual"),
+                                   F.lit("p").alias("prompt"), (F.col("id") % 100).cast("int").alias("threshold"),
+                                   F.lit(None).cast("string").alias("input_error"), F.lit("m1").alias("model"))
+    write_requests(requests.with_judge_request(asked).repartition(3), str(tmp_path / "out"))
+    sent = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert {s["model"] for s in sent} == {"m1"} and len({s["pair_id"] for s in sent}) == 40
+    score = lambda k: json.dumps({requests.SCORE_FIELD: int(k) * 2, requests.REASON_FIELD: f"r{k}"})
+    answers = [(s["pair_id"], s["model"], 1, 200, None, json.dumps({"choices": [{"message": {"content": score(s["pair_id"])}}]}))
+               for s in reversed(sent) if s["pair_id"] != "5"]
+    spark.createDataFrame(answers, REPLIES).repartition(2).write.json(str(tmp_path / "in"))
+    read = read_replies(spark, str(tmp_path / "in"), "json", stream=stream)
+    judged = reply.check_judge_schema(reply.parse_chat(read)).select("pair_id", "judge_score", "reason")
+    if stream:
+        run_row_local(judged, lambda d: d, str(tmp_path / "judged"), f"replies_{tmp_path.name}", str(tmp_path / "state")).awaitTermination(120)
+        judged = spark.read.parquet(str(tmp_path / "judged"))
+    got = {r.pair_id: r for r in reply.judge_pairs(asked, judged).collect()}
+    assert all(got[str(i)].judge_score == 2 * i and got[str(i)].status == "PASS" for i in range(40) if i != 5)
+    assert (got["5"].status, got["5"].error_kind, got["5"].message) == ("FAIL", "RUNTIME", "Error: no reply")
+
+
+def test_every_pair_gets_a_verdict(spark):
+    asked = spark.createDataFrame([("a", 50, None), ("b", 101, "out of range"), ("c", None, None), ("d", 10, None)],
+                                  "pair_id string, threshold int, input_error string")
+    judged = spark.createDataFrame([("a", 60, "x"), ("b", 99, "y"), ("d", None, None)], "pair_id string, judge_score int, reason string")
+    got = {r.pair_id: (r.judge_score, r.threshold, r.status, r.error_kind, r.message) for r in reply.judge_pairs(asked, judged).collect()}
+    assert got == {"a": (60, 50, "PASS", None, "PASS - Similarity Score: 60%"), "b": (None, 101, "FAIL", "INPUT", "Error: out of range"),
+                   "c": (None, 75, "FAIL", "RUNTIME", "Error: no reply"), "d": (None, 10, "FAIL", "RUNTIME", "Error: no valid reply")}
+
+
 def test_missing_column_is_an_error(spark):
     with pytest.raises(ValueError, match="actual"):
         conform(spark.range(1).selectExpr("'1' AS pair_id", "'e' AS expected"), PAIRS)

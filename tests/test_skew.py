@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from gradeframe.operators import agents, attempts, lexical
 from gradeframe.sources.pairs import turn_pairs
-from gradeframe.sources.spread import spread
 
 ROWS = 60_000
 
@@ -34,8 +33,7 @@ def final_plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
-def test_hot_backend_id(spark, skewed_joins, monkeypatch):
-    monkeypatch.setattr(agents, "MAX_BROADCAST_IDS", 10)
+def test_hot_backend_id(spark, skewed_joins):
     hot = F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.concat(F.lit("ORD"), F.col("id").cast("string")))
     cases = spark.range(0, ROWS, 1, 8).select(F.col("id").alias("test_id"), hot.alias("expected_order_id"))
     backend = spark.range(0, ROWS, 2, 8).select(F.concat(F.lit("ORD"), F.col("id").cast("string")).alias("order_id"))
@@ -95,12 +93,6 @@ def test_hot_term_is_combined_before_the_stopword_join(spark, skewed_joins):
 def test_one_very_long_text(spark):
     text = " ".join(f"w{i % 50_000}x" for i in range(400_000))
     pairs = spark.createDataFrame([("p", text, text), ("q", "a b", text)], "pair_id string, expected string, actual string")
-    got = {r.pair_id: r.cosine for r in lexical.with_cosine(pairs).collect()}
+    got = {r.pair_id: r.cosine for r in lexical.with_cosine(pairs, []).collect()}
     assert got == {"p": 1.0, "q": 0.0}
 
-
-def test_spread_leaves_large_inputs_alone(spark):
-    many = spark.range(0, 100, 1, 64)
-    assert "Exchange" not in spread(many)._jdf.queryExecution().executedPlan().toString()
-    few = spread(spark.range(0, 100, 1, 1))
-    assert few.rdd.getNumPartitions() == 8 and few.count() == 100

@@ -5,7 +5,7 @@ from gradeframe.functions import text
 from gradeframe.operators import attempts, lexical, questions, replies, requests, rules
 from gradeframe.plans import fixtures
 from gradeframe.session import shared_folder
-from gradeframe.streaming.runner import run_per_batch, run_row_local
+from gradeframe.streaming.runner import latest, run_per_batch, run_recomputed, run_row_local
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -23,7 +23,7 @@ def rows(frame):
 
 STEPS = {
     "containment": (fixtures.pairs, lexical.with_containment),
-    "cosine_verdict": (lambda s, f: fixtures.pairs(s, f).withColumn("threshold", F.lit(5.0)), lexical.with_cosine_verdict),
+    "cosine_verdict": (lambda s, f: fixtures.pairs(s, f).withColumn("threshold", F.lit(5.0)), lambda d: lexical.with_cosine_verdict(d, ["the"])),
     "stemmed": (fixtures.pairs, lexical.with_stemmed_cosine),
     "tokens": (fixtures.documents, lambda d: d.select("doc_id", text.clean_tokens(F.col("text"), []).alias("t"))),
     "rules": (fixtures.question_inputs, lambda d: rules.with_input_error(d, rules.question_input_error())),
@@ -70,7 +70,7 @@ def test_restart_adds_only_new_rows(spark, tmp_path):
 def test_partitioned_sink(spark, tmp_path):
     _, stream = staged(spark, fixtures.pairs(spark, FOLDER).withColumn("threshold", F.lit(1.0)), tmp_path)
     sink = tmp_path / "out"
-    run_row_local(stream, lexical.with_cosine_verdict, str(sink), "parts", str(tmp_path / "s"), ("status",)).awaitTermination(120)
+    run_row_local(stream, lambda d: lexical.with_cosine_verdict(d, []), str(sink), "parts", str(tmp_path / "s"), ("status",)).awaitTermination(120)
     assert {p.name for p in sink.glob("status=*")} <= {"status=PASS", "status=FAIL"} and list(sink.glob("status=*"))
 
 
@@ -86,6 +86,19 @@ def test_joins_run_per_batch(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "out")).drop("batch_id")) == rows(step(batch))
 
 
+def test_keys_split_over_batches_are_resolved_whole(spark, tmp_path):
+    log = replies.check_judge_schema(replies.parse_responses(fixtures.attempts(spark, FOLDER)))
+    outcomes = attempts.with_outcome(log).select("pair_id", "preferred_model", "model", "attempt_no", "outcome", "judge_score", "reason")
+    batch, stream = staged(spark, outcomes, tmp_path, files=3)  # a round robin: every key is in several files
+
+    def step(d):
+        return attempts.resolve_attempts(d, "responses")
+
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    run_recomputed(stream, step, str(tmp_path / "log"), out, "recompute", "pair_id", state).awaitTermination(120)
+    assert rows(latest(spark, out, "pair_id")) == rows(step(batch))
+
+
 def test_state_lives_in_the_shared_folder(spark):
     assert shared_folder(spark, "streams/x").endswith("/streams/x")
 

@@ -48,20 +48,13 @@ def test_stopword_list():
     assert {"no", "nor", "not"} <= set(stopwords.BASE)
 
 
-def test_long_list_is_refused_as_literals(spark):
-    words = spark.range(30).selectExpr("concat('w', id) AS word")
-    assert len(stopwords.load_stopwords(words, limit=30)) == 30
-    with pytest.raises(stopwords.StopwordListTooLong):
-        stopwords.load_stopwords(words, limit=29)
-
-
 def test_list_from_files(spark, tmp_path):
     (tmp_path / "mine.txt").write_text("Alpha\n beta \n\n")
     read = stopwords.read_stopwords(spark, str(tmp_path / "mine.txt"), "mine")
     assert sorted(map(tuple, read.collect())) == [("mine", "alpha"), ("mine", "beta")]
     table = str(tmp_path / "lists.parquet")
     read.unionByName(read.selectExpr("'other' AS list_name", "'gamma' AS word")).write.parquet(table)
-    assert stopwords.load_stopwords(stopwords.read_stopwords(spark, table, "other")) == ["gamma"]
+    assert {r.word for r in stopwords.read_stopwords(spark, table, "other").collect()} == {"gamma"}
 
 
 def test_drop_stopwords_keeps_repeats(spark):
