@@ -88,14 +88,16 @@ def test_suffix_dedup(spark, texts, monkeypatch):
 def test_merge_sort_survives_collisions(monkeypatch):
     data = [b"x" * 60 + bytes([i % 7]) * 8 + b"y" * 60 for i in range(30)]
     args = (np.zeros(30, int), np.arange(30), np.zeros(30, int), np.zeros(30, int), np.full(30, 14), data)
-    rows, least, most = suffix_dedup.repeated_strings(*args)
+    rows, least, most = suffix_dedup.repeated_strings(*args, True)
+    assert all(map(np.array_equal, suffix_dedup.repeated_strings(*args), (rows, least, most)))
     assert rows.tolist() == list(range(7, 30)) and set(least) == {0} and set(most) == {28}
     # With hashes that always agree only the verification is left.
     monkeypatch.setattr(suffix_dedup, "prefix_hashes", lambda d: np.zeros(len(d) + 1, np.uint64))
-    assert suffix_dedup.repeated_strings(*args)[0].tolist() == rows.tolist()
+    for by_hash in (False, True):
+        assert suffix_dedup.repeated_strings(*args, by_hash)[0].tolist() == rows.tolist()
 
 
-def test_frequent_grams_are_dealt_by_strings(spark, monkeypatch):
+def test_frequent_grams_are_dealt_by_their_sides(spark, monkeypatch):
     import pyarrow as pa
 
     rng = random.Random(4)
@@ -139,12 +141,16 @@ def test_tokens_of_odd_pieces(spark):
     assert got == {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(odd)}
 
 
-def test_forgetful_cache_counts_the_same():
-    cache = token_counts.PieceCache(lambda asked: [len(a) for a in asked], {"": 0, "the": 3}, entries=4)
-    for text in ("the cat. sat on", "a mat, the dog", "barked! the end."):
+@pytest.mark.parametrize("counts", [True, False])
+def test_forgetful_cache_answers_the_same(counts):
+    tokenizer = token_counts.load_tokenizer(tokenizer_path())
+    cache = token_counts.PieceCache(tokenizer, counts, entries=4)
+    for text in ("the cat. sat on Äpfel", "a mat, the dog's Ärger! ß 12", "barked! the end. <|endoftext|>. ΣΑΣ", ""):
         pieces = token_counts.pieces_of(text)
         cache.learn(set(pieces))
-        assert [cache[p] for p in pieces] == [len(p) for p in pieces]
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        got = [cache[p] for p in pieces]
+        assert sum(got) == len(ids) if counts else np.frombuffer(b"".join(got), "<u4").tolist() == ids
 
 
 def test_language_held_out_accuracy(spark):
