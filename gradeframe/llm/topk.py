@@ -38,13 +38,13 @@ def quantized(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     )
 
 
-def packed(vectors: DataFrame) -> DataFrame:
-    """The vectors in blocks of equal length and at most BLOCK_VALUES components."""
+def packed(vectors: DataFrame, parts: int) -> DataFrame:
+    """The vectors in blocks of equal length and at most BLOCK_VALUES components, dealt to ``parts``."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, count = TaskContext.get().partitionId(), 0
+        task, count = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, lists = batch.column(0).to_numpy(), batch.column(1)
             values = lists.flatten().to_numpy(zero_copy_only=False)
@@ -57,7 +57,7 @@ def packed(vectors: DataFrame) -> DataFrame:
                     own = rows[at:at + step]
                     matrix = values[(ends[own] - dim)[:, None] + np.arange(dim)]
                     yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(
-                        ((part << 32) + count, part, int(dim), ids[own].tobytes(),
+                        ((task << 32) + count, (task + count) % parts, int(dim), ids[own].tobytes(),
                          matrix.astype(np.int64).tobytes()), BLOCKS_ARROW)], schema=BLOCKS_ARROW)
                     count += 1
 
@@ -111,10 +111,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     queries and candidates of their own. Queries without a candidate give no row. Scores beyond 64
     bits wrap as long arithmetic does.
     """
-    shards = packed(vectors)
-    parts = vectors.rdd.getNumPartitions()
+    # As many parts as shuffles have partitions: the product of each part with all queries is a task.
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = packed(vectors, parts)
     # One copy of a query block for each part that holds blocks of vectors: a stated query set in blocks.
-    blocks = packed(queries).select(
+    blocks = packed(queries, parts).select(
         F.col("block").alias("query_block"), "dim", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"),
         F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     tiles = shards.join(blocks.hint("shuffle_hash"), ["part", "dim"])
