@@ -4,8 +4,8 @@ Documents are tokenized once and cut into pieces; what is packed is only the his
 lengths, which has at most ``capacity`` entries however many documents there are. A configuration is
 a multiset of lengths that fits one sequence. The covering program (as few configurations as
 possible, every length covered as often as it occurs) is solved by multiplicative weights: lengths
-that lag behind gain weight, and a knapsack dynamic program prices the best configuration. The
-solution is rounded down and the few pieces left go by best fit, largest first.
+that lag behind gain weight, and a knapsack dynamic program prices the best configurations. The
+solution is rounded down, and what is left goes by best fit, longest first.
 
 Pieces then find their place by their rank within their length. Ranks come from counts per stored
 partition and length, so a length with a third of all pieces is never gathered.
@@ -15,19 +15,18 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gradeframe.llm.common import checkpointed, read_table, slices, tokenizer_path
-from gradeframe.llm.token_counts import PieceCache, load_tokenizer, pieces_of
+from gradeframe.llm.token_counts import BATCH, CACHES, PieceCache, load_tokenizer, pieces_of
 
 CAPACITY = 2_048
-GRAIN = 4  # lengths are rounded up to this many tokens in the program, not in the sequences
-ROUNDS, STEP = 1_500, 0.1
-CACHE_ENTRIES = 300_000
+ROUNDS, STEP, SERVED = 400, 0.5, 256
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                           ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -38,16 +37,15 @@ def cut_into_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> Dat
     """Pieces of at most ``capacity`` ids of every document, with the checksum of their ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load_tokenizer(path)
-
-        def encode(piece: str) -> bytes:
-            return np.array(tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-
-        ids_of = PieceCache(encode, {"": b""}, CACHE_ENTRIES).__getitem__
-        for batch in slices(batches, 1_000):
+        if (path, "ids") not in CACHES:
+            CACHES[path, "ids"] = PieceCache(load_tokenizer(path), False)
+        cache = CACHES[path, "ids"]
+        for batch in slices(batches, BATCH):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = b"".join(map(ids_of, pieces_of(text or ""))) + END_OF_DOCUMENT
+            split = [pieces_of(t or "") for t in batch.column(1).to_pylist()]
+            cache.learn(set().union(*split))
+            for doc_id, pieces in zip(batch.column(0).to_pylist(), split):
+                ids = b"".join(map(cache.__getitem__, pieces)) + END_OF_DOCUMENT
                 for number, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     rows.append((doc_id, number, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -57,8 +55,8 @@ def cut_into_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> Dat
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut, PIECES)
 
 
-def best_configuration(value: np.ndarray, sizes: np.ndarray, capacity: int) -> dict[int, int]:
-    """Unbounded knapsack: indices of ``sizes`` (ascending) and how often to take each, for the most value."""
+def priced(value: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """Unbounded knapsack: for every room the index of a size to take first, or -1 to leave a token free."""
     best, taken = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
     for room in range(1, capacity + 1):
@@ -68,13 +66,19 @@ def best_configuration(value: np.ndarray, sizes: np.ndarray, capacity: int) -> d
             at = int(gains.argmax())
             if gains[at] > best[room]:
                 best[room], taken[room] = gains[at], at
-    chosen, room = {}, capacity
+    return taken
+
+
+def configuration(first: int, taken: np.ndarray, sizes: np.ndarray, capacity: int) -> dict[int, int]:
+    """The best configuration with the size ``first``: indices of sizes and how often to take each."""
+    chosen, room = {first: 1}, capacity - int(sizes[first])
     while room > 0:
-        if taken[room] < 0:
+        at = int(taken[room])
+        if at < 0:
             room -= 1
         else:
-            chosen[int(taken[room])] = chosen.get(int(taken[room]), 0) + 1
-            room -= int(sizes[taken[room]])
+            chosen[at] = chosen.get(at, 0) + 1
+            room -= int(sizes[at])
     return chosen
 
 
@@ -82,27 +86,34 @@ def configuration_program(counts: np.ndarray, sizes: np.ndarray, capacity: int,
                           rounds: int = ROUNDS, step: float = STEP) -> list[tuple[dict[int, int], float]]:
     """Configurations and how often to use each, so that every size is covered ``counts`` times.
 
-    A round prices one configuration against the current weights and uses it until one of its sizes
-    has gained ``step`` of its count. Weights fall with the share of a size that is covered, so sizes
-    behind the others are served next. Scaled at the end by the least covered size.
+    A round prices all rooms once against the current weights, then serves the sizes least covered so
+    far with their best configurations, each until one of its sizes has gained ``step`` of its count; no
+    size is served twice in a round. Weights fall with the share of a size that is covered.
     """
     covered, used = np.zeros(len(sizes)), {}
-    rate = np.log(len(sizes) + 1) / step
-    for _ in range(max(rounds, 4 * len(sizes))):
-        weight = np.exp(-rate * step * (covered - covered.min()))
-        chosen = best_configuration(weight / counts, sizes, capacity)
-        index, times = np.fromiter(chosen, int), np.fromiter(chosen.values(), float)
-        amount = (step * counts[index] / times).min()
-        covered[index] += amount * times / counts[index]
-        key = tuple(sorted(chosen.items()))
-        used[key] = used.get(key, 0.0) + amount
+    rate = np.log(len(sizes) + 1)
+    for _ in range(rounds):
+        weight = np.where(covered < 1, np.exp(-rate * (covered - covered.min())), 0.0)  # no more than asked for
+        taken = priced(weight / counts, sizes, capacity)
+        served = np.zeros(len(sizes), bool)
+        for first in np.argsort(covered, kind="stable")[:SERVED]:
+            if served[first]:
+                continue
+            chosen = configuration(int(first), taken, sizes, capacity)
+            index, times = np.fromiter(chosen, int), np.fromiter(chosen.values(), float)
+            if served[index].any():
+                continue
+            served[index] = True
+            amount = (step * counts[index] / times).min()
+            covered[index] += amount * times / counts[index]
+            key = tuple(sorted(chosen.items()))
+            used[key] = used.get(key, 0.0) + amount
         if covered.min() >= 1:
             break
-    scale = max(covered.min(), 1e-9)
-    return [(dict(key), amount / scale) for key, amount in used.items()]
+    return [(dict(key), amount) for key, amount in used.items()]
 
 
-def best_fit(lengths: Iterator[int], capacity: int) -> list[list[int]]:
+def best_fit(lengths: Iterable[int], capacity: int) -> list[list[int]]:
     """Sequences of lengths: each length, longest first, goes where the least room is left."""
     rooms, sequences = [], []
     for length in sorted(lengths, reverse=True):
@@ -118,13 +129,15 @@ def best_fit(lengths: Iterator[int], capacity: int) -> list[list[int]]:
     return sequences
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN) -> dict[int, np.ndarray]:
+def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[int, np.ndarray]:
     """For every length, rows (first rank, first sequence, pieces in a sequence, first offset).
 
     A rank r of the length belongs to the last row whose first rank is not above r; with d = r - first
     rank its sequence is first sequence + d // pieces and its offset first offset + d % pieces * length.
+    The program's solution is rounded down, and only configurations that leave no token free are taken
+    from it: no packing can do better on their pieces. Best fit packs the others, longest first.
     """
-    left = {length: n for length, n in histogram.items() if n > 0}
+    left = {length: n for length, n in sorted(histogram.items()) if n > 0}
     used: dict[int, int] = dict.fromkeys(left, 0)
     rows: dict[int, list[tuple[int, int, int, int]]] = {length: [] for length in left}
     sequences = 0
@@ -139,36 +152,18 @@ def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, grain: i
             offset += n * length
         sequences += times
 
-    if left.get(capacity):
-        place({capacity: 1}, left[capacity])
-    classes: dict[int, list[int]] = {}
-    for length in sorted(left):
-        if left[length]:
-            classes.setdefault(-(-length // grain), []).append(length)
-    if classes:
-        sizes = np.array(sorted(classes))
-        counts = np.array([sum(left[x] for x in classes[s]) for s in sizes], float)
-        program = configuration_program(counts, sizes, capacity // grain)
+    if left:
+        sizes = np.array(list(left))
+        program = configuration_program(np.array(list(left.values()), float), sizes, capacity)
         for chosen, amount in sorted(program, key=lambda x: -x[1]):
-            for _ in range(1 + len(left)):
-                # As long as the classes of the configuration have pieces: longest ones first.
-                lengths: dict[int, int] = {}
-                for index, n in sorted(chosen.items(), reverse=True):
-                    for length in reversed(classes[int(sizes[index])]):
-                        take = min(n, left[length])
-                        if take:
-                            lengths[length] = take
-                            n -= take
-                    if n:
-                        break
-                times = min([int(amount + 1e-6)] + [left[x] // k for x, k in lengths.items()]) if not n else 0
-                if times < 1:
-                    break
-                place(lengths, times)
-                amount -= times
-    rest = best_fit((x for x, n in left.items() for _ in range(n)), capacity)
-    for sequence in rest:
-        place({x: sequence.count(x) for x in dict.fromkeys(sequence)}, 1)
+            lengths = {int(sizes[i]): n for i, n in sorted(chosen.items(), reverse=True)}
+            if sum(length * n for length, n in lengths.items()) == capacity:
+                times = min(int(amount + 1e-6), *(left[length] // n for length, n in lengths.items()))
+                if times > 0:
+                    place(lengths, times)
+    rest = Counter(tuple(s) for s in best_fit((x for x, n in left.items() for _ in range(n)), capacity))
+    for sequence, times in rest.items():
+        place(dict(Counter(sequence)), times)
     return {length: np.array(r, np.int64) for length, r in rows.items()}
 
 

@@ -2,46 +2,94 @@
 
 A text is split at ASCII spaces and newlines; the tokenizer never joins across them, so its count
 is the sum over the pieces. Piece lengths come from a broadcast table of frequent pieces (at most
-``FREQUENT`` entries, taken from a sample of at most ``SAMPLE_DOCS`` documents) and otherwise from a
+``FREQUENT`` entries, taken from a sample of about ``SAMPLE_DOCS`` documents) and otherwise from a
 worker's own cache, which asks the library on a miss. The sample decides only how often the library
 is asked, never a count. No piece is shuffled.
 """
 
 from __future__ import annotations
 
+import os
+import string
+from itertools import islice
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradeframe.llm.common import read_table, tokenizer_path
 
 FREQUENT, SAMPLE_DOCS = 32_768, 2_000
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 800_000
+WORDS = 2_000  # asked at a time
+BATCH = 500  # documents whose new pieces are asked together
 TOKEN_LIMIT = 2_048
-CLOSING = ".,;:!?"
+# ASCII punctuation, which ends a word; not ">", with which the special strings end.
+CLOSING = string.punctuation.replace(">", "")
 
 
 class PieceCache(dict):
-    """Value of every piece of text met so far: what ``encode`` says, asked once.
+    """Ids (as bytes) or the number of ids of every piece of text met so far, asked of the library in batches.
 
-    ASCII punctuation after a letter or digit starts a token of its own, so such a piece is the
-    sum of both parts. Beyond CACHE_ENTRIES the worker starts again from the frequent pieces.
+    ASCII punctuation after a letter or digit starts a token of its own, so such a piece is the sum of both
+    parts; words of Latin-1 letters are asked in lower case, as the tokenizer reads them. Many words are
+    asked as one text: each ends with the only one of its tokens that ends a word. Beyond ``entries`` the
+    older half is forgotten. ``frequent`` pieces stay.
     """
 
-    def __init__(self, encode, frequent=None, entries: int = CACHE_ENTRIES):
-        super().__init__(frequent or {})
-        self.encode, self.frequent, self.entries = encode, frequent or {}, entries
-
-    def __missing__(self, piece: str):
-        core = piece.rstrip(CLOSING)
-        if core and core != piece and core[-1].isalnum():
-            value = self[core] + self[piece[len(core):]]
-        else:
-            value = self.encode(piece)
-        if len(self) >= self.entries:
-            self.clear()
+    def __init__(self, tokenizer, counts: bool, frequent: dict | None = None, entries: int = CACHE_ENTRIES):
+        self.frequent = {"": 0 if counts else b""} | (frequent or {})
+        super().__init__(self.frequent)
+        self.tokenizer, self.counts, self.entries = tokenizer, counts, entries
+        vocabulary = tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def encode_others(self, pieces: list[str]) -> list:
+        encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return [len(e.ids) if self.counts else np.array(e.ids, "<u4").tobytes() for e in encoded]
+
+    def encode_words(self, words: list[str]) -> list:
+        (encoded,) = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.array(encoded.ids, "<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words):
+            return self.encode_others(words)
+        if self.counts:
+            return np.diff(ends, prepend=0).tolist()
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def learn(self, pieces: set[str]) -> None:
+        if len(self) > self.entries:
+            for piece in list(islice(self, len(self) // 2)):
+                del self[piece]
             self.update(self.frequent)
-        self[piece] = value
-        return value
+        new = pieces.difference(self)
+        plain = [p for p in new if p.isascii() and p.isalpha()]
+        lower = list(map(str.lower, plain))
+        parts, words, others = [], set(lower), set()
+        for piece in new.difference(plain):
+            core = piece.rstrip(CLOSING)
+            core = core if core and core[-1].isalnum() else piece
+            tail = piece[len(core):]
+            if core.isalpha() and max(core) < "\u0100":
+                core = core.lower()
+                words.add(core)
+            else:
+                others.add(core)
+            others.add(tail)
+            parts.append((piece, core, tail))
+        for asked, encode in ((words, self.encode_words), (others, self.encode_others)):
+            asked = list(asked.difference(self))
+            for at in range(0, len(asked), WORDS):
+                self.update(zip(asked[at:at + WORDS], encode(asked[at:at + WORDS])))
+        self.update(zip(plain, map(self.__getitem__, lower)))
+        self.update((piece, self[core] + self[tail]) for piece, core, tail in parts)
+
+
+# A worker keeps its caches from task to task.
+CACHES: dict[tuple[str, str], PieceCache] = {}
 
 
 def pieces_of(text: str) -> list[str]:
@@ -49,6 +97,7 @@ def pieces_of(text: str) -> list[str]:
 
 
 def load_tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -58,17 +107,18 @@ def load_tokenizer(path: str):
 
 
 def frequent_lengths(docs: DataFrame, path: str, entries: int = FREQUENT, sample: int = SAMPLE_DOCS) -> dict[str, int]:
-    """Token counts of the most frequent pieces of a bounded sample; at most ``entries`` of them."""
+    """Token counts of the most frequent pieces of about ``sample`` documents; at most ``entries`` of them."""
+    share = min(1.0, sample / max(docs.count(), 1))
     words = F.explode(F.split(F.translate("text", "\n", " "), " ")).alias("piece")
     counted = (
-        docs.select("text").where("text is not null").limit(sample).select(words)
+        docs.select("text").where("text is not null").sample(share, seed=1).select(words)
         .where(F.length("piece").between(1, 64)).groupBy("piece").count()
         .orderBy(F.desc("count"), "piece").limit(entries)
     )
     frequent = [row.piece for row in counted.collect()]
     tokenizer = load_tokenizer(path)
     encoded = tokenizer.encode_batch(frequent, add_special_tokens=False)
-    return {piece: len(e.ids) for piece, e in zip(frequent, encoded)} | {"": 0}
+    return {piece: len(e.ids) for piece, e in zip(frequent, encoded)}
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = TOKEN_LIMIT) -> DataFrame:
@@ -81,17 +131,17 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = TOKEN_LI
     """
     path = path or tokenizer_path()
     table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path))
-    caches: dict[str, PieceCache] = {}
 
     @F.arrow_udf("bigint")
     def n_tokens(text: pa.Array) -> pa.Array:
-        if path not in caches:
-            tokenizer = load_tokenizer(path)
-            caches[path] = PieceCache(
-                lambda piece: len(tokenizer.encode(piece, add_special_tokens=False).ids), table.value
-            )
-        length = caches[path].__getitem__
-        return pa.array([sum(map(length, pieces_of(t))) if t else 0 for t in text.to_pylist()], pa.int64())
+        if (path, "counts") not in CACHES:
+            CACHES[path, "counts"] = PieceCache(load_tokenizer(path), True, table.value)
+        cache, counts = CACHES[path, "counts"], []
+        for at in range(0, len(text), BATCH):
+            split = [pieces_of(t or "") for t in text.slice(at, BATCH).to_pylist()]
+            cache.learn(set().union(*split))
+            counts += [sum(map(cache.__getitem__, pieces)) for pieces in split]
+        return pa.array(counts, pa.int64())
 
     counted = docs.select(
         "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"),
