@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,6 +40,14 @@ def checkpointed(table: DataFrame) -> DataFrame:
     return table.checkpoint()
 
 
+def stored(table: DataFrame) -> DataFrame:
+    """The table, written once as Parquet below the shared folder and read from there; smaller than a checkpoint."""
+    spark = table.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame, tag: Column) -> DataFrame:
     """The rows of ``docs`` whose doc_id and ``tag`` (a hash of the text) are in ``kept`` (doc_id, tag), one of each.
 

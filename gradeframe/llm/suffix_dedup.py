@@ -14,7 +14,9 @@ suffixes in one place would move the corpus many times, so suffixes are dealt fi
    suffixes that start at the same place before the anchor are sorted: a mergesort of all buckets at
    once, whose comparisons find the common extension by binary search over prefix hashes. Neighbours
    that agree in LENGTH bytes are verified byte by byte; after a collision the bucket is sorted by bytes.
-   A gram with very many neighbourhoods is dealt again by whole strings.
+   A gram with very many neighbourhoods is dealt again by the bytes before and by the bytes after it: a
+   string holds at least HALF of the one or of the other. Groups that are large even then are sorted by
+   the hash of each string instead, and verified alike.
 
 Texts are shuffled once, by document, for the last two steps.
 """
@@ -29,14 +31,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeframe.llm.common import as_bytes, checkpointed, read_table, slices
+from gradeframe.llm.common import as_bytes, read_table, slices, stored
 from gradeframe.llm.near_join import groups_of, mixed
 
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM  # bytes of a string on either side of its anchor
+HALF = REACH // 2
 SEGMENT = 1 << 20  # bytes hashed at a time
 FLUSH = 500_000  # anchors combined at a time
-MANY = 2_000  # neighbourhoods of a gram that are sorted together
+MANY = 2_000  # neighbourhoods that are sorted together
 BASE = np.uint64(0x9E3779B97F4A7C15)
 LAST = (1 << 63) - 1  # orders null doc_ids last
 
@@ -133,27 +136,28 @@ def split_kinds(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return first, again
 
 
+def combined(columns: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Places (key, kind, did, ver, start, end, lead) as the firsts of their kind and the spans that others cover.
+
+    Spans are merged per document and have lead -1.
+    """
+    order = np.lexsort(columns[4::-1])
+    columns = [c[order] for c in columns]
+    first, again = split_kinds(columns[:5])
+    _, _, did, ver, start, end, _ = (c[again] for c in columns)
+    start, end, ver, did = merged(start.astype(np.int64), end.astype(np.int64), ver, did)
+    key = mixed(did.view(np.uint64) ^ ver.view(np.uint64)).view(np.int64)  # dealt evenly
+    return [c[first] for c in columns], [key, np.zeros_like(did), did, ver, start, end, np.full(len(did), -1)]
+
+
+def place_batch(columns: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PLACES_ARROW)], schema=PLACES_ARROW)
+
+
 def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First anchors of their kind within the task, and the spans that others cover (lead -1)."""
+    """First anchors of their kind within the task, and the spans that others cover."""
     held: list[tuple[np.ndarray, ...]] = []
     count = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        columns = [np.concatenate(c) for c in zip(*held)]
-        order = np.lexsort(columns[4::-1])
-        columns = [c[order] for c in columns]
-        first, again = split_kinds(columns[:5])
-        yield pa.RecordBatch.from_arrays([pa.array(c[first], f.type) for c, f in zip(columns, PLACES_ARROW)],
-                                         schema=PLACES_ARROW)
-        _, _, did, ver, start, end, _ = (c[again] for c in columns)
-        start, end, ver, did = merged(start.astype(np.int64), end.astype(np.int64), ver, did)
-        key = mixed(did.view(np.uint64) ^ ver.view(np.uint64)).view(np.int64)  # dealt evenly
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(
-            (key, np.zeros_like(did), did, ver, start, end, np.full(len(did), -1)), PLACES_ARROW)], schema=PLACES_ARROW)
-        held.clear()
-
     for batch in slices(batches, 1_000):
         for did, ver, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))):
             place, gram = anchors(data)
@@ -167,9 +171,10 @@ def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                          start, end, lead))
             count += len(place)
             if count >= FLUSH:
-                yield from flush()
-                count = 0
-    yield from flush()
+                yield from map(place_batch, combined([np.concatenate(c) for c in zip(*held)]))
+                held, count = [], 0
+    if held:
+        yield from map(place_batch, combined([np.concatenate(c) for c in zip(*held)]))
 
 
 def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,24 +201,33 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(np.concatenate(c), f.type) for c, f in zip(zip(covered, several), PLACES_ARROW)], schema=PLACES_ARROW)
 
 
+def halves(place: dict, data: bytes) -> Iterator[tuple[int, int, int]]:
+    """Key, start and end of both parts of a neighbourhood: its strings with HALF before the gram, and HALF behind."""
+    at = place["start"] + place["lead"]
+    signed = lambda part, side: int.from_bytes(
+        xxhash.xxh3_64_digest(part, place["key"] & (1 << 64) - 1 ^ side), "big", signed=True)
+    if place["lead"] >= HALF:
+        end = min(place["end"], at + LENGTH - HALF)
+        yield signed(data[at - HALF:at + GRAM], 1), place["start"], end
+    if place["end"] >= at + GRAM + HALF:
+        start = max(place["start"], at - HALF)
+        yield signed(data[at:at + GRAM + HALF], 2), start, place["end"]
+
+
 def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of neighbourhoods; those of very frequent grams as single strings dealt by their content."""
+    """The bytes of neighbourhoods; those of very frequent grams in two parts, dealt by more bytes than the gram."""
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     for batch in slices(batches, 200):
         rows = []
-        texts = as_bytes(batch.column(2))
-        for did, ver, data, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts,
-                                          batch.column(3).to_pylist()):
+        for did, ver, data, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
+                                          as_bytes(batch.column(2)), batch.column(3).to_pylist()):
             for place in wanted or ():
-                key, start, end, lead = place["key"], place["start"], place["end"], place["lead"]
-                if not place["kind"]:
-                    rows.append((key, did, ver, start, lead, data[start:end]))
-                    continue
-                for at in range(start, end - LENGTH + 1):
-                    string = data[at:at + LENGTH]
-                    h = xxhash.xxh3_64_intdigest(string, key & (1 << 64) - 1)
-                    rows.append((h - (h >> 63 << 64), did, ver, at, 0, string))
+                at = place["start"] + place["lead"]
+                parts = halves(place, data) if place["kind"] else [(place["key"], place["start"], place["end"])]
+                for key, start, end in parts:
+                    if end - start >= LENGTH:
+                        rows.append((key, did, ver, start, at - start, data[start:end]))
         if rows:
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)],
                                              ["key", "did", "ver", "start", "lead", "bytes"])
 
@@ -244,6 +258,11 @@ class Suffixes:
         inside = np.minimum(common, LENGTH - 1)
         return np.where(equal, rank_a < rank_b, self.buffer[a + inside] < self.buffer[b + inside])
 
+    def strings(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the LENGTH bytes at each place."""
+        _, down = Powers.of(len(self.buffer) + 1)
+        return mixed((self.hashes[at + LENGTH] - self.hashes[at]) * down[at])
+
     def same_bytes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         strings = np.lib.stride_tricks.sliding_window_view(self.buffer, LENGTH)
         return (strings[a] == strings[b]).all(axis=1)
@@ -285,7 +304,7 @@ def merge_sort(suffixes: Suffixes, at: np.ndarray, rank: np.ndarray, bucket: np.
 
 
 def repeated_strings(group: np.ndarray, did: np.ndarray, ver: np.ndarray, start: np.ndarray, lead: np.ndarray,
-                     texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                     texts: list[bytes], by_hash: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, first and last place of the strings of neighbourhoods that an earlier one of their group has too."""
     sizes = np.array([len(t) for t in texts])
     offset = np.cumsum(sizes) - sizes
@@ -301,11 +320,18 @@ def repeated_strings(group: np.ndarray, did: np.ndarray, ver: np.ndarray, start:
     dealt = np.lexsort((before, group[row]))
     row, inside, at = row[dealt], inside[dealt], at[dealt]
     bucket = group[row].astype(np.int64) * (2 * LENGTH) + before[dealt]
-    order = merge_sort(suffixes, at, rank[row], bucket)
+    if by_hash:
+        string = suffixes.strings(at)
+        order = np.lexsort((rank[row], string, bucket))
+    else:
+        order = merge_sort(suffixes, at, rank[row], bucket)
     row, inside, at = row[order], inside[order], at[order]
     same = bucket[1:] == bucket[:-1]
     equal = np.zeros(len(row), bool)
-    equal[1:][same] = suffixes.extension(at[1:][same], at[:-1][same]) >= LENGTH
+    if by_hash:
+        equal[1:] = same & (string[order][1:] == string[order][:-1])
+    else:
+        equal[1:][same] = suffixes.extension(at[1:][same], at[:-1][same]) >= LENGTH
     checked = np.flatnonzero(equal)
     if not suffixes.same_bytes(at[checked], at[checked - 1]).all():  # a hash collision: sort by the bytes
         strings = [bytes(suffixes.buffer[a:a + LENGTH]) for a in at]
@@ -323,15 +349,20 @@ def repeated_strings(group: np.ndarray, did: np.ndarray, ver: np.ndarray, start:
 
 
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans covered by strings that the neighbourhoods of a gram share; rows come sorted by key."""
+    """Spans covered by strings that the neighbourhoods of a group share; rows come sorted by key."""
     for table in groups_of(slices(batches, MANY), (0,)):
-        _, group = np.unique(table.column(0).to_numpy(), return_inverse=True)
-        did, ver, start, lead = (table.column(i).to_numpy() for i in range(1, 5))
-        # All strings of a neighbourhood hold its anchor, so those that repeat cover one span.
-        rows, least, most = repeated_strings(group, did, ver, start, lead, table.column(5).to_pylist())
-        yield pa.RecordBatch.from_arrays([
-            pa.array(did[rows]), pa.array(ver[rows]), pa.array(start[rows] + least, pa.int32()),
-            pa.array(start[rows] + most + LENGTH, pa.int32())], ["did", "ver", "start", "end"])
+        _, group, sizes = np.unique(table.column(0).to_numpy(), return_inverse=True, return_counts=True)
+        columns = [table.column(i).to_numpy() for i in range(1, 5)]
+        sizes = sizes[group]
+        for by_hash, own in ((False, (sizes > 1) & (sizes <= MANY)), (True, sizes > MANY)):
+            if own.any():
+                did, ver, start, lead = (c[own] for c in columns)
+                texts = table.column(5).filter(pa.array(own)).to_pylist()
+                # All strings of a neighbourhood hold its anchor, so those that repeat cover one span.
+                rows, least, most = repeated_strings(group[own], did, ver, start, lead, texts, by_hash)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(did[rows]), pa.array(ver[rows]), pa.array(start[rows] + least, pa.int32()),
+                    pa.array(start[rows] + most + LENGTH, pa.int32())], ["did", "ver", "start", "end"])
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +395,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     named = docs.select(did.alias("did"), F.xxhash64(text).alias("ver"), F.col("doc_id").cast("bigint"), text.alias("text"))
     places = named.select("did", "ver", "text").mapInArrow(find_anchors, PLACES)
-    settled = checkpointed(
+    settled = stored(
         places.repartition("key").sortWithinPartitions("key").mapInArrow(settle, PLACES))
     wanted = settled.where("lead >= 0").groupBy("did", "ver").agg(
         F.collect_list(F.struct("key", "kind", "start", "end", "lead")).alias("wanted"))
