@@ -5,7 +5,9 @@ lengths, which has at most ``capacity`` entries however many documents there are
 a multiset of lengths that fits one sequence. The covering program (as few configurations as
 possible, every length covered as often as it occurs) is solved by multiplicative weights: lengths
 that lag behind gain weight, and a knapsack dynamic program prices the best configurations. The
-solution is rounded down, and what is left goes by best fit, longest first.
+solution is rounded down, and what is left goes by best fit, longest first. Best fit takes runs of
+equal pieces and runs of equal rooms, so the driver's work is bounded by the histogram, not by the
+number of pieces, also where lengths never add up to ``capacity``.
 
 Pieces then find their place by their rank within their length. Ranks come from counts per stored
 partition and length, so a length with a third of all pieces is never gathered.
@@ -15,7 +17,6 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -114,7 +115,10 @@ def configuration_program(counts: np.ndarray, sizes: np.ndarray, capacity: int,
 
 
 def best_fit(lengths: Iterable[int], capacity: int) -> list[list[int]]:
-    """Sequences of lengths: each length, longest first, goes where the least room is left."""
+    """Sequences of lengths: each length, longest first, goes where the least room is left.
+
+    One piece at a time, for small inputs; ``fill_rooms`` gives as many sequences from runs.
+    """
     rooms, sequences = [], []
     for length in sorted(lengths, reverse=True):
         at = bisect_left(rooms, (length, -1))
@@ -129,41 +133,88 @@ def best_fit(lengths: Iterable[int], capacity: int) -> list[list[int]]:
     return sequences
 
 
+def fill_rooms(pieces: dict[int, int], opened: Iterable[tuple[dict[int, int], int]],
+               capacity: int) -> list[tuple[dict[int, int], int]]:
+    """All sequences (pieces of each length, how many such sequences) after best fit, longest first.
+
+    ``pieces`` counts each length, ``opened`` are sequences that have room already. A piece goes where the
+    least room is left, and what it leaves is the least room for the next of its length, so a run of equal
+    rooms takes equal pieces at once. A length splits at most one run, in three.
+    """
+    runs: dict[int, list[tuple[dict[int, int], int]]] = {}
+    rooms: list[int] = []
+
+    def keep(room: int, chosen: dict[int, int], times: int) -> None:
+        if room not in runs:
+            runs[room] = []
+            insort(rooms, room)
+        runs[room].append((chosen, times))
+
+    for chosen, times in opened:
+        keep(capacity - sum(length * n for length, n in chosen.items()), chosen, times)
+    for length, n in sorted(pieces.items(), reverse=True):
+        while n > 0:
+            at = bisect_left(rooms, length)
+            if at < len(rooms):
+                room = rooms[at]
+                chosen, times = runs[room].pop()
+                if not runs[room]:
+                    del runs[rooms.pop(at)]
+            else:
+                room, chosen, times = capacity, {}, -(-n // (capacity // length))
+            each = room // length
+            whole = min(times, n // each)
+            some = n - whole * each if whole < times else 0  # fewer than ``each``, in one sequence
+            for own, taken in ((whole, each), (int(some > 0), some), (times - whole - (some > 0), 0)):
+                if own > 0:
+                    keep(room - taken * length, chosen | {length: taken} if taken else chosen, own)
+            n -= whole * each + some
+    return [run for same in runs.values() for run in same]
+
+
+def sequences_of(histogram: dict[int, int], program: list[tuple[dict[int, int], float]], sizes: np.ndarray,
+                 capacity: int, exact: bool) -> list[tuple[dict[int, int], int]]:
+    """Sequences by the rounded program, only its configurations without a free token if ``exact``, and best fit."""
+    left, opened = dict(histogram), []
+    for chosen, amount in sorted(program, key=lambda x: -x[1]):
+        lengths = {int(sizes[i]): n for i, n in sorted(chosen.items(), reverse=True)}
+        if exact and sum(length * n for length, n in lengths.items()) < capacity:
+            continue
+        times = min(int(amount + 1e-6), *(left[length] // n for length, n in lengths.items()))
+        if times > 0:
+            opened.append((lengths, times))
+            for length, n in lengths.items():
+                left[length] -= n * times
+    return fill_rooms(left, opened, capacity)
+
+
 def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[int, np.ndarray]:
     """For every length, rows (first rank, first sequence, pieces in a sequence, first offset).
 
     A rank r of the length belongs to the last row whose first rank is not above r; with d = r - first
     rank its sequence is first sequence + d // pieces and its offset first offset + d % pieces * length.
-    The program's solution is rounded down, and only configurations that leave no token free are taken
-    from it: no packing can do better on their pieces. Best fit packs the others, longest first.
+    The program's solution is rounded down and best fit packs the others, longest first, also into the rooms
+    that configurations leave. That is done with the configurations that leave no token free, with all and
+    with none; the plan is the one with the fewest sequences.
     """
-    left = {length: n for length, n in sorted(histogram.items()) if n > 0}
-    used: dict[int, int] = dict.fromkeys(left, 0)
-    rows: dict[int, list[tuple[int, int, int, int]]] = {length: [] for length in left}
+    counts = {length: n for length, n in sorted(histogram.items()) if n > 0}
+    used: dict[int, int] = dict.fromkeys(counts, 0)
+    rows: dict[int, list[tuple[int, int, int, int]]] = {length: [] for length in counts}
     sequences = 0
-
-    def place(lengths: dict[int, int], times: int) -> None:
-        nonlocal sequences
+    plan: list[tuple[dict[int, int], int]] = []
+    if counts:
+        sizes = np.array(list(counts))
+        program = configuration_program(np.array(list(counts.values()), float), sizes, capacity)
+        plan = min((sequences_of(counts, some, sizes, capacity, exact)
+                    for some, exact in ((program, True), (program, False), ([], True))),
+                   key=lambda found: sum(times for _, times in found))
+    for lengths, times in plan:
         offset = 0
         for length, n in lengths.items():
             rows[length].append((used[length], sequences, n, offset))
             used[length] += n * times
-            left[length] -= n * times
             offset += n * length
         sequences += times
-
-    if left:
-        sizes = np.array(list(left))
-        program = configuration_program(np.array(list(left.values()), float), sizes, capacity)
-        for chosen, amount in sorted(program, key=lambda x: -x[1]):
-            lengths = {int(sizes[i]): n for i, n in sorted(chosen.items(), reverse=True)}
-            if sum(length * n for length, n in lengths.items()) == capacity:
-                times = min(int(amount + 1e-6), *(left[length] // n for length, n in lengths.items()))
-                if times > 0:
-                    place(lengths, times)
-    rest = Counter(tuple(s) for s in best_fit((x for x, n in left.items() for _ in range(n)), capacity))
-    for sequence, times in rest.items():
-        place(dict(Counter(sequence)), times)
     return {length: np.array(r, np.int64) for length, r in rows.items()}
 
 

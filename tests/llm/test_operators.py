@@ -231,6 +231,35 @@ def test_plan_of_sequences():
     assert len(filled) <= len(packing.best_fit(histogram.elements(), 2048)) + 1
 
 
+@pytest.mark.parametrize("histogram", [
+    {1100: 10**12, 1500: 10**12, 947: 10**11},  # no sum of them is the capacity
+    {length: 10**10 + length for length in range(1025, 2049)},  # no two fit
+])
+def test_plan_does_not_grow_with_the_pieces(histogram):
+    # One piece at a time, these would never end.
+    plan = packing.plan_sequences(histogram)
+    assert sum(map(len, plan.values())) < 10 * len(histogram)
+    sequences = 0
+    for length, n in histogram.items():
+        first, sequence, per, _ = plan[length].T
+        sequences = max(sequences, int((sequence + (np.append(first[1:], n) - first) // per).max()))
+    bound = 2 * 10**12 if 947 in histogram else sum(histogram.values())
+    assert sequences == bound
+
+
+def test_runs_fill_rooms_as_single_pieces_do():
+    rng = random.Random(5)
+    for capacity in (20, 64, 200, 2048):
+        histogram = collections.Counter(rng.randint(1, capacity) for _ in range(rng.randint(1, 500)))
+        runs = packing.fill_rooms(histogram, [], capacity)
+        assert sum(n for _, n in runs) == len(packing.best_fit(histogram.elements(), capacity))
+        assert all(sum(x * n for x, n in own.items()) <= capacity for own, _ in runs)
+        packed = collections.Counter()
+        for own, times in runs:
+            packed.update({x: n * times for x, n in own.items()})
+        assert packed == histogram
+
+
 def test_near_join(spark, texts):
     rng = random.Random(3)
     base = [f"w{rng.randrange(900)}" for _ in range(400)]
