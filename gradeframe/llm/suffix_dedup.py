@@ -15,8 +15,9 @@ suffixes in one place would move the corpus many times, so suffixes are dealt fi
    once, whose comparisons find the common extension by binary search over prefix hashes. Neighbours
    that agree in LENGTH bytes are verified byte by byte; after a collision the bucket is sorted by bytes.
    A gram with very many neighbourhoods is dealt again by the bytes before and by the bytes after it: a
-   string holds at least HALF of the one or of the other. Groups that are large even then are sorted by
-   the hash of each string instead, and verified alike.
+   string holds at least HALF of the one or of the other.
+4. Groups that are large even then are dealt once more, by 128 bits of each whole string. Each task combines
+   its own strings first, as it does with anchors, so a string of any number of documents is a row per task.
 
 Texts are shuffled once, by document, for the last two steps.
 """
@@ -40,6 +41,7 @@ HALF = REACH // 2
 SEGMENT = 1 << 20  # bytes hashed at a time
 FLUSH = 500_000  # anchors combined at a time
 MANY = 2_000  # neighbourhoods that are sorted together
+VERIFIED = 1 << 15  # strings compared by bytes at a time
 BASE = np.uint64(0x9E3779B97F4A7C15)
 LAST = (1 << 63) - 1  # orders null doc_ids last
 
@@ -232,6 +234,41 @@ def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              ["key", "did", "ver", "start", "lead", "bytes"])
 
 
+def count_halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of the parts of very frequent grams, and how many neighbourhoods of the batch have each."""
+    for batch in slices(batches, 1_000):
+        counts: dict[int, int] = {}
+        for data, wanted in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist()):
+            for place in wanted:
+                for key, start, end in halves(place, data) if place["kind"] else ():
+                    if end - start >= LENGTH:
+                        counts[key] = counts.get(key, 0) + 1
+        if counts:
+            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.int64())],
+                                             ["key", "n"])
+
+
+def whole_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every string of neighbourhoods as a place: firsts within the task, and the spans that others cover."""
+    held: list[tuple[int, ...]] = []
+
+    def flushed() -> Iterator[pa.RecordBatch]:
+        columns = [np.array(c, np.int64) for c in zip(*held)]
+        held.clear()
+        yield from map(place_batch, combined([*columns, columns[4] + LENGTH, np.zeros_like(columns[4])]))
+
+    for batch in slices(batches, 1_000):
+        for did, ver, start, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for at in range(len(data) - LENGTH + 1):
+                digest = xxhash.xxh3_128_digest(data[at:at + LENGTH])
+                held.append((int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True),
+                             did, ver, start + at))
+        if len(held) >= FLUSH:
+            yield from flushed()
+    if held:
+        yield from flushed()
+
+
 class Suffixes:
     """Suffixes of a buffer, compared in their first LENGTH bytes through prefix hashes."""
 
@@ -265,7 +302,8 @@ class Suffixes:
 
     def same_bytes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         strings = np.lib.stride_tricks.sliding_window_view(self.buffer, LENGTH)
-        return (strings[a] == strings[b]).all(axis=1)
+        return np.concatenate([np.empty(0, bool), *(
+            (strings[a[i:i + VERIFIED]] == strings[b[i:i + VERIFIED]]).all(axis=1) for i in range(0, len(a), VERIFIED))])
 
 
 def merge_sort(suffixes: Suffixes, at: np.ndarray, rank: np.ndarray, bucket: np.ndarray) -> np.ndarray:
@@ -383,6 +421,22 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def strings_to_compare(named: DataFrame, settled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Neighbourhoods with their bytes: in groups of at most MANY, and those of larger groups.
+
+    At most one key in MANY neighbourhoods is large; those keys are broadcast.
+    """
+    wanted = settled.where("lead >= 0").groupBy("did", "ver").agg(
+        F.collect_list(F.struct("key", "kind", "start", "end", "lead")).alias("wanted"))
+    # All joins keep every document, so they read the same shuffled texts.
+    joined = named.join(wanted.hint("shuffle_merge"), ["did", "ver"], "left").where("wanted is not null")
+    frequent = joined.where(F.exists("wanted", lambda place: place["kind"] == 1)).select("text", "wanted")
+    large = F.broadcast(frequent.mapInArrow(count_halves, "key bigint, n bigint").groupBy("key").agg(
+        F.sum("n").alias("n")).where(F.col("n") > MANY).select("key"))
+    strings = joined.select("did", "ver", "text", "wanted").mapInArrow(fetch, BYTES)
+    return strings.join(large, "key", "left_anti"), strings.join(large, "key", "left_semi")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
@@ -397,12 +451,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     places = named.select("did", "ver", "text").mapInArrow(find_anchors, PLACES)
     settled = stored(
         places.repartition("key").sortWithinPartitions("key").mapInArrow(settle, PLACES))
-    wanted = settled.where("lead >= 0").groupBy("did", "ver").agg(
-        F.collect_list(F.struct("key", "kind", "start", "end", "lead")).alias("wanted"))
-    # Both joins keep every document, so they read the same shuffled texts.
-    strings = named.join(wanted.hint("shuffle_merge"), ["did", "ver"], "left").where("wanted is not null").select(
-        "did", "ver", "text", "wanted").mapInArrow(fetch, BYTES)
-    shared = strings.repartition("key").sortWithinPartitions("key").mapInArrow(compare, SPANS)
+    small, large = strings_to_compare(named, settled)
+    shared = small.repartition("key").sortWithinPartitions("key").mapInArrow(compare, SPANS)
+    # Strings whose first 64 bits agree and whose others differ come with lead 0 and repeat nothing.
+    whole = large.select("did", "ver", "start", "bytes").mapInArrow(whole_strings, PLACES).repartition(
+        "key").sortWithinPartitions("key").mapInArrow(settle, PLACES).where("lead < 0").select("did", "ver", "start", "end")
+    shared = shared.unionByName(whole)
     spans = settled.where("lead < 0").select("did", "ver", "start", "end").unionByName(shared).groupBy("did", "ver").agg(
         F.collect_list(F.struct("start", "end")).alias("spans"))
     return named.join(spans.hint("shuffle_merge"), ["did", "ver"], "left").select("doc_id", "text", "spans").mapInArrow(

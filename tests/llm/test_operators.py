@@ -207,6 +207,28 @@ def packed_ids(rows, ids):
     return len(sequences), sum(r.length for r in rows)
 
 
+def test_passage_of_very_many_documents(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage = word(130)
+    # The text around the passage differs, so that all neighbourhoods do.
+    texts = {i: word(70) + passage + word(70) for i in range(suffix_dedup.MANY + 300)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    wanted = brute.repeats([x.encode() for x in texts.values()], suffix_dedup.LENGTH)
+    got = by_id(suffix_dedup.remove_repeats(docs).collect())
+    assert [tuple(got[i])[1:] for i in texts] == wanted
+    named = docs.select(F.col("doc_id").alias("did"), F.xxhash64("text").alias("ver"), "text")
+    settled = named.mapInArrow(suffix_dedup.find_anchors, suffix_dedup.PLACES).repartition("key").sortWithinPartitions(
+        "key").mapInArrow(suffix_dedup.settle, suffix_dedup.PLACES)
+    small, large = suffix_dedup.strings_to_compare(named, settled)
+    assert large.count() > suffix_dedup.MANY
+    assert (small.groupBy("key").count().agg(F.max("count")).first()[0] or 0) <= suffix_dedup.MANY
+    # Each task of the last dealing has one row per string and flush, not one per document.
+    places = large.select("did", "ver", "start", "bytes").coalesce(2).mapInArrow(
+        suffix_dedup.whole_strings, suffix_dedup.PLACES).where("lead >= 0")
+    assert places.groupBy("key").count().agg(F.max("count")).first()[0] <= 2
+
+
 def test_packing(spark, ids):
     rows = QUERIES["op8_packing"](spark, FOLDER).collect()
     assert {r.doc_id for r in rows} == set(ids)
