@@ -16,7 +16,7 @@ from gradeframe.llm.common import read_table, shared_folder
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that could be told; texts without letters go."""
+    """Documents with a letter, all of which have a language; null and letterless texts go."""
     return language.keep_known(docs)
 
 

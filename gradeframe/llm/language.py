@@ -182,6 +182,16 @@ def predicted(model: Model, text: Column) -> Column:
     return predict(text)
 
 
+def lettered(text: Column) -> Column:
+    """Whether the text has a letter."""
+
+    @F.arrow_udf("boolean")
+    def has_letter(text: pa.Array) -> pa.Array:
+        return pa.array([any(map(str.isalpha, value or "")) for value in text.to_pylist()], pa.bool_())
+
+    return has_letter(text)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
@@ -195,10 +205,15 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, without those whose language is ``und``."""
-    guess = predicted(fit(docs), F.col("text"))
-    return docs.select(F.struct("*").alias("doc"), guess.alias("guess")).where(
-        F.col("guess.lang_pred") != UNKNOWN).select("doc.*")
+    """The documents, all columns, without those whose language is ``und``.
+
+    A language can be told of every text with a letter, so only null and letterless texts go. Where nothing
+    could be learned, ``und`` says nothing about a text, and those with a letter stay.
+    """
+    model = fit(docs)
+    known = F.col("guess.lang_pred") != UNKNOWN if model.langs else F.col("guess")
+    guess = predicted(model, F.col("text")) if model.langs else lettered(F.col("text"))
+    return docs.select(F.struct("*").alias("doc"), guess.alias("guess")).where(known).select("doc.*")
 
 
 def op5_language(spark: SparkSession, folder: str) -> DataFrame:

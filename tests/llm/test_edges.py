@@ -91,3 +91,11 @@ def test_top_k_edges(spark):
     assert [x[1] for x in mine if x[0] == 1] == [1, 1] and len(mine) == 4  # both rows of id 0 ask; a tie goes to id 1
     assert {r.query_id for r in got} == {0, 60}  # no vector of the length of 20 and 40
     assert topk.top_k(table.where("false"), table.where("false"), 2).collect() == []
+
+
+def test_language_stage_keeps_texts_when_nothing_could_be_learned(docs):
+    kept = lambda table: sorted(str(r) for r in language.keep_known(table).select("doc_id", "text").collect())
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    held = docs.withColumn("lang", F.when(language.held_out(), "en"))
+    assert kept(unlabelled) == kept(held) == kept(docs)
+    assert len(kept(unlabelled)) == sum(any(map(str.isalpha, r[1] or "")) for r in ROWS) > 0
