@@ -4,7 +4,8 @@ The entities that the fixed patterns find are seeds. The two words before a ment
 pattern. Patterns and entities form a graph that Spark scores in rounds: a pattern is as reliable
 for a kind as the share of its mentions that are entities of the kind; an entity that no fixed pattern
 knows is of the kind with 1 - product(1 - reliability) over its patterns. Only patterns with enough
-support and a high reliability count. Unseen identifiers that score high are added as spans.
+support and a high reliability count. Scores only grow, and rounds go on until they are settled. Unseen
+identifiers that score high are added as spans.
 
 Texts are read once; spans and mentions go to the checkpoint folder. Mentions are combined to weighted
 edges before anything is joined, so a pattern or an entity with a third of all mentions is one row
@@ -13,6 +14,7 @@ per partner.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -22,9 +24,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gradeframe.llm.common import checkpointed, read_table, slices
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, LEAST_SUPPORT, LEAST_RELIABILITY, LEAST_SCORE = 3, 3.0, 0.6, 0.8
+LEAST_SUPPORT, LEAST_RELIABILITY, LEAST_SCORE = 3.0, 0.6, 0.8
+SETTLED = 1e-6  # growth of all scores together in the last round
 SMOOTHING = 1.0
-IDENTIFIER = (5, 64)  # characters of an unseen identifier
+SHORTEST = 5  # characters of an unseen identifier; shorter words stand for other things elsewhere
+LONG = 64  # characters of words that are named by their digests
+START = "\n"  # stands for a word before the text; no word has it
 
 # Fixed values of the contract, written so that long runs take linear time: an address is looked for
 # around each "@", and an ip starts where a run of digits starts.
@@ -34,6 +39,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TELLING = re.compile(r"[0-9@][^\x20\t-\r]*")
+WORDS = re.compile(r"\S+")
 EDGES = ".,;:!?\"'()[]{}<>|*#&$"
 
 SCANNED = ("doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, "
@@ -101,14 +107,41 @@ def unseen_identifiers(text: str, known: list[tuple[int, int, int]]) -> Iterator
             end -= 1
         while at < len(taken) and taken[at][1] <= start:
             at += 1
-        if IDENTIFIER[0] <= end - start <= IDENTIFIER[1] and not (at < len(taken) and taken[at][0] < end):
+        if SHORTEST <= end - start and not (at < len(taken) and taken[at][0] < end):
             yield start, end
 
 
-def pattern_before(text: str, start: int) -> str:
-    """The two words before, in lower case; empty if there are fewer."""
-    words = text[max(0, start - 64):start].lower().split()[-2:]
-    return " ".join(words) if len(words) == 2 else ""
+class Names:
+    """Words of a text in lower case, and long ones by digests, so that no word is copied more than once."""
+
+    def __init__(self, text: str):
+        self.text, self.at, self.end, self.hash = text, -1, -1, hashlib.blake2b(digest_size=16)
+
+    def of(self, start: int, end: int) -> str:
+        """The name of text[start:end]; a prefix of the same word that grows from call to call is hashed once."""
+        if end - start <= LONG:
+            return self.text[start:end].lower()
+        if start != self.at or end < self.end:
+            self.at, self.end, self.hash = start, start, hashlib.blake2b(digest_size=16)
+        self.hash.update(self.text[self.end:end].casefold().encode("utf-8", "surrogatepass"))
+        self.end = end
+        return START + self.hash.hexdigest()
+
+
+def patterns_before(text: str, starts: list[int]) -> Iterator[str]:
+    """The two words before each place, of whatever length; places come in order. START where there are fewer."""
+    whole, part = Names(text), Names(text)
+    before: list[str] = [START, START]
+    words = WORDS.finditer(text)
+    word = next(words, None)
+    for start in starts:
+        while word and word.end() <= start:
+            before = [before[1], whole.of(*word.span())]
+            word = next(words, None)
+        if word and word.start() < start:  # within a word: what comes before counts as one
+            yield f"{before[1]} {part.of(word.start(), start)}"
+        else:
+            yield " ".join(before)
 
 
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,25 +153,30 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = [0] * len(KINDS)
             for kind, _, _ in base:
                 counts[kind] += 1
-            places = base + [(-1, *s) for s in unseen_identifiers(text, base)]
-            mentions = [{"kind": k, "start": s, "end": e, "entity": text[s:e].lower(), "pattern": p}
-                        for k, s, e in places if (p := pattern_before(text, s))]
+            places = sorted(base + [(-1, *s) for s in unseen_identifiers(text, base)], key=lambda x: x[1])
+            names = Names(text)
+            mentions = [{"kind": k, "start": s, "end": e, "entity": names.of(s, e), "pattern": p}
+                        for (k, s, e), p in zip(places, patterns_before(text, [s for _, s, _ in places]))]
             rows.append((doc_id, *counts, [{"kind": k, "start": s, "end": e} for k, s, e in base], mentions))
         span = [("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]
         types = [pa.int64()] * 5 + [pa.list_(pa.struct(span)), pa.list_(pa.struct(
             span + [("entity", pa.string()), ("pattern", pa.string())]))]
-        names = ["doc_id", *(f"n_{k}" for k in KINDS), "base", "mentions"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+        fields = ["doc_id", *(f"n_{k}" for k in KINDS), "base", "mentions"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], fields)
+
 
+def bootstrap(mentions: DataFrame) -> DataFrame:
+    """entity, kind and score of unseen entities, from mentions (pattern, entity, kind; -1 if unseen).
 
-def bootstrap(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """entity, kind and score of unseen entities, from mentions (pattern, entity, kind; -1 if unseen)."""
+    A higher score makes patterns more reliable and a more reliable pattern makes scores higher, so no score
+    ever falls and rounds end; each is written to the checkpoint folder.
+    """
     edges = checkpointed(mentions.groupBy("pattern", "entity", "kind").agg(F.count(F.lit(1)).alias("n")))
     sizes = edges.groupBy("pattern").agg(F.sum("n").alias("all"))
     seeds = edges.where("kind >= 0").select("pattern", "kind", "entity", "n", F.lit(1.0).alias("score"))
     unseen = edges.where("kind < 0").select("pattern", "entity", "n")
-    scores = None
-    for _ in range(rounds):
+    scores, before = None, (0, 0.0)
+    while True:
         known = seeds.select("pattern", "kind", "n", "score")
         if scores is not None:
             known = known.unionByName(unseen.join(scores, "entity").select("pattern", "kind", "n", "score"))
@@ -150,10 +188,13 @@ def bootstrap(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             .where(F.col("reliability") >= LEAST_RELIABILITY).select("pattern", "kind", "reliability")
         )
         doubt = F.sum(F.log(F.lit(1.0) - F.least("reliability", F.lit(0.999999))))
-        scores = (
+        scores = checkpointed(
             unseen.join(reliable, "pattern").groupBy("entity", "kind").agg((1 - F.exp(doubt)).alias("score"))
         )
-    return scores
+        after = scores.agg(F.count(F.lit(1)), F.coalesce(F.sum("score"), F.lit(0.0))).first()
+        if after[0] == before[0] and after[1] - before[1] < SETTLED:
+            return scores
+        before = after
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:

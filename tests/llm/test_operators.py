@@ -359,3 +359,38 @@ def test_pipeline(spark, texts, ids):
     for r in rows:
         filled[r.sequence_id] += r.length
     assert max(filled.values()) <= 2048
+
+
+def test_identifiers_of_any_length_and_place(spark):
+    email = lambda i: f"user{i}@example.org"
+    key = "k3y" * 40
+    link = "https://example.org/" + "path/" * 30
+    rows = [f"reach me {email(i)} soon" for i in range(12)] + [f"reach me {key} soon"]  # more than 64 characters
+    rows += [f"{link} at {email(100 + i)}" for i in range(12)] + [f"{link} at handle77"]  # a long word before
+    rows += [email(200 + i) for i in range(12)] + ["handle88 starts"]  # nothing before
+    got = by_id(pii.find_personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect())
+    for doc, word in ((12, key), (25, "handle77"), (38, "handle88")):
+        at = rows[doc].index(word)
+        assert got[doc].spans == f"email:{at}:{at + len(word)}"
+
+
+def test_rounds_go_on_until_nothing_enters(spark):
+    # Each pattern is reliable only by the entities that the one before it finds.
+    steps, each = 6, 12
+    rows = [("p0", f"seed{i}", 0) for i in range(10 * each)]
+    for step in range(steps):
+        for i in range(each):
+            rows += [(f"p{step}", f"e{step}-{i}", -1)] + [(f"p{step + 1}", f"e{step}-{i}", -1)] * 8
+    scores = pii.bootstrap(spark.createDataFrame(rows, "pattern string, entity string, kind int")).collect()
+    found = {r.entity for r in scores if r.score >= pii.LEAST_SCORE}
+    assert found == {f"e{step}-{i}" for step in range(steps) for i in range(each)}
+
+
+def test_patterns_are_the_two_words_before():
+    rng = random.Random(9)
+    for _ in range(200):
+        text = "".join(rng.choice("ab  \n") * rng.choice([1, 1, 30, 90]) for _ in range(30))
+        starts = sorted(rng.sample(range(len(text)), 12))
+        for start, got in zip(starts, pii.patterns_before(text, starts)):
+            words = ["\n", "\n", *text[:start].split()][-2:]
+            assert got == " ".join(pii.Names(w).of(0, len(w)) if w != "\n" else w for w in words)
