@@ -23,8 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from gradeframe.llm.common import checkpointed, read_table, slices, tokenizer_path
-from gradeframe.llm.token_counts import BATCH, CACHES, PieceCache, load_tokenizer, pieces_of
+from gradeframe.llm.common import checkpointed, read_table, tokenizer_path
+from gradeframe.llm.pieces import PieceIds, cached, parts_of
 
 CAPACITY = 2_048
 ROUNDS, STEP, SERVED = 400, 0.5, 256
@@ -38,20 +38,21 @@ def cut_into_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> Dat
     """Pieces of at most ``capacity`` ids of every document, with the checksum of their ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (path, "ids") not in CACHES:
-            CACHES[path, "ids"] = PieceCache(load_tokenizer(path), False)
-        cache = CACHES[path, "ids"]
-        for batch in slices(batches, BATCH):
-            rows = []
-            split = [pieces_of(t or "") for t in batch.column(1).to_pylist()]
-            cache.learn(set().union(*split))
-            for doc_id, pieces in zip(batch.column(0).to_pylist(), split):
-                ids = b"".join(map(cache.__getitem__, pieces)) + END_OF_DOCUMENT
-                for number, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at:at + 4 * capacity]
-                    rows.append((doc_id, number, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(zip(*rows), PIECES_ARROW)], schema=PIECES_ARROW)
+        cache = cached((path, "ids"), lambda: PieceIds.of(path))
+        for batch in batches:
+            for at, text in parts_of(batch.column(1)):
+                found, ends = cache.encoded(text)
+                found, ends = memoryview(found.astype("<u4").tobytes()), (4 * ends).tolist()
+                rows = []
+                for doc_id, a, b in zip(batch.column(0).slice(at, len(text)).to_pylist(), ends, ends[1:]):
+                    length = (b - a) // 4 + 1
+                    for number, start in enumerate(range(0, length, capacity)):
+                        size = min(capacity, length - start)
+                        last = start + size == length
+                        crc = zlib.crc32(found[a + 4 * start:a + 4 * (start + size - last)])
+                        rows.append((doc_id, number, start, size, zlib.crc32(END_OF_DOCUMENT, crc) if last else crc))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, f.type) for c, f in zip(zip(*rows), PIECES_ARROW)], schema=PIECES_ARROW)
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut, PIECES)
 
@@ -194,8 +195,8 @@ def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[
     A rank r of the length belongs to the last row whose first rank is not above r; with d = r - first
     rank its sequence is first sequence + d // pieces and its offset first offset + d % pieces * length.
     The program's solution is rounded down and best fit packs the others, longest first, also into the rooms
-    that configurations leave. That is done with the configurations that leave no token free, with all and
-    with none; the plan is the one with the fewest sequences.
+    that configurations leave. That is done with the configurations that leave no token free and with all;
+    the plan is the one with the fewest sequences.
     """
     counts = {length: n for length, n in sorted(histogram.items()) if n > 0}
     used: dict[int, int] = dict.fromkeys(counts, 0)
@@ -205,8 +206,7 @@ def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[
     if counts:
         sizes = np.array(list(counts))
         program = configuration_program(np.array(list(counts.values()), float), sizes, capacity)
-        plan = min((sequences_of(counts, some, sizes, capacity, exact)
-                    for some, exact in ((program, True), (program, False), ([], True))),
+        plan = min((sequences_of(counts, program, sizes, capacity, exact) for exact in (True, False)),
                    key=lambda found: sum(times for _, times in found))
     for lengths, times in plan:
         offset = 0
