@@ -1,123 +1,102 @@
 """Token counts: a two-tier lookup on the map side.
 
-A text is split at ASCII spaces and newlines; the tokenizer never joins across them, so its count
-is the sum over the pieces. Piece lengths come from a broadcast table of frequent pieces (at most
-``FREQUENT`` entries, taken from a sample of about ``SAMPLE_DOCS`` documents) and otherwise from a
-worker's own cache, which asks the library on a miss. The sample decides only how often the library
-is asked, never a count. No piece is shuffled.
+Texts are cut into pieces where the tokenizer never joins (``pieces``), so a count is the sum over the pieces.
+Piece lengths come from a broadcast table of the corpus's most frequent pieces (at most ``FREQUENT`` entries)
+and otherwise from a worker's own cache, which asks the library on a miss. No piece is shuffled.
+
+The table comes from all documents: every task keeps a summary of bounded size (Misra-Gries: of more than
+``SUMMARY`` counters the next largest count is taken off all), and one aggregation merges the summaries. The
+table decides only how often the library is asked, never a count.
 """
 
 from __future__ import annotations
 
-import os
-import string
-from itertools import islice
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradeframe.llm.common import read_table, tokenizer_path
+from gradeframe.llm.pieces import PieceIds, cached, load_tokenizer, parts_of, pieces_of
 
-FREQUENT, SAMPLE_DOCS = 32_768, 2_000
-CACHE_ENTRIES = 800_000
-WORDS = 2_000  # asked at a time
-BATCH = 500  # documents whose new pieces are asked together
+FREQUENT, SUMMARY = 32_768, 16_384
+LONGEST = 64  # bytes of a piece that the table may hold
 TOKEN_LIMIT = 2_048
-# ASCII punctuation, which ends a word; not ">", with which the special strings end.
-CLOSING = string.punctuation.replace(">", "")
-
 
-class PieceCache(dict):
-    """Ids (as bytes) or the number of ids of every piece of text met so far, asked of the library in batches.
 
-    ASCII punctuation after a letter or digit starts a token of its own, so such a piece is the sum of both
-    parts; words of Latin-1 letters are asked in lower case, as the tokenizer reads them. Many words are
-    asked as one text: each ends with the only one of its tokens that ends a word. Beyond ``entries`` the
-    older half is forgotten. ``frequent`` pieces stay.
-    """
-
-    def __init__(self, tokenizer, counts: bool, frequent: dict | None = None, entries: int = CACHE_ENTRIES):
-        self.frequent = {"": 0 if counts else b""} | (frequent or {})
-        super().__init__(self.frequent)
-        self.tokenizer, self.counts, self.entries = tokenizer, counts, entries
-        vocabulary = tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def encode_others(self, pieces: list[str]) -> list:
-        encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [len(e.ids) if self.counts else np.array(e.ids, "<u4").tobytes() for e in encoded]
-
-    def encode_words(self, words: list[str]) -> list:
-        (encoded,) = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
-        ids = np.array(encoded.ids, "<u4")
-        ends = np.flatnonzero(self.ends_word[ids]) + 1
-        if len(ends) != len(words):
-            return self.encode_others(words)
-        if self.counts:
-            return np.diff(ends, prepend=0).tolist()
-        data, ends = ids.tobytes(), (4 * ends).tolist()
-        return [data[a:b] for a, b in zip([0, *ends], ends)]
-
-    def learn(self, pieces: set[str]) -> None:
-        if len(self) > self.entries:
-            for piece in list(islice(self, len(self) // 2)):
-                del self[piece]
-            self.update(self.frequent)
-        new = pieces.difference(self)
-        plain = [p for p in new if p.isascii() and p.isalpha()]
-        lower = list(map(str.lower, plain))
-        parts, words, others = [], set(lower), set()
-        for piece in new.difference(plain):
-            core = piece.rstrip(CLOSING)
-            core = core if core and core[-1].isalnum() else piece
-            tail = piece[len(core):]
-            if core.isalpha() and max(core) < "\u0100":
-                core = core.lower()
-                words.add(core)
-            else:
-                others.add(core)
-            others.add(tail)
-            parts.append((piece, core, tail))
-        for asked, encode in ((words, self.encode_words), (others, self.encode_others)):
-            asked = list(asked.difference(self))
-            for at in range(0, len(asked), WORDS):
-                self.update(zip(asked[at:at + WORDS], encode(asked[at:at + WORDS])))
-        self.update(zip(plain, map(self.__getitem__, lower)))
-        self.update((piece, self[core] + self[tail]) for piece, core, tail in parts)
-
-
-# A worker keeps its caches from task to task.
-CACHES: dict[tuple[str, str], PieceCache] = {}
-
-
-def pieces_of(text: str) -> list[str]:
-    return text.replace("\n", " ").split(" ")
-
-
-def load_tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return tokenizer
-
-
-def frequent_lengths(docs: DataFrame, path: str, entries: int = FREQUENT, sample: int = SAMPLE_DOCS) -> dict[str, int]:
-    """Token counts of the most frequent pieces of about ``sample`` documents; at most ``entries`` of them."""
-    share = min(1.0, sample / max(docs.count(), 1))
-    words = F.explode(F.split(F.translate("text", "\n", " "), " ")).alias("piece")
-    counted = (
-        docs.select("text").where("text is not null").sample(share, seed=1).select(words)
-        .where(F.length("piece").between(1, 64)).groupBy("piece").count()
-        .orderBy(F.desc("count"), "piece").limit(entries)
-    )
-    frequent = [row.piece for row in counted.collect()]
-    tokenizer = load_tokenizer(path)
-    encoded = tokenizer.encode_batch(frequent, add_special_tokens=False)
+class PieceCounts(PieceIds):
+    """Number of ids of every piece; frequent ones come from the table and stay."""
+
+    def __init__(self, *args, frequent: dict[bytes, int] | None = None, **options):
+        self.frequent = frequent or {}
+        super().__init__(*args, **options)
+
+    def forget(self) -> None:
+        super().forget()
+        self.index = {piece: number for number, piece in enumerate(self.frequent)}
+        self.count = np.fromiter(self.frequent.values(), np.int64, len(self.frequent))
+
+    def keep(self, pieces: list[bytes], found: list[list[int]]) -> None:
+        self.index.update(zip(pieces, range(len(self.index), len(self.index) + len(pieces))))
+        self.count = np.concatenate([self.count, np.fromiter(map(len, found), np.int64, len(found))])
+
+    def counted(self, text: pa.Array) -> np.ndarray:
+        """Number of ids of every text."""
+        pieces, first = pieces_of(text, self.rule, self.lower, self.added)
+        number = self.known(pieces)
+        ends = np.concatenate([[0], np.cumsum(self.count[number])])
+        return np.diff(ends[first])
+
+
+class Summary:
+    """Counters of the most frequent pieces, at most ``most`` of them; each is too low by at most ``lost``."""
+
+    def __init__(self, most: int = SUMMARY):
+        self.most, self.lost, self.counts = most, 0, {}
+
+    def cut(self, counts: np.ndarray) -> tuple[np.ndarray, int]:
+        """Which counters stay, and what is taken off them."""
+        if len(counts) <= self.most:
+            return np.arange(len(counts)), 0
+        off = int(np.partition(counts, len(counts) - self.most - 1)[len(counts) - self.most - 1])
+        return np.flatnonzero(counts > off), off
+
+    def add(self, pieces: pa.Array) -> None:
+        seen = pieces.value_counts()
+        counts = seen.field("counts").to_numpy()
+        stay, off = self.cut(counts)
+        self.lost += off
+        for piece, n in zip(seen.field("values").take(pa.array(stay)).to_pylist(), (counts[stay] - off).tolist()):
+            self.counts[piece] = self.counts.get(piece, 0) + n
+        names, counts = list(self.counts), np.fromiter(self.counts.values(), np.int64, len(self.counts))
+        stay, off = self.cut(counts)
+        if off:
+            self.lost += off
+            self.counts = {names[i]: n for i, n in zip(stay.tolist(), (counts[stay] - off).tolist())}
+
+
+def summaries(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """The frequent pieces of a task and their counts."""
+    cache, summary = cached((path, "ids"), lambda: PieceIds.of(path)), Summary()
+    for batch in batches:
+        for _, text in parts_of(batch.column(0)):
+            pieces, _ = pieces_of(text, cache.rule, cache.lower, cache.added)
+            short = pc.less_equal(pc.binary_length(pieces), LONGEST)
+            summary.add(pieces.filter(short))
+    if summary.counts:
+        yield pa.RecordBatch.from_arrays([pa.array(summary.counts.keys(), pa.binary()),
+                                          pa.array(summary.counts.values(), pa.int64())], ["piece", "n"])
+
+
+def frequent_lengths(docs: DataFrame, path: str, entries: int = FREQUENT) -> dict[bytes, int]:
+    """Token counts of the most frequent pieces of all documents; at most ``entries`` of them."""
+    counted = docs.select("text").mapInArrow(lambda batches: summaries(batches, path), "piece binary, n bigint")
+    most = counted.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(entries)
+    frequent = [bytes(row.piece) for row in most.select("piece").collect()]
+    encoded = load_tokenizer(path).encode_batch_fast([p.decode("utf-8", "replace") for p in frequent], add_special_tokens=False)
     return {piece: len(e.ids) for piece, e in zip(frequent, encoded)}
 
 
@@ -131,17 +110,13 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = TOKEN_LI
     """
     path = path or tokenizer_path()
     table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path))
+    name = uuid.uuid4().hex  # a cache of its own for each table
 
     @F.arrow_udf("bigint")
     def n_tokens(text: pa.Array) -> pa.Array:
-        if (path, "counts") not in CACHES:
-            CACHES[path, "counts"] = PieceCache(load_tokenizer(path), True, table.value)
-        cache, counts = CACHES[path, "counts"], []
-        for at in range(0, len(text), BATCH):
-            split = [pieces_of(t or "") for t in text.slice(at, BATCH).to_pylist()]
-            cache.learn(set().union(*split))
-            counts += [sum(map(cache.__getitem__, pieces)) for pieces in split]
-        return pa.array(counts, pa.int64())
+        cache = cached((path, "counts", name), lambda: PieceCounts.of(path, frequent=table.value))
+        counts = [cache.counted(part) for _, part in parts_of(text)]
+        return pa.array(np.concatenate(counts) if counts else np.empty(0, np.int64))
 
     counted = docs.select(
         "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"),

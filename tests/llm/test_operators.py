@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import brute
 import corpus_pipeline
-from gradeframe.llm import language, near_join, packing, pii, secrets, suffix_dedup, token_counts
+from gradeframe.llm import language, near_join, packing, pieces, pii, secrets, suffix_dedup, token_counts
 from gradeframe.llm.common import tokenizer_path
 from gradeframe.llm.queries import ORACLES, QUERIES
 
@@ -122,7 +122,7 @@ def test_frequent_grams_are_dealt_by_their_sides(spark, monkeypatch):
 
 @pytest.fixture(scope="module")
 def ids(texts):
-    tokenizer = token_counts.load_tokenizer(tokenizer_path())
+    tokenizer = pieces.load_tokenizer(tokenizer_path())
     return {k: tokenizer.encode(t, add_special_tokens=False).ids for k, t in texts.items()}
 
 
@@ -135,24 +135,12 @@ def test_token_counts(spark, texts, ids):
 def test_tokens_of_odd_pieces(spark):
     odd = ["Don't 'S 'SWORD it's.", "<|endoftext|>. a<|startoftext|>b <|STARTOFTEXT|>", "Ünï ÀB́C İstanbul ΣΑΣ.", "a.,;b 12,3. x y z",
            "THE!! The, the", "\x1c\x85 q", "", None]
-    tokenizer = token_counts.load_tokenizer(tokenizer_path())
+    tokenizer = pieces.load_tokenizer(tokenizer_path())
     docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
     got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs).collect()}
     assert got == {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(odd)}
 
 
-@pytest.mark.parametrize("counts", [True, False])
-def test_forgetful_cache_answers_the_same(counts):
-    tokenizer = token_counts.load_tokenizer(tokenizer_path())
-    cache = token_counts.PieceCache(tokenizer, counts, entries=4)
-    for text in ("the cat. sat on Äpfel", "a mat, the dog's Ärger! ß 12", "barked! the end. <|endoftext|>. ΣΑΣ", ""):
-        pieces = token_counts.pieces_of(text)
-        cache.learn(set(pieces))
-        ids = tokenizer.encode(text, add_special_tokens=False).ids
-        got = [cache[p] for p in pieces]
-        assert sum(got) == len(ids) if counts else np.frombuffer(b"".join(got), "<u4").tolist() == ids
-
-
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
