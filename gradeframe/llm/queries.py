@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from gradeframe.llm import exact_dedup, language, mixing, near_join, packing, pii, secrets, suffix_dedup, token_counts, topk
+from gradeframe.llm import (
+    exact_dedup, language, mixing, near_join, negatives, packing, pii, secrets, suffix_dedup, token_counts, topk,
+)
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -15,9 +17,11 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_near_join": near_join.op9_near_join,
     "op10_pii": pii.op10_pii,
+    "op11_negatives": negatives.op11_negatives,
 }
 
 ORACLES = {
     "op1_topk": topk.OP1_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op11_negatives": negatives.OP11_SQL,
 }

@@ -1,135 +1,40 @@
 """Exact top-k search: tiled matrix products, a selection per tile, and merged top lists.
 
-Vectors are packed where they are read into blocks of bounded size, queries and shards alike. Every
-query block meets every block of every shard once; such a tile is one matrix product, of which each
-query keeps its best ``k``. The lists of a query are merged in a tree with a fan-in of ``FAN_IN``, so
-no task ever holds more than FAN_IN lists of k entries for a query.
+Every query block meets every block of vectors once (``tiles``); such a tile is one matrix product, of which each
+query keeps its best ``k``. The lists of a query are merged in a tree with a fan-in of ``tiles.FAN_IN``, so
+no task ever holds more than that many lists of k entries for a query.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradeframe.llm.common import read_table
+from gradeframe.llm.tiles import best_of_all, finite, packed, without_itself
 
 K, QUERY_STEP, SCALE = 20, 20, 64
-BLOCK_VALUES = 262_144  # components of a block: 2 MB
-QUERY_TILE = 256  # queries multiplied at a time
-FAN_IN = 16
-BLOCKS = "block bigint, part int, dim int, ids binary, vectors binary"
-BLOCKS_ARROW = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("dim", pa.int32()),
-                          ("ids", pa.binary()), ("vectors", pa.binary())])
-TOPS = "query_id bigint, query bigint, part int, top array<struct<lost: bigint, vec_id: bigint>>"
 
 
 def quantized(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id and the components floor(scale * x) of every vector that takes part."""
-    value = F.transform("embedding", lambda x: x.cast("double"))
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    """vec_id, a label and the components floor(scale * x) of every vector that takes part."""
     return (
-        vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), value.alias("v"))
-        .where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.coalesce(finite, F.lit(False)))
-        .select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale)))).alias("v"))
+        vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"),
+                       F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+        .where(F.col("vec_id").isNotNull() & finite(F.col("v")))
+        .select("vec_id", F.lit(0).alias("label"), F.transform("v", lambda x: F.floor(x * F.lit(float(scale)))).alias("v"))
     )
 
 
-def packed(vectors: DataFrame, parts: int) -> DataFrame:
-    """The vectors in blocks of equal length and at most BLOCK_VALUES components, dealt to ``parts``."""
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task, count = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            ids, lists = batch.column(0).to_numpy(), batch.column(1)
-            values = lists.flatten().to_numpy(zero_copy_only=False)
-            sizes = lists.value_lengths().to_numpy()
-            ends = np.cumsum(sizes)
-            for dim in np.unique(sizes):
-                rows = np.flatnonzero(sizes == dim)
-                step = max(1, BLOCK_VALUES // max(int(dim), 1))
-                for at in range(0, len(rows), step):
-                    own = rows[at:at + step]
-                    matrix = values[(ends[own] - dim)[:, None] + np.arange(dim)]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(
-                        ((task << 32) + count, (task + count) % parts, int(dim), ids[own].tobytes(),
-                         matrix.astype(np.int64).tobytes()), BLOCKS_ARROW)], schema=BLOCKS_ARROW)
-                    count += 1
-
-    return vectors.mapInArrow(blocks, BLOCKS)
-
-
-def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Inner products of the rows as 64-bit integers (they wrap beyond), in floating point where that is exact."""
-    most = max(np.abs(left).max(initial=0), 1) * max(np.abs(right).max(initial=0), 1) * max(left.shape[1], 1)
-    if float(most) < 2.0**53:
-        return (left.astype(np.float64) @ right.astype(np.float64).T).astype(np.int64)
-    return left @ right.T
-
-
-def tile_tops(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """The best k of every query of a tile, without the query itself."""
-    for batch in batches:
-        for tile in batch.to_pylist():
-            dim = tile["dim"]
-            query_ids, ids = np.frombuffer(tile["query_ids"], np.int64), np.frombuffer(tile["ids"], np.int64)
-            queries = np.frombuffer(tile["queries"], np.int64).reshape(len(query_ids), dim)
-            # In the order of ids, so a stable choice among equal scores takes the smaller ids.
-            order = np.argsort(ids, kind="stable")
-            ids, shard = ids[order], np.frombuffer(tile["vectors"], np.int64).reshape(len(ids), dim)[order]
-            for at in range(0, len(query_ids), QUERY_TILE):
-                own = query_ids[at:at + QUERY_TILE]
-                lost = ~products(queries[at:at + QUERY_TILE], shard)  # ascending where scores descend
-                other = ids[None, :] != own[:, None]
-                rows = []
-                if len(ids) > 2 * (k + 1):
-                    bound = np.partition(np.where(other, lost, np.iinfo(np.int64).max), k - 1, axis=1)[:, k - 1]
-                    keep = other & (lost <= bound[:, None])
-                else:
-                    keep = other
-                for q in range(len(own)):
-                    found = np.flatnonzero(keep[q])
-                    found = found[np.argsort(lost[q, found], kind="stable")[:k]]
-                    rows.append([{"lost": a, "vec_id": b} for a, b in zip(lost[q, found].tolist(), ids[found].tolist())])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(own), pa.array(np.arange(at, at + len(own)) + (tile["query_block"] << 20)),
-                    pa.array([tile["part"]] * len(own), pa.int32()),
-                    pa.array(rows, pa.list_(pa.struct([("lost", pa.int64()), ("vec_id", pa.int64())]))),
-                ], ["query_id", "query", "part", "top"])
-
-
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """Each query's k rows of ``vectors`` with the highest inner product: query_id, rank, vec_id, score.
 
-    Both sides are quantized vectors (vec_id, v). Ties go to the smaller vec_id; a row never finds
-    rows of its own vec_id. A vector meets only vectors of its length. Rows that repeat a vec_id are
-    queries and candidates of their own. Queries without a candidate give no row. Scores beyond 64
-    bits wrap as long arithmetic does.
+    Both sides are quantized vectors (vec_id, label, v); queries are rows of ``vectors``. Ties go to the
+    smaller vec_id. A query's own row is no candidate; other rows of its vec_id are. A vector meets only
+    vectors of its length. Rows that repeat a vec_id are queries and candidates of their own. Queries
+    without a candidate give no row. Scores beyond 64 bits wrap as long arithmetic does.
     """
-    # As many parts as shuffles have partitions: the product of each part with all queries is a task.
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = packed(vectors, parts)
-    # One copy of a query block for each part that holds blocks of vectors: a stated query set in blocks.
-    blocks = packed(queries, parts).select(
-        F.col("block").alias("query_block"), "dim", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"),
-        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    tiles = shards.join(blocks.hint("shuffle_hash"), ["part", "dim"])
-    tops = tiles.select("query_block", "query_ids", "queries", "part", "dim", "ids", "vectors").mapInArrow(
-        lambda batches: tile_tops(batches, k), TOPS)
-    groups = parts
-    while True:
-        groups = math.ceil(groups / FAN_IN)
-        merged = F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k)
-        tops = tops.groupBy("query_id", "query", F.floor(F.col("part") / FAN_IN).cast("int").alias("part")).agg(
-            merged.alias("top"))
-        if groups <= 1:
-            break
-    return tops.select("query_id", F.posexplode("top").alias("pos", "t")).select(
+    tops = best_of_all(packed(queries), packed(vectors), k + 1)
+    return tops.select("query_id", F.posexplode(without_itself(k)).alias("pos", "t")).select(
         "query_id", (F.col("pos") + 1).alias("rank"), "t.vec_id", F.bitwise_not("t.lost").alias("score"))
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gradeframe.llm import exact_dedup, language, mixing, near_join, packing, pii, secrets, suffix_dedup, token_counts, topk
+from gradeframe.llm import exact_dedup, language, mixing, near_join, negatives, packing, pii, secrets, suffix_dedup, token_counts, topk
 from gradeframe.llm.common import keep_rows
 
 OPERATORS = {
@@ -81,18 +81,38 @@ def test_keep_rows_takes_the_named_text_only(docs):
     assert [r.text for r in keep_rows(docs, wanted, F.xxhash64("text")).collect()] == ["another text with the same id"]
 
 
+VECTORS = [(0, [1.0, 0.5], 1), (0, [1.0, 0.5], 1), (0, [3.0, 0.5], 2), (1, [2.0, 0.0], 1), (2, [2.0, 0.0], 2), (3, None, 1),
+           (4, [1.0, None], 1), (5, [float("nan"), 1.0], 1), (6, [float("inf"), 1.0], 1), (None, [1.0, 1.0], 1), (20, [1.0], 1),
+           (40, [], 1), (60, [0.1, 0.1], 1), (61, [0.9, 0.1], None)]
+
+
 def test_top_k_edges(spark):
-    vectors = [(0, [1.0, 0.5], 1), (0, [1.0, 0.5], 1), (1, [2.0, 0.0], 1), (2, [2.0, 0.0], 2), (3, None, 1), (4, [1.0, None], 1),
-               (5, [float("nan"), 1.0], 1), (6, [float("inf"), 1.0], 1), (None, [1.0, 1.0], 1), (20, [1.0], 1), (40, [], 1),
-               (60, [0.1, 0.1], 1)]
-    table = topk.quantized(spark.createDataFrame(vectors, "vec_id long, embedding array<float>, score int"))
-    got = topk.top_k(table, table.where("vec_id % 20 = 0"), 2).collect()
+    table = topk.quantized(spark.createDataFrame(VECTORS, "vec_id long, embedding array<float>, score int"))
+    got = topk.top_k(table, table.where("vec_id % 20 = 0"), 3).collect()
     mine = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == 0)
-    assert [x[1] for x in mine if x[0] == 1] == [1, 1] and len(mine) == 4  # both rows of id 0 ask; a tie goes to id 1
+    # Three rows of id 0 ask, and find the other two but not themselves; a tie goes to the smaller id.
+    plain, other = [(1, 0, 13312), (2, 1, 8192), (3, 2, 8192)], [(1, 1, 24576), (2, 2, 24576), (3, 0, 13312)]
+    assert mine == sorted(plain + plain + other)
     assert {r.query_id for r in got} == {0, 60}  # no vector of the length of 20 and 40
     assert topk.top_k(table.where("false"), table.where("false"), 2).collect() == []
 
 
+def test_negatives_edges(spark):
+    table = negatives.labelled(spark.createDataFrame(VECTORS, "vec_id long, embedding array<float>, label int, score int"
+                                                     .replace(", score int", "")), 4)
+    got = negatives.hard_negatives(table, table.where("vec_id = 0"), 2, 2, 50, 100).collect()
+    rows = sorted((r.anchor_id, r.positive_id, r["rank"], r.negative_id, r.positive_score, r.negative_score) for r in got)
+    # Both plain rows of id 0 have the positives 1 (32) and 0 (20); the third row of id 0 has 2 (96).
+    plain = [(0, 1, 1, 2, 32, 32)]
+    third = [(0, 2, 1, 1, 96, 96), (0, 2, 2, 0, 96, 52), (0, 2, 2, 0, 96, 52)]
+    assert [r for r in rows if r[4] == 32] == plain * 2
+    assert [r for r in rows if r[4] == 96] == third[:2]
+    empty = table.where("false")
+    assert negatives.hard_negatives(empty, empty).collect() == []
+    assert negatives.hard_negatives(table, empty).collect() == []
+    assert negatives.hard_negatives(table.where("label = 1"), table.where("label = 1")).collect() == []
+
+
 def test_language_stage_keeps_texts_when_nothing_could_be_learned(docs):
     kept = lambda table: sorted(str(r) for r in language.keep_known(table).select("doc_id", "text").collect())
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
