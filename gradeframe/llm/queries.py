@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from gradeframe.llm import (
-    exact_dedup, language, mixing, near_join, negatives, packing, pii, secrets, suffix_dedup, token_counts, topk,
+    exact_dedup, language, mixing, near_join, negatives, packing, pii, secrets, suffix_dedup,
+    token_counts, token_files, topk,
 )
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op9_near_join": near_join.op9_near_join,
     "op10_pii": pii.op10_pii,
     "op11_negatives": negatives.op11_negatives,
+    "op12_token_files": token_files.op12_token_files,
 }
 
 ORACLES = {

@@ -1,11 +1,21 @@
 """Nulls in any column, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gradeframe.llm import exact_dedup, language, mixing, near_join, negatives, packing, pii, secrets, suffix_dedup, token_counts, topk
-from gradeframe.llm.common import keep_rows
+from gradeframe.llm import exact_dedup, language, mixing, near_join, negatives, packing, pii, secrets, suffix_dedup, token_counts, token_files, topk
+from gradeframe.llm.common import keep_rows, shared_folder
+
+
+
+def token_files_of(docs):
+    path = f"{shared_folder(docs.sparkSession)}/test-ids-{uuid.uuid4().hex}"
+    token_files.write_ids(docs, path, shard_ids=1_000)
+    return token_files.describe(token_files.read_shards(docs.sparkSession, path))
+
 
 OPERATORS = {
     "secrets": (secrets.scan_secrets, "doc_id n_assign n_access n_hex base_sha256 spans"),
@@ -16,6 +26,7 @@ OPERATORS = {
     "mixing": (mixing.mix, "doc_id size source_size target taken"),
     "packing": (packing.pack, "doc_id piece start length ids_crc32 sequence_id offset"),
     "near_join": (near_join.near_join, "doc_id class_id class_size n_links kept text_hash"),
+    "token_files": (token_files_of, "doc_id start n_tokens ids_crc32"),
     "pii": (pii.find_personal_data, "doc_id n_email n_ip n_card n_phone base_sha256 spans"),
 }
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, size string, row string, sid string"
