@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from gradeframe.llm import (
-    exact_dedup, language, mixing, near_join, negatives, packing, pii, secrets, suffix_dedup,
+    alignment, exact_dedup, language, mixing, near_join, negatives, packing, pii, secrets, suffix_dedup,
     token_counts, token_files, topk,
 )
 
@@ -20,6 +20,7 @@ QUERIES = {
     "op10_pii": pii.op10_pii,
     "op11_negatives": negatives.op11_negatives,
     "op12_token_files": token_files.op12_token_files,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 ORACLES = {

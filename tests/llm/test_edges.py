@@ -6,7 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gradeframe.llm import exact_dedup, language, mixing, near_join, negatives, packing, pii, secrets, suffix_dedup, token_counts, token_files, topk
+from gradeframe.llm import (
+    alignment, exact_dedup, language, mixing, near_join, negatives, packing, pii, secrets,
+    suffix_dedup, token_counts, token_files, topk,
+)
 from gradeframe.llm.common import keep_rows, shared_folder
 
 
@@ -26,6 +29,7 @@ OPERATORS = {
     "mixing": (mixing.mix, "doc_id size source_size target taken"),
     "packing": (packing.pack, "doc_id piece start length ids_crc32 sequence_id offset"),
     "near_join": (near_join.near_join, "doc_id class_id class_size n_links kept text_hash"),
+    "alignment": (alignment.align, "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256"),
     "token_files": (token_files_of, "doc_id start n_tokens ids_crc32"),
     "pii": (pii.find_personal_data, "doc_id n_email n_ip n_card n_phone base_sha256 spans"),
 }
