@@ -88,6 +88,16 @@ def clean_tokens(text: Column, stopwords: Sequence[str | Column]) -> Column:
     return F.filter(class_tokens(text), lambda t: (F.length(t) > 1) & ~t.isin(*stopwords))
 
 
+def without_listed(tokens: Column, listed: Column) -> Column:
+    """Tokens that an array column does not hold; the row's own hits are found first, so each token is tested against few."""
+    return let(F.array_intersect(tokens, listed), lambda hits: F.filter(tokens, lambda t: ~F.array_contains(hits, t)))
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip_fence(text: Column, trim=trim_control) -> Column:
     """Remove a Markdown code fence around an already trimmed reply."""
     inner = F.regexp_replace(F.regexp_replace(text, "^```[a-zA-Z]*\\n?", ""), "```$", "")

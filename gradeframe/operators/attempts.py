@@ -84,6 +84,7 @@ def resolve_attempts(
     payload: Sequence[str] = ("judge_score", "reason"),
     key: str = "pair_id",
     most: int = MAX_ATTEMPTS,
+    asked_at: str | None = None,
 ) -> DataFrame:
     """One row per key: how the search ended, and the winning reply if there is one.
 
@@ -96,11 +97,16 @@ def resolve_attempts(
     shuffle as one row per task, and the winner carries its payload along. Minima
     of structs sort each task's rows before and after the shuffle; there is no
     join back. An end counts only if every earlier model was refused.
+
+    The same aggregation runs over a stream: its state is the ends of each place, not the log. ``asked_at`` names
+    the time of the request, the same in all its attempts; it stays in the result, and with a watermark on it
+    the state of old requests is dropped.
     """
+    keys = [key, *([asked_at] if asked_at else [])]
     order = model_order(F.coalesce("preferred_model", F.lit(chain[0])), chain)
     places = range(1, len(chain) + 2)
     ranked = (
-        attempts.select(key, "model", "attempt_no", "outcome", *payload, order.alias("_order"))
+        attempts.select(*keys, "model", "attempt_no", "outcome", *payload, order.alias("_order"))
         .withColumn("_place", F.array_position("_order", F.col("model")).cast("int"))
         .withColumn("_places", F.size("_order"))
         .withColumn("_action", action_of(F.col("outcome"), policy))
@@ -113,7 +119,7 @@ def resolve_attempts(
     counted = F.col("_action").isNotNull() & F.col("attempt_no").between(1, most)
     kept = [F.when(F.col("_action") == "accept", F.col(c)).alias(c) for c in payload]
     stop = F.struct(F.col("attempt_no"), F.col("_action").alias("action"), F.col("model"), *kept)
-    ends = ranked.groupBy(key).agg(
+    ends = ranked.groupBy(*keys).agg(
         F.max("_places").alias("_places"),
         *[F.min(F.when(counted & (F.col("_place") == p), stop)).alias(f"_end{p}") for p in places],
     )
@@ -137,7 +143,7 @@ def resolve_attempts(
             .otherwise("INCOMPLETE"),
         )
         .select(
-            key, "end_state",
+            *keys, "end_state",
             F.when(F.col("_end.action") == "accept", F.col("_end.model")).alias("model_used"),
             F.col("_end.attempt_no").alias("attempt_no"),
             *[F.col(f"_end.{c}").alias(c) for c in payload],

@@ -58,11 +58,21 @@ def _cosine_of(tokens: DataFrame) -> DataFrame:
     )
 
 
-def with_cosine(pairs: DataFrame, stopwords: Iterable[str]) -> DataFrame:
+def with_cosine(pairs: DataFrame, stopwords: Iterable[str] | DataFrame) -> DataFrame:
     """Adds ``cosine`` (0 to 1) over cleaned tokens without stemming.
 
-    The list has no default: this score goes with a longer one than the base list, which callers bring.
+    The list has no default: this score goes with a longer one than the base list, which callers bring. A table
+    with a ``word`` column becomes one constant array by a scalar subquery, so the pairs do not move and nothing is
+    read while the plan is built; it should have thousands of words at most, `cosine_by_terms` takes any number.
     """
+    if isinstance(stopwords, DataFrame):
+        tokens = evaluate_once(
+            pairs, _expected=text.clean_tokens(F.col("expected"), []), _actual=text.clean_tokens(F.col("actual"), []))
+        # A subquery stands in a column, not in a lambda.
+        listed = tokens.withColumn("_words", stopwords.select(F.collect_set("word")).scalar())
+        return _cosine_of(evaluate_once(
+            listed, drop=("_words",), _expected=text.without_listed(F.col("_expected"), F.col("_words")),
+            _actual=text.without_listed(F.col("_actual"), F.col("_words"))))
     words = as_literals(stopwords)
     return _cosine_of(
         evaluate_once(
@@ -116,7 +126,7 @@ def stem_vocabulary(table: DataFrame, column: str, stopwords: Stopwords = None)
     )
 
 
-def with_cosine_verdict(pairs: DataFrame, stopwords: Iterable[str]) -> DataFrame:
+def with_cosine_verdict(pairs: DataFrame, stopwords: Iterable[str] | DataFrame) -> DataFrame:
     """Adds ``cosine_pct``, ``status`` and ``message`` against the ``threshold`` column.
 
     A null text or threshold is a failed row without a score, not a failed job.

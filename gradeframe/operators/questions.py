@@ -116,6 +116,13 @@ def question_rows(checked: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
+def totals_by_status(totals: DataFrame) -> DataFrame:
+    """Replies and generated pairs for each status, from `question_totals`; over a stream the state is one row each."""
+    return totals.groupBy("status").agg(
+        F.count(F.lit(1)).alias("replies"), F.coalesce(F.sum("total_generated"), F.lit(0)).alias("generated"),
+        F.count_if("count_matches").alias("full_replies"))
+
+
 def question_totals(checked: DataFrame, key: str = "doc_id") -> DataFrame:
     """Pairs per reply and whether that is the asked number; the size of the reply's own array.
 

@@ -790,3 +790,9 @@ SELECT test_id, failed_check,
       || chr(10) || 'Actual -> [' || array_to_string(names, ', ') || ']'
     WHEN 'backend_exists' THEN 'Refund not created in backend' ELSE 'AI AGENT TEST PASSED' END AS message
 FROM failed"""
+ORACLES["tool_exists_table"] = ORACLES["tool_exists"]
+ORACLES["cosine_pct_table"] = ORACLES["cosine_by_terms"]
+ORACLES["result_sink"] = ORACLES["cosine_verdict"]
+ORACLES["reply_source"] = f"""
+WITH {ATTEMPTS} SELECT pair_id, model, CAST(attempt_no AS INTEGER) AS attempt_no, CAST(http_status AS INTEGER) AS http_status,
+  retry_after, body FROM replies"""

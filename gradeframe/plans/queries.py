@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -9,9 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import files, http, text
 from ..functions.stopwords import BASE
 from ..operators import agents, attempts, lexical, questions, replies, requests, rules
+from ..session import CHECKPOINT_KEY, shared_folder
 from ..sources import schemas
 from ..sources.files import with_document_text
 from ..sources.schemas import conform
+from ..sources.tables import once_delivered, read_replies, write_results
 from . import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,6 +113,13 @@ def cosine_pct_documents(spark, folder):
     return _percent(lexical.with_cosine(fixtures.document_pairs(spark, folder), fixtures.CALLER_WORDS), "doc_id")
 
 
+@query
+def cosine_pct_table(spark, folder):
+    """The list as a table: one constant array, no shuffle of the pairs."""
+    words = fixtures.caller_stopwords(spark, folder)
+    return _percent(lexical.with_cosine(fixtures.document_pairs(spark, folder), words), "doc_id")
+
+
 @query
 def cosine_by_terms(spark, folder):
     words = fixtures.caller_stopwords(spark, folder)
@@ -381,6 +392,30 @@ def document_source(spark, folder):
     )
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all tasks share; on one machine without a named one, a temporary folder."""
+    if spark.conf.get(CHECKPOINT_KEY, None) is None and spark.sparkContext.master.startswith("local"):
+        return f"{tempfile.mkdtemp(prefix='tables-')}/{name}"
+    return shared_folder(spark, f"tables/{name}-{uuid.uuid4().hex}")
+
+
+@query
+def reply_source(spark, folder):
+    """Replies as the outside service leaves them: written, and read again with the declared schema."""
+    path = _folder(spark, "replies")
+    conform(fixtures.attempts(spark, folder), schemas.REPLIES).write.parquet(path)
+    return once_delivered(read_replies(spark, path), "received_at").select(
+        "pair_id", "model", "attempt_no", "http_status", "retry_after", "body")
+
+
+@query
+def result_sink(spark, folder):
+    """Verdicts written by status, and read again."""
+    path = _folder(spark, "results")
+    write_results(cosine_verdict(spark, folder), path)
+    return spark.read.parquet(path).select("pair_id", "cosine_pct", "threshold", "status", "message")
+
+
 @query
 def document_type(spark, folder):
     kind = files.document_type(F.col("content"))
@@ -442,6 +477,16 @@ def tool_exists(spark, folder):
     )
 
 
+@query
+def tool_exists_table(spark, folder):
+    """The catalogue as a table: the tools that cases expect."""
+    tools = fixtures.cases(spark, folder).select(F.explode("expected_tools").alias("tool_name")).distinct()
+    checked = agents.with_unknown_tool(fixtures.runs(spark, folder), tools)
+    return checked.select(
+        "test_id", F.col("unknown_pos").isNull().alias("all_known"), "unknown_pos", "unknown_tool"
+    )
+
+
 def _traces(spark, folder):
     return fixtures.cases(spark, folder).join(fixtures.runs(spark, folder), "test_id")
 

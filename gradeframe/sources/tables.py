@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .schemas import REPLIES
 
@@ -16,12 +16,29 @@ def write_requests(requests: DataFrame, path: str, key: str = "pair_id") -> None
     requests.select(*named).write.mode("errorifexists").json(path)
 
 
-def read_replies(spark: SparkSession, path: str, kind: str = "parquet", stream: bool = False) -> DataFrame:
-    """Replies of the outside service, as a table or as a stream; the schema is never guessed."""
-    reader = (spark.readStream if stream else spark.read).schema(REPLIES)
+def read_replies(
+    spark: SparkSession, path: str, kind: str = "parquet", stream: bool = False, received_at: str | None = None
+) -> DataFrame:
+    """Replies of the outside service, as a table or as a stream; the schema is never guessed.
+
+    ``received_at`` names a column with the time of delivery, if the service writes one.
+    """
+    schema = T.StructType([*REPLIES.fields, *([T.StructField(received_at, T.TimestampType())] if received_at else [])])
+    reader = (spark.readStream if stream else spark.read).schema(schema)
     return reader.format(kind).load(path)
 
 
+def once_delivered(replies: DataFrame, received_at: str, delay: str = "1 hour", key: str = "pair_id") -> DataFrame:
+    """Each reply once, also if it is delivered again up to ``delay`` later in a stream.
+
+    A reply is named by key, model and attempt. The state holds the names, and drops them behind the watermark.
+    """
+    names = [key, "model", "attempt_no"]
+    if not replies.isStreaming:
+        return replies.dropDuplicates(names)
+    return replies.withWatermark(received_at, delay).dropDuplicatesWithinWatermark(names)
+
+
 def write_results(results: DataFrame, path: str) -> None:
     """Results as parquet, one folder per status."""
     results.write.mode("errorifexists").partitionBy("status").parquet(path)

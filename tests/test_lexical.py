@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from gradeframe.functions.stem import porter_stem
 from gradeframe.functions.stopwords import BASE
 from gradeframe.operators import lexical
+from gradeframe.plans import fixtures
 from gradeframe.sources.pairs import turn_pairs
 
+FOLDER = "/root/testdata/sf0.001"
 PAIRS = [
     ("ref3", "your parcel leaves the harbour by ship on a monday morning",
      "we only know that a parcel leaves by train every monday"),
@@ -139,8 +141,9 @@ def test_stopword_list_is_an_argument(spark):
     assert by_id(lexical.with_cosine(rows, kept), "cosine")["p"][0] == pytest.approx(1 / math.sqrt(2))
     table = spark.createDataFrame([("is",)], "word string")
     assert by_id(lexical.cosine_by_terms(rows, table), "cosine")["p"][0] == pytest.approx(1 / math.sqrt(2))
+    assert by_id(lexical.with_cosine(rows, table), "cosine")["p"][0] == pytest.approx(1 / math.sqrt(2))
     with pytest.raises(TypeError, match="joins"):  # a table is never read while a plan is built
-        lexical.with_cosine(rows, table)
+        lexical.with_containment(rows, table)
 
 
 @pytest.mark.parametrize("score, wanted", [
@@ -156,3 +159,16 @@ def test_filter_on_a_score_does_not_tokenise_again(spark, score, wanted):
     assert plan.count(pattern) == times and plan.count("ArrowEvalPython") <= 1
     (join,) = [line for line in plan.splitlines() if "Join Inner" in line]
     assert "regexp" not in join
+
+
+def test_a_table_of_stopwords_becomes_one_constant(spark):
+    pairs = fixtures.document_pairs(spark, FOLDER)
+    words = fixtures.caller_stopwords(spark, FOLDER)
+    scored = lexical.with_cosine(pairs, words).select("doc_id", F.round("cosine", 9).alias("cosine"))
+    wanted = lexical.cosine_by_terms(pairs, words, key="doc_id").select("doc_id", F.round("cosine", 9).alias("cosine"))
+    assert sorted(map(str, scored.collect())) == sorted(map(str, wanted.collect()))
+    table = spark.read.parquet(f"{FOLDER}/conversations.parquet").selectExpr("text expected", "reverse(text) actual")
+    plan = lexical.with_cosine(table, words)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("Subquery")[0] and "Join" not in plan.split("Subquery")[0]
+    none = lexical.with_cosine(table.limit(5), words.where("false")).select("cosine").collect()
+    assert none == lexical.with_cosine(table.limit(5), []).select("cosine").collect()

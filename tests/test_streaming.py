@@ -5,7 +5,9 @@ from gradeframe.functions import text
 from gradeframe.operators import attempts, lexical, questions, replies, requests, rules
 from gradeframe.plans import fixtures
 from gradeframe.session import shared_folder
-from gradeframe.streaming.runner import latest, run_per_batch, run_recomputed, run_row_local
+from gradeframe.sources.tables import once_delivered
+from gradeframe.streaming.joins import cases_with_runs
+from gradeframe.streaming.runner import latest, run_keyed, run_per_batch, run_recomputed, run_row_local
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -99,6 +101,87 @@ def test_keys_split_over_batches_are_resolved_whole(spark, tmp_path):
     assert rows(latest(spark, out, "pair_id")) == rows(step(batch))
 
 
+def outcomes_of(spark):
+    log = replies.check_judge_schema(replies.parse_responses(fixtures.attempts(spark, FOLDER)))
+    return attempts.with_outcome(log).select("pair_id", "preferred_model", "model", "attempt_no", "outcome", "judge_score", "reason")
+
+
+@pytest.mark.parametrize("policy", ["responses", "chat"])
+def test_ends_per_place_are_the_state_of_a_stream(spark, tmp_path, policy):
+    batch, stream = staged(spark, outcomes_of(spark), tmp_path, files=3)  # every key is in several files
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    query = run_keyed(attempts.resolve_attempts(stream, policy), out, f"keyed_{policy}", state)
+    query.awaitTermination(120)
+    assert rows(latest(spark, out, "pair_id")) == rows(attempts.resolve_attempts(batch, policy))
+    read = [p.numInputRows for p in query.recentProgress if p.numInputRows]
+    assert len(read) == 3 and sum(read) == batch.count() and max(read) < 1.2 * min(read)  # no batch reads earlier rows
+
+
+def test_state_of_old_requests_is_dropped(spark, tmp_path):
+    """A request's state goes when the watermark on its time has passed it."""
+    log = outcomes_of(spark).where("length(pair_id) <= 2")
+    path, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    for day in (1, 5, 9):
+        log.withColumn("asked_at", F.lit(f"2024-01-0{day} 10:00:00").cast("timestamp")).withColumn(
+            "pair_id", F.concat(F.lit(f"d{day}-"), "pair_id")).coalesce(1).write.mode("append").parquet(path)
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path).withWatermark("asked_at", "1 day")
+    query = run_keyed(attempts.resolve_attempts(stream, "responses", asked_at="asked_at"), out, "expiring", state)
+    query.awaitTermination(120)
+    got = latest(spark, out, "pair_id")
+    assert rows(got) == rows(attempts.resolve_attempts(spark.read.parquet(path), "responses", asked_at="asked_at"))
+    held = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    keys = log.select("pair_id").distinct().count()
+    assert held[-1] <= keys < got.count() == 3 * keys
+
+
+def test_totals_of_a_growing_table(spark, tmp_path):
+    checked = questions.check_questions(questions.parse_questions(fixtures.question_replies(spark, FOLDER)))
+    batch, stream = staged(spark, questions.question_totals(checked), tmp_path, files=3)
+    out, state = str(tmp_path / "out"), tmp_path / "state"
+    run_keyed(questions.totals_by_status(stream), out, "totals", str(state)).awaitTermination(120)
+    wanted = rows(questions.totals_by_status(batch))
+    assert rows(latest(spark, out, "status")) == wanted and len(wanted) == 2
+    for commit in (state / "commits").glob("*2*"):  # as if the last batch had not been noted: it comes again
+        commit.unlink()
+    run_keyed(questions.totals_by_status(stream), out, "totals", str(state)).awaitTermination(120)
+    assert rows(latest(spark, out, "status")) == wanted
+
+
+def test_a_reply_delivered_twice_counts_once(spark, tmp_path):
+    path = str(tmp_path / "in")
+    times = {1: "10:00", 2: "10:20", 3: "15:00", 4: "19:00"}
+    deliveries = [(1, "a", 1), (1, "b", 1), (2, "a", 1), (2, "a", 2), (3, "c", 1), (4, "d", 1)]
+    for n, time in times.items():
+        own = [(p, "m", k, f"2024-01-01 {time}:00") for b, p, k in deliveries if b == n]
+        spark.createDataFrame(own, "pair_id string, model string, attempt_no int, at string").withColumn(
+            "at", F.col("at").cast("timestamp")).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = str(tmp_path / "out")
+    query = run_row_local(stream, lambda d: once_delivered(d, "at"), out, "delivered", str(tmp_path / "state"))
+    query.awaitTermination(120)
+    got = sorted((r.pair_id, r.attempt_no) for r in spark.read.parquet(out).collect())
+    assert got == [("a", 1), ("a", 2), ("b", 1), ("c", 1), ("d", 1)]
+    assert once_delivered(spark.read.parquet(path), "at").count() == 5
+    assert [p.stateOperators[0].numRowsTotal for p in query.recentProgress][-1] <= 2  # the morning's names are gone
+
+
+def test_cases_and_runs_arriving_apart(spark, tmp_path):
+    def side(name, column, batches):
+        for own in batches:
+            spark.createDataFrame([(t, f"2024-01-01 {at}:00") for t, at in own], f"test_id string, {column} string").withColumn(
+                column, F.col(column).cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        path = str(tmp_path / name)
+        return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+    cases = side("cases", "asked_at", [[("t1", "10:00"), ("t2", "10:00"), ("t3", "10:01")], [("t4", "10:30")], [("z", "20:00")], [("z", "23:00")]])
+    runs = side("runs", "run_at", [[("t1", "10:05")], [("t2", "10:59"), ("t3", "11:30")], [("z", "20:01")], [("z", "23:01")]])
+    out = str(tmp_path / "out")
+    run_row_local(cases, lambda d: cases_with_runs(d, runs), out, "apart", str(tmp_path / "state")).awaitTermination(180)
+    got = sorted((r.test_id, r.reject or "") for r in spark.read.parquet(out).where("test_id <> 'z'").collect())
+    assert got == [("t1", ""), ("t2", ""), ("t3", "No case in time"), ("t3", "No run in time"), ("t4", "No run in time")]
+
+
 def test_state_lives_in_the_shared_folder(spark):
     assert shared_folder(spark, "streams/x").endswith("/streams/x")
 
