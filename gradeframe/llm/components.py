@@ -7,15 +7,16 @@ from pyspark.sql import DataFrame, functions as F
 from gradeframe.llm.common import checkpointed
 
 
-def join_dealt(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """An equi join whose sides are both dealt anew, so that the adaptive skew join may split a hot key.
+def join_dealt(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
+    """An equi join on one column or several whose sides are both dealt anew, so that the adaptive skew join may split a hot key.
 
     A side that comes out of an aggregation on the key would otherwise keep its partitions, and
     then neither side can be split.
     """
-    salt = f"hash of {key}"
-    return left.withColumn(salt, F.xxhash64(key)).join(
-        right.withColumn(salt, F.xxhash64(key)), [key, salt], how).drop(salt)
+    keys = [key] if isinstance(key, str) else key
+    salt = f"hash of {' '.join(keys)}"
+    return left.withColumn(salt, F.xxhash64(*keys)).join(
+        right.withColumn(salt, F.xxhash64(*keys)), [*keys, salt], how).drop(salt)
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:

@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from gradeframe.llm.common import SPACE, as_bytes, checkpointed, keep_rows, read_table
+from gradeframe.llm.components import join_dealt
 
 LEAST_CHUNK, MOST_CHUNK, MASK = 512, 65_536, 2_047
 RECIPE = T.StructType([
@@ -86,7 +87,8 @@ def verified_recipes(docs: DataFrame) -> DataFrame:
         .where(F.size("digests") > 1)
     )
     pieces = read.select("row", F.posexplode("chunks").alias("pos", "c")).select("row", "pos", "c.*")
-    ranked = pieces.join(collided, ["h", "n"], "left").select(
+    # Both sides are dealt anew, so that the adaptive skew join may split a chunk of very many documents.
+    ranked = join_dealt(pieces, collided, ["h", "n"], "left").select(
         "row", "pos", "h", "n", F.coalesce(F.array_position("digests", F.col("digest")), F.lit(0)).alias("same")
     )
     lists = ranked.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "h", "n", "same"))).alias("ids"))
