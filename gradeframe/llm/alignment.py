@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradeframe.llm.common import read_table, stored, tokenizer_path
-from gradeframe.llm.pieces import ASKED, buffer_of, cached, cuts, load_tokenizer, parts_of
+from gradeframe.llm.pieces import ASKED, buffer_of, cached, cuts, items_of, load_tokenizer, parts_of
 from gradeframe.llm.token_files import BYTE_TOKENIZER
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -206,7 +206,7 @@ class Aligned:
 
     def numbers(self, pieces: pa.Array) -> np.ndarray:
         encoded = pieces.dictionary_encode()
-        distinct = encoded.dictionary.to_pylist()
+        distinct = items_of(encoded.dictionary)
         new = [p for p in distinct if p not in self.index]
         if new:
             self.learn(new)

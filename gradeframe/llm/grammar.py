@@ -21,7 +21,7 @@ import numpy as np
 MAGIC, VERSION = b"IDRP", 1
 HEADER = struct.Struct("<4sHHIIQIIQ")  # magic, version, symbol bytes, base, stride, documents, rules, places, symbols
 LEAST, GAIN, STRIDE = 16, 0.02, 1_024
-BUCKETS = 20  # bits of the hash that pairs are counted by
+BUCKETS = 18  # bits of the hash that pairs are counted by
 
 
 def chosen_places(rank: np.ndarray) -> np.ndarray:
@@ -52,8 +52,8 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray,
     while len(symbols) > 1:
         pair = symbols[:-1] << 32 | symbols[1:]
         slot = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS)).astype(np.int64)
-        inside = ~last[:-1]
-        hot = np.flatnonzero(inside & (np.bincount(slot[inside], minlength=1 << BUCKETS) >= LEAST)[slot])
+        slot[last[:-1]] = 1 << BUCKETS  # a bucket of no pair
+        hot = np.flatnonzero((np.bincount(slot, minlength=(1 << BUCKETS) + 1)[:-1] >= LEAST).take(slot, mode="clip") & ~last[:-1])
         # One pair stands for its bucket in this round; others of the bucket wait for the next.
         stands = np.empty(1 << BUCKETS, np.int64)
         stands[slot[hot]] = pair[hot]

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -134,13 +134,50 @@ def pieces_of(text: pa.Array, rule: str, lower: bool = False, added: list[str] =
     return pieces, np.searchsorted(at, ends)
 
 
+def items_of(column: pa.Array) -> list[bytes]:
+    """The values of a large binary column without nulls."""
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1].tolist()
+    data = column.buffers()[2].to_pybytes() if len(column) and column.buffers()[2] else b""
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+
+class Growing:
+    """An array that grows at its end."""
+
+    def __init__(self, kind, values=()):
+        self.data, self.size = np.empty(1_024, kind), 0
+        self.add(np.asarray(values, kind))
+
+    def add(self, values: np.ndarray) -> None:
+        end = self.size + len(values)
+        if end > len(self.data):
+            larger = np.empty(max(end, 2 * len(self.data)), self.data.dtype)
+            larger[:self.size] = self.data[:self.size]
+            self.data = larger
+        self.data[self.size:end] = values
+        self.size = end
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.data[:self.size]
+
+
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... with ``count`` places for each, one after another."""
+    ends = np.cumsum(count)
+    return np.repeat(first - ends + count, count) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class PieceIds:
-    """Ids of every piece met so far. Beyond its bounds the cache forgets and learns anew."""
+    """Ids of the pieces met so far. Beyond its bounds the cache keeps the half that was met most often."""
 
     def __init__(self, tokenizer, rule: str, lower: bool = False, entries: int = CACHE_ENTRIES):
         self.tokenizer, self.rule, self.lower, self.entries = tokenizer, rule, lower, entries
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        self.forget()
+        self.index: dict[bytes, int] = {}
+        self.count, self.first = Growing(np.int64), Growing(np.int64)  # ids of each piece, and where they are
+        self.met = Growing(np.int64)
+        self.ids = Growing(np.uint32)
 
     @classmethod
     def of(cls, path: str, **options) -> PieceIds:
@@ -148,46 +185,59 @@ class PieceIds:
         word = tokenizer.normalizer is not None  # the vocabulary of words reads lower case, the one of bytes all
         return cls(tokenizer, "word" if word else "byte", word, **options)
 
-    def forget(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.count = np.empty(0, np.int64)  # ids of each piece
-        self.first = np.empty(0, np.int64)
-        self.ids = np.empty(0, np.uint32)
+    def trim(self) -> None:
+        """Within bounds again."""
+        if len(self.index) <= self.entries and self.ids.size <= CACHE_IDS:
+            return
+        met = self.met.values
+        stay = np.argsort(-met, kind="stable")[:len(met) // 2]
+        stay = np.sort(stay[met[stay] > 1])
+        pieces = list(self.index)
+        self.index = {pieces[i]: n for n, i in enumerate(stay.tolist())}
+        self.keep(stay)
+
+    def keep(self, stay: np.ndarray) -> None:
+        first, count = self.first.values[stay], self.count.values[stay]
+        self.ids = Growing(np.uint32, self.ids.values[spread(first, count)])
+        self.first, self.count = Growing(np.int64, np.cumsum(count) - count), Growing(np.int64, count)
+        self.met = Growing(np.int64, np.zeros(len(stay)))
 
     def learn(self, pieces: list[bytes]) -> None:
-        found: list[list[int]] = []
+        """New pieces get the next numbers."""
+        self.index.update(zip(pieces, range(len(self.index), len(self.index) + len(pieces))))
         for at in range(0, len(pieces), ASKED):
             asked = [p.decode("utf-8", "replace") for p in pieces[at:at + ASKED]]
-            found += [e.ids for e in self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)]
-        self.keep(pieces, found)
+            self.add([e.ids for e in self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)])
 
-    def keep(self, pieces: list[bytes], found: list[list[int]]) -> None:
+    def add(self, found: list[list[int]]) -> None:
         count = np.fromiter(map(len, found), np.int64, len(found))
-        self.index.update(zip(pieces, range(len(self.index), len(self.index) + len(pieces))))
-        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
-        self.count = np.concatenate([self.count, count])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum()))])
+        self.first.add(self.ids.size + np.cumsum(count) - count)
+        self.count.add(count)
+        self.met.add(np.zeros(len(found)))
+        self.ids.add(np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum())))
 
     def known(self, pieces: pa.Array) -> np.ndarray:
         """Number in the cache of every piece; learns the new ones."""
-        if len(self.index) > self.entries or len(self.ids) > CACHE_IDS:
-            self.forget()
+        self.trim()
+        if not len(pieces):
+            return np.empty(0, np.int64)
         encoded = pieces.dictionary_encode()
-        distinct = encoded.dictionary.to_pylist()
-        new = [p for p in distinct if p not in self.index]
-        if new:
-            self.learn(new)
-        number = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))
-        return number[encoded.indices.to_numpy()] if len(pieces) else np.empty(0, np.int64)
+        distinct = items_of(encoded.dictionary)
+        number = np.fromiter(map(self.index.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(number < 0)
+        number[new] = len(self.index) + np.arange(len(new))
+        self.learn([distinct[i] for i in new.tolist()])
+        indices = encoded.indices.to_numpy()
+        self.met.values[number] += np.bincount(indices, minlength=len(distinct))
+        return number[indices]
 
     def encoded(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where those of each text start (one more at the end)."""
         pieces, first = pieces_of(text, self.rule, self.lower, self.added)
         number = self.known(pieces)
-        count = self.count[number]
+        count = self.count.values[number]
         ends = np.concatenate([[0], np.cumsum(count)])
-        place = np.repeat(self.first[number] - ends[:-1], count) + np.arange(ends[-1])
-        return self.ids[place], ends[first]
+        return self.ids.values[spread(self.first.values[number], count)], ends[first]
 
 
 # A worker keeps its caches from task to task.

@@ -20,34 +20,37 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradeframe.llm.common import read_table, tokenizer_path
-from gradeframe.llm.pieces import PieceIds, cached, load_tokenizer, parts_of, pieces_of
+from gradeframe.llm.pieces import Growing, PieceIds, cached, load_tokenizer, parts_of, pieces_of
 
 FREQUENT, SUMMARY = 32_768, 16_384
 LONGEST = 64  # bytes of a piece that the table may hold
 TOKEN_LIMIT = 2_048
+ALWAYS = 1 << 60  # more often than any piece is met
 
 
 class PieceCounts(PieceIds):
-    """Number of ids of every piece; frequent ones come from the table and stay."""
+    """Number of ids of every piece; those of the table stay."""
 
     def __init__(self, *args, frequent: dict[bytes, int] | None = None, **options):
-        self.frequent = frequent or {}
         super().__init__(*args, **options)
+        self.stays = len(frequent or {})
+        self.index = {piece: number for number, piece in enumerate(frequent or {})}
+        self.count = Growing(np.int64, list((frequent or {}).values()))
+        self.met = Growing(np.int64, np.full(self.stays, ALWAYS))
 
-    def forget(self) -> None:
-        super().forget()
-        self.index = {piece: number for number, piece in enumerate(self.frequent)}
-        self.count = np.fromiter(self.frequent.values(), np.int64, len(self.frequent))
+    def keep(self, stay: np.ndarray) -> None:
+        self.count = Growing(np.int64, self.count.values[stay])
+        self.met = Growing(np.int64, np.where(stay < self.stays, ALWAYS, 0))
 
-    def keep(self, pieces: list[bytes], found: list[list[int]]) -> None:
-        self.index.update(zip(pieces, range(len(self.index), len(self.index) + len(pieces))))
-        self.count = np.concatenate([self.count, np.fromiter(map(len, found), np.int64, len(found))])
+    def add(self, found: list[list[int]]) -> None:
+        self.count.add(np.fromiter(map(len, found), np.int64, len(found)))
+        self.met.add(np.zeros(len(found)))
 
     def counted(self, text: pa.Array) -> np.ndarray:
         """Number of ids of every text."""
         pieces, first = pieces_of(text, self.rule, self.lower, self.added)
         number = self.known(pieces)
-        ends = np.concatenate([[0], np.cumsum(self.count[number])])
+        ends = np.concatenate([[0], np.cumsum(self.count.values[number])])
         return np.diff(ends[first])
 
 
