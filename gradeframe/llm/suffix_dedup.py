@@ -216,7 +216,7 @@ def halves(place: dict, data: bytes) -> Iterator[tuple[int, int, int]]:
         yield signed(data[at:at + GRAM + HALF], 2), start, place["end"]
 
 
-def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def fetch(batches: Iterator[pa.RecordBatch], frequent: bool) -> Iterator[pa.RecordBatch]:
     """The bytes of neighbourhoods; those of very frequent grams in two parts, dealt by more bytes than the gram."""
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     for batch in slices(batches, 200):
@@ -224,6 +224,8 @@ def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for did, ver, data, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
                                           as_bytes(batch.column(2)), batch.column(3).to_pylist()):
             for place in wanted or ():
+                if bool(place["kind"]) != frequent:
+                    continue
                 at = place["start"] + place["lead"]
                 parts = halves(place, data) if place["kind"] else [(place["key"], place["start"], place["end"])]
                 for key, start, end in parts:
@@ -341,8 +343,21 @@ def merge_sort(suffixes: Suffixes, at: np.ndarray, rank: np.ndarray, bucket: np.
     return order
 
 
+def met_again(suffixes: Suffixes, at: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """Which suffixes share the hash of their first LENGTH bytes with another one of their bucket.
+
+    Equal strings have equal hashes, so the others repeat nothing and need no sorting.
+    """
+    key = mixed(suffixes.strings(at) ^ mixed(bucket.astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    found = np.zeros(len(at), bool)
+    found[order[1:][same]] = found[order[:-1][same]] = True
+    return found
+
+
 def repeated_strings(group: np.ndarray, did: np.ndarray, ver: np.ndarray, start: np.ndarray, lead: np.ndarray,
-                     texts: list[bytes], by_hash: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                     texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, first and last place of the strings of neighbourhoods that an earlier one of their group has too."""
     sizes = np.array([len(t) for t in texts])
     offset = np.cumsum(sizes) - sizes
@@ -352,24 +367,19 @@ def repeated_strings(group: np.ndarray, did: np.ndarray, ver: np.ndarray, start:
     inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     at = offset[row] + inside
     before = (lead[row] - inside).astype(np.int64)  # how far the string starts before the anchor
+    bucket = group[row].astype(np.int64) * (2 * LENGTH) + before
+    met = met_again(suffixes, at, bucket)
+    row, inside, at, bucket = row[met], inside[met], at[met], bucket[met]
     by_place = np.lexsort((start, ver, did))
     rank = np.empty(len(texts), np.int64)
     rank[by_place] = np.arange(len(texts))
-    dealt = np.lexsort((before, group[row]))
-    row, inside, at = row[dealt], inside[dealt], at[dealt]
-    bucket = group[row].astype(np.int64) * (2 * LENGTH) + before[dealt]
-    if by_hash:
-        string = suffixes.strings(at)
-        order = np.lexsort((rank[row], string, bucket))
-    else:
-        order = merge_sort(suffixes, at, rank[row], bucket)
+    dealt = np.argsort(bucket, kind="stable")
+    row, inside, at, bucket = row[dealt], inside[dealt], at[dealt], bucket[dealt]
+    order = merge_sort(suffixes, at, rank[row], bucket)
     row, inside, at = row[order], inside[order], at[order]
     same = bucket[1:] == bucket[:-1]
     equal = np.zeros(len(row), bool)
-    if by_hash:
-        equal[1:] = same & (string[order][1:] == string[order][:-1])
-    else:
-        equal[1:][same] = suffixes.extension(at[1:][same], at[:-1][same]) >= LENGTH
+    equal[1:][same] = suffixes.extension(at[1:][same], at[:-1][same]) >= LENGTH
     checked = np.flatnonzero(equal)
     if not suffixes.same_bytes(at[checked], at[checked - 1]).all():  # a hash collision: sort by the bytes
         strings = [bytes(suffixes.buffer[a:a + LENGTH]) for a in at]
@@ -390,17 +400,16 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans covered by strings that the neighbourhoods of a group share; rows come sorted by key."""
     for table in groups_of(slices(batches, MANY), (0,)):
         _, group, sizes = np.unique(table.column(0).to_numpy(), return_inverse=True, return_counts=True)
-        columns = [table.column(i).to_numpy() for i in range(1, 5)]
-        sizes = sizes[group]
-        for by_hash, own in ((False, (sizes > 1) & (sizes <= MANY)), (True, sizes > MANY)):
-            if own.any():
-                did, ver, start, lead = (c[own] for c in columns)
-                texts = table.column(5).filter(pa.array(own)).to_pylist()
-                # All strings of a neighbourhood hold its anchor, so those that repeat cover one span.
-                rows, least, most = repeated_strings(group[own], did, ver, start, lead, texts, by_hash)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(did[rows]), pa.array(ver[rows]), pa.array(start[rows] + least, pa.int32()),
-                    pa.array(start[rows] + most + LENGTH, pa.int32())], ["did", "ver", "start", "end"])
+        several = sizes[group] > 1
+        if not several.any():
+            continue
+        did, ver, start, lead = (table.column(i).to_numpy()[several] for i in range(1, 5))
+        texts = table.column(5).filter(pa.array(several)).to_pylist()
+        # All strings of a neighbourhood hold its anchor, so those that repeat cover one span.
+        rows, least, most = repeated_strings(group[several], did, ver, start, lead, texts)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(did[rows]), pa.array(ver[rows]), pa.array(start[rows] + least, pa.int32()),
+            pa.array(start[rows] + most + LENGTH, pa.int32())], ["did", "ver", "start", "end"])
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,17 +433,19 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def strings_to_compare(named: DataFrame, settled: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Neighbourhoods with their bytes: in groups of at most MANY, and those of larger groups.
 
-    At most one key in MANY neighbourhoods is large; those keys are broadcast.
+    Only parts of frequent grams can be in a larger group, so only they meet the counts of their keys.
     """
     wanted = settled.where("lead >= 0").groupBy("did", "ver").agg(
         F.collect_list(F.struct("key", "kind", "start", "end", "lead")).alias("wanted"))
     # All joins keep every document, so they read the same shuffled texts.
     joined = named.join(wanted.hint("shuffle_merge"), ["did", "ver"], "left").where("wanted is not null")
-    frequent = joined.where(F.exists("wanted", lambda place: place["kind"] == 1)).select("text", "wanted")
-    large = F.broadcast(frequent.mapInArrow(count_halves, "key bigint, n bigint").groupBy("key").agg(
-        F.sum("n").alias("n")).where(F.col("n") > MANY).select("key"))
-    strings = joined.select("did", "ver", "text", "wanted").mapInArrow(fetch, BYTES)
-    return strings.join(large, "key", "left_anti"), strings.join(large, "key", "left_semi")
+    frequent = joined.where(F.exists("wanted", lambda place: place["kind"] == 1))
+    large = frequent.select("text", "wanted").mapInArrow(count_halves, "key bigint, n bigint").groupBy("key").agg(
+        F.sum("n").alias("n")).where(F.col("n") > MANY).select("key")
+    fields = ["did", "ver", "text", "wanted"]
+    few = joined.select(*fields).mapInArrow(lambda batches: fetch(batches, False), BYTES)
+    parts = frequent.select(*fields).mapInArrow(lambda batches: fetch(batches, True), BYTES)
+    return few.unionByName(parts.join(large, "key", "left_anti").select(*few.columns)), parts.join(large, "key", "left_semi")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

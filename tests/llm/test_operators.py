@@ -120,13 +120,24 @@ def test_suffix_dedup(spark, texts, monkeypatch):
 def test_merge_sort_survives_collisions(monkeypatch):
     data = [b"x" * 60 + bytes([i % 7]) * 8 + b"y" * 60 for i in range(30)]
     args = (np.zeros(30, int), np.arange(30), np.zeros(30, int), np.zeros(30, int), np.full(30, 14), data)
-    rows, least, most = suffix_dedup.repeated_strings(*args, True)
-    assert all(map(np.array_equal, suffix_dedup.repeated_strings(*args), (rows, least, most)))
+    rows, least, most = suffix_dedup.repeated_strings(*args)
     assert rows.tolist() == list(range(7, 30)) and set(least) == {0} and set(most) == {28}
     # With hashes that always agree only the verification is left.
     monkeypatch.setattr(suffix_dedup, "prefix_hashes", lambda d: np.zeros(len(d) + 1, np.uint64))
-    for by_hash in (False, True):
-        assert suffix_dedup.repeated_strings(*args, by_hash)[0].tolist() == rows.tolist()
+    assert suffix_dedup.repeated_strings(*args)[0].tolist() == rows.tolist()
+
+
+def test_only_strings_met_again_are_sorted(monkeypatch):
+    rng = random.Random(3)
+    shared = bytes(rng.randrange(256) for _ in range(32))
+    data = [bytes(rng.randrange(256) for _ in range(68)) + shared + bytes(rng.randrange(256) for _ in range(68)) for _ in range(40)]
+    data[30] = data[4][:120] + data[30][120:]
+    sorted_ = []
+    inner = suffix_dedup.merge_sort
+    monkeypatch.setattr(suffix_dedup, "merge_sort", lambda s, at, rank, bucket: sorted_.append(len(at)) or inner(s, at, rank, bucket))
+    rows, least, most = suffix_dedup.repeated_strings(
+        np.zeros(40, int), np.arange(40), np.zeros(40, int), np.zeros(40, int), np.full(40, 68), data)
+    assert (rows.tolist(), least.tolist(), most.tolist(), sorted_) == ([30], [0], [20], [42])
 
 
 def test_frequent_grams_are_dealt_by_their_sides(spark, monkeypatch):
@@ -145,7 +156,7 @@ def test_frequent_grams_are_dealt_by_their_sides(spark, monkeypatch):
     wanted = [[r for r in settled if r["did"] == i and r["lead"] >= 0] for i in range(40)]
     batch = pa.RecordBatch.from_pylist([{"did": i, "ver": 0, "text": d.decode(), "wanted": w}
                                         for i, (d, w) in enumerate(zip(data, wanted))])
-    strings = pa.Table.from_batches(list(suffix_dedup.fetch(iter([batch])))).sort_by("key").combine_chunks()
+    strings = pa.Table.from_batches([b for f in (False, True) for b in suffix_dedup.fetch(iter([batch]), f)]).sort_by("key").combine_chunks()
     spans = [r for t in suffix_dedup.compare(iter(strings.to_batches())) for r in t.to_pylist()]
     spans += [r for r in settled if r["lead"] < 0]
     covered = [set().union(*(range(s["start"], s["end"]) for s in spans if s["did"] == i)) for i in range(40)]
