@@ -24,12 +24,14 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A folder of this application that all executors share.
 
-    It lies in the folder the cluster names in ``spark.checkpoint.dir``. Only a session without that
-    setting, as in tests on one machine, gets a folder of its own.
+    It lies in the folder the cluster names in ``spark.checkpoint.dir``. Only a local session without that
+    setting, where all tasks are on one machine, gets a folder of its own; elsewhere that is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get(CHECKPOINT_KEY, None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_KEY} is not set; name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 

@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradeframe.llm.common import as_bytes, read_table, slices, stored
+from gradeframe.llm.components import join_dealt
 from gradeframe.llm.near_join import groups_of, mixed
 
 LENGTH, GRAM = 100, 32
@@ -445,7 +446,9 @@ def strings_to_compare(named: DataFrame, settled: DataFrame) -> tuple[DataFrame,
     fields = ["did", "ver", "text", "wanted"]
     few = joined.select(*fields).mapInArrow(lambda batches: fetch(batches, False), BYTES)
     parts = frequent.select(*fields).mapInArrow(lambda batches: fetch(batches, True), BYTES)
-    return few.unionByName(parts.join(large, "key", "left_anti").select(*few.columns)), parts.join(large, "key", "left_semi")
+    # Dealt anew on both sides, so that the adaptive skew join may split the parts of one key.
+    small, more = (join_dealt(parts, large, "key", how) for how in ("left_anti", "left_semi"))
+    return few.unionByName(small.select(*few.columns)), more
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

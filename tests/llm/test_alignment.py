@@ -67,7 +67,7 @@ def brute(texts, tools):
             while k < len(b_side) and b_side[k][1] < end:
                 links.append((i, b_side[k][0]))
                 k += 1
-        ends = sorted({t[2] for t in a_side} & {t[2] for t in b_side})
+        ends = np.array(sorted({t[2] for t in a_side} & {t[2] for t in b_side}))
         number = lambda t: np.searchsorted(ends, t[2])  # noqa: E731, B023
         groups = [[[], []] for _ in ends]
         for n, side in enumerate(sides):
