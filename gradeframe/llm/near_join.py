@@ -1,11 +1,15 @@
 """N-gram Jaccard join: a MinHash LSH forest over word shingles, followed by exact verification.
 
 1. A text becomes the set of its five-word shingles (64-bit hashes). Equal sets are one node from here on.
-2. The forest has ``TREES`` trees; a tree sorts its own run of ``DEPTH`` minimum hashes as a prefix trie.
-   Prefixes are shortened from the full depth until pairs at the threshold meet in some tree with
-   the target recall (``depth_for``). Within a prefix, one bit of each minimum hash (the sketch) tells
-   apart what met by chance: sets whose sketches differ more than pairs at the threshold do with five
-   standard deviations are not followed. What remains hangs together in candidate groups.
+2. The forest has ``TREES`` trees. A tree is a prefix trie over labels of ``DEPTH`` minimum hashes, kept as
+   rows sorted by label. It is walked from the deepest prefixes upwards: sets below one prefix are hung
+   together if their sketches (one bit of each minimum hash) differ no more than pairs at the threshold do
+   with five standard deviations; then the prefix is shortened by one. A path ends where all sets below it
+   hang together already, at the latest at the length where pairs at the threshold meet in some tree
+   with the target recall (``depth_for``). Groups of sets that hang together are candidates.
+   Sets whose sketches nearly equal that of another one with the same full label are left to that one, the
+   leader, before the shuffle; a leader's reach (its farthest set) widens what it is compared with, so no
+   pair is lost, and a label that a third of all sets share arrives as a few leaders from each slice.
 3. Every set of a candidate group is compared with all others of its group, exactly and on whole sets. Large
    groups are dealt in tiles of two blocks of sets, so no task holds more than two blocks; a tile
    gives counts and a spanning forest, never pairs.
@@ -28,6 +32,9 @@ from gradeframe.llm.components import components, join_dealt
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 32, 8, 0.9999
 TILE = 512  # sets of a block
+TIGHT = 6  # sketch bits within which a set is left to a leader
+SLICE = 8_192  # sets whose labels are sorted before the shuffle
+LEADERS = 8_192  # leaders held of one prefix; beyond it they reach farther
 COLUMNS = 4_096  # shingles multiplied at a time
 WORD_CACHE = 400_000
 
@@ -37,7 +44,9 @@ SHIFTS = _rng.integers(0, 2**63, TREES * DEPTH, dtype=np.uint64)
 PLACES = _rng.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SKETCH = 192  # bits, three longs
 
-SIGNED = "doc_id bigint, text_hash bigint, sid binary, n int, keys array<bigint>, sketch array<bigint>"
+SIGNED = ("doc_id bigint, text_hash bigint, sid binary, n int, keys array<bigint>, tails array<bigint>, "
+          "sketch array<bigint>")
+LABELS = "key bigint, tail bigint, sid binary, reach int, s0 bigint, s1 bigint, s2 bigint, leader binary"
 SETS = "cluster binary, low int, high int, block int, sid binary, copies bigint, shingles binary"
 LINKS = "sid binary, links bigint, root binary"
 
@@ -50,6 +59,11 @@ def depth_for(recall: float = RECALL, threshold: float = THRESHOLD) -> int:
     return 1
 
 
+def tail_bits(depth: int) -> int:
+    """Bits kept of each minimum hash behind the least depth; they only order the sets below a prefix."""
+    return min(16, 63 // max(1, DEPTH - depth))
+
+
 def sketch_distance(threshold: float = THRESHOLD) -> int:
     """Most sketch bits in which pairs at the threshold differ, five standard deviations allowed."""
     p = (1 - threshold) / 2
@@ -94,31 +108,38 @@ def minimum_hashes(x: np.ndarray, count: int) -> np.ndarray:
 
 
 def signed(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """Identity of the set, prefix of every tree, and sketch, for each document."""
+    """Identity of the set, label in every tree (prefix of the least depth, and the rest), and sketch, for each document."""
     hashes = WordHashes()
-    trees, count = np.arange(TREES, dtype=np.uint64), max(TREES * depth, SKETCH)
+    trees, count = np.arange(TREES, dtype=np.uint64), max(TREES * DEPTH, SKETCH)
+    bits_kept = np.uint64(tail_bits(depth))
     for batch in slices(batches, 1_000):
-        sids, sizes, keys, sketches = [], [], [], []
+        sids, sizes, keys, tails, sketches = [], [], [], [], []
         for text in batch.column(2).to_pylist():
             x = shingles(text, hashes)
             sids.append(xxhash.xxh3_128_digest(x.tobytes()))
             sizes.append(len(x))
             if len(x):
                 least = minimum_hashes(x, count)
-                key = trees
-                for values in least[:TREES * depth].reshape(TREES, depth).T.astype(np.uint64):
+                key, tail = trees, np.zeros(TREES, np.uint64)
+                labels = least[:TREES * DEPTH].reshape(TREES, DEPTH).T.astype(np.uint64)
+                for values in labels[:depth]:
                     key = mixed(key * np.uint64(0xD6E8FEB86659FD93) + values)
+                for values in labels[depth:]:
+                    tail = tail << bits_kept | mixed(values) >> np.uint64(64) - bits_kept
                 keys.append(key.view(np.int64).tolist())
+                tails.append(tail.view(np.int64).tolist())
                 # A bit that does not depend on the size of the minimum.
                 bits = mixed(least[:SKETCH].astype(np.uint64) + np.uint64(77)) & np.uint64(1)
                 sketches.append(np.packbits(bits.astype(np.uint8)).view(np.int64).tolist())
             else:
                 keys.append([])
+                tails.append([])
                 sketches.append([])
         yield pa.RecordBatch.from_arrays([
             batch.column(0), batch.column(1), pa.array(sids, pa.binary()), pa.array(sizes, pa.int32()),
-            pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())),
-        ], ["doc_id", "text_hash", "sid", "n", "keys", "sketch"])
+            pa.array(keys, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64())),
+            pa.array(sketches, pa.list_(pa.int64())),
+        ], ["doc_id", "text_hash", "sid", "n", "keys", "tails", "sketch"])
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], columns: tuple[int, ...]) -> Iterator[pa.Table]:
@@ -144,47 +165,186 @@ def groups_of(batches: Iterator[pa.RecordBatch], columns: tuple[int, ...]) -> It
         yield pa.Table.from_batches(held)
 
 
-def hang_together(sketches: np.ndarray, most: int) -> np.ndarray:
-    """Number of the component of every row when rows at a distance of at most ``most`` bits are joined.
+def distances(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(sketches ^ one).sum(axis=1).astype(np.int64)
+
+
+def led(sketches: np.ndarray, reach: np.ndarray, tight: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leader of every row, and the rows' reach: a row all of whose reach is within ``tight`` of an earlier leader is left to it."""
+    leader, reach = np.arange(len(sketches)), reach.copy()
+    left = leader
+    while len(left) > 1:
+        first, left = left[0], left[1:]
+        far = distances(sketches[left], sketches[first]) + reach[left]
+        near = far <= tight
+        leader[left[near]] = first
+        reach[first] = max(reach[first], far[near].max(initial=0))
+        left = left[~near]
+    return leader, reach
 
-    A component grows from its first row; only rows not yet reached are compared, so a bucket of
-    similar sets takes time in proportion to its rows.
+
+def hang_together(sketches: np.ndarray, reach: np.ndarray, label: np.ndarray, most: int) -> np.ndarray:
+    """The labels after rows are joined whose sets may be at a distance of at most ``most`` bits.
+
+    Rows with one label hang together already. A component grows from its first row; only rows not
+    yet reached are compared, so a bucket of similar sets takes time in proportion to its rows.
     """
-    label = np.full(len(sketches), -1)
-    left = np.arange(len(sketches))
+    out = label.copy()
+    left = np.arange(len(label))
     while len(left):
-        front, left = left[:1], left[1:]
-        number = front[0]
-        label[front] = number
+        number = label[left[0]]
+        same = label[left] == number
+        front, left = left[same], left[~same]
         while len(front) and len(left):
             near = np.zeros(len(left), bool)
             for row in front:
                 rest = ~near
-                near[rest] = np.bitwise_count(sketches[left[rest]] ^ sketches[row]).sum(axis=1) <= most
+                near[rest] = distances(sketches[left[rest]], sketches[row]) <= most + reach[row] + reach[left[rest]]
                 if near.all():
                     break
+            near = np.isin(label[left], label[left[near]])
             front, left = left[near], left[~near]
-            label[front] = number
+            out[front] = number
+    return out
+
+
+def walk(tails: np.ndarray, sketches: np.ndarray, reach: np.ndarray, depth: int, most: int) -> np.ndarray:
+    """Component of every row below one prefix of the least depth; rows come sorted by the rest of their labels.
+
+    Starts at the full labels and shortens them one by one; stops once all rows hang together.
+    """
+    label, bits = np.arange(len(tails)), tail_bits(depth)
+    for dropped in range(DEPTH - depth + 1):
+        prefix = tails >> bits * dropped if dropped < DEPTH - depth else np.zeros_like(tails)
+        cuts = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1], [True]]))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if b - a > 1 and (label[a:b] != label[a]).any():
+                now = hang_together(sketches[a:b], reach[a:b], label[a:b], most)
+                label[a:b] = now
+        if (label == label[0]).all():
+            break
     return label
 
 
-def candidate_edges(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Edges (u, v) that hang the candidates of every bucket together; rows come sorted by key."""
-    for table in groups_of(batches, (0,)):
-        key = table.column(0).to_numpy()
-        sid = table.column(1).combine_chunks()
-        sketch = np.stack([table.column(i).to_numpy() for i in (2, 3, 4)], axis=1).view(np.uint64)
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        ends = np.append(starts[1:], len(key))
+def edges_of(us: list[np.ndarray], vs: list[np.ndarray], sid: pa.Array) -> tuple[pa.Array, pa.Array]:
+    return sid.take(pa.array(np.concatenate(us))), sid.take(pa.array(np.concatenate(vs)))
+
+
+def leading(batches: Iterator[pa.RecordBatch], sets: int) -> Iterator[pa.RecordBatch]:
+    """Labels of a slice of sets, sorted; of sets with one full label and nearly one sketch, only the leader's.
+
+    Rows with a ``leader`` are no labels but say which set is left to which.
+    """
+    names = [c.split()[0] for c in LABELS.split(", ")]
+    for batch in slices(gathered(batches, sets), sets):
+        sid = batch.column(0)
+        key = batch.column(1).flatten().to_numpy()
+        tail = batch.column(2).flatten().to_numpy()
+        sketch = batch.column(3).flatten().to_numpy().reshape(-1, 3)
+        row = np.repeat(np.arange(batch.num_rows), TREES)
+        order = np.lexsort((tail, key))
+        key, tail, row = key[order], tail[order], row[order]
+        cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (tail[1:] != tail[:-1]), [True]]))
+        reach, stays = np.zeros(len(key), np.int64), np.ones(len(key), bool)
         us, vs = [], []
-        for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-            label = hang_together(sketch[a:b], most)
+        many = np.flatnonzero(np.diff(cuts) > 1)
+        for a, b in zip(cuts[many], cuts[many + 1]):
+            leader, reach[a:b] = led(sketch[row[a:b]].view(np.uint64), reach[a:b], TIGHT)
+            other = np.flatnonzero(leader != np.arange(b - a))
+            stays[a + other] = False
+            us.append(row[a + other])
+            vs.append(row[a + leader[other]])
+        kept = row[stays]
+        values = sketch[kept]
+        yield pa.RecordBatch.from_arrays([
+            pa.array(key[stays]), pa.array(tail[stays]), sid.take(pa.array(kept)),
+            pa.array(reach[stays].astype(np.int32)), *[pa.array(np.ascontiguousarray(values[:, i])) for i in range(3)],
+            pa.nulls(len(kept), pa.binary())], names)
+        if us := [x for x in us if len(x)]:
+            pairs = np.unique(np.concatenate(us) * len(sid) + np.concatenate(vs))
+            u, v = edges_of([pairs // len(sid)], [pairs % len(sid)], sid)
+            # Dealt by the set's own identity, so evenly.
+            zeros = pa.array(np.zeros(len(u), np.int64))
+            spread = np.frombuffer(b"".join(x[:8] for x in u.to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(spread), zeros, u, zeros.cast(pa.int32()), zeros, zeros, zeros, v], names)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least ``rows``, but for the last."""
+    held, count = [], 0
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, count = [], 0
+    if count:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def candidate_edges(
+    batches: Iterator[pa.RecordBatch], depth: int, most: int, leaders: int
+) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) that hang the candidates below every prefix together; rows come sorted by label.
+
+    The rows of the prefix at hand are held until its end. Beyond ``leaders`` rows the leaders reach
+    farther until half as many are left, so memory is bounded; what is compared in the end only grows by it.
+    """
+    held: pa.Table | None = None
+    reach = np.empty(0, np.int64)
+
+    def sketches(table: pa.Table) -> np.ndarray:
+        return np.stack([table.column(i).to_numpy() for i in (4, 5, 6)], axis=1).view(np.uint64)
+
+    def edges(table: pa.Table, us: np.ndarray, vs: np.ndarray) -> pa.RecordBatch:
+        u, v = edges_of([us], [vs], table.column(2).combine_chunks())
+        return pa.RecordBatch.from_arrays([u, v], ["u", "v"])
+
+    def walked(table: pa.Table, reach: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key = table.column(0).to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        tails, values = table.column(1).to_numpy(), sketches(table)
+        a = cuts[:-1][np.diff(cuts) == 2]  # most prefixes with company have two rows
+        near = np.bitwise_count(values[a] ^ values[a + 1]).sum(axis=1) <= most + reach[a] + reach[a + 1]
+        us, vs = [a[near] + 1], [a[near]]
+        many = np.flatnonzero(np.diff(cuts) > 2)
+        for a, b in zip(cuts[many], cuts[many + 1]):
+            label = walk(tails[a:b], values[a:b], reach[a:b], depth, most)
             other = np.flatnonzero(label != np.arange(b - a))
             us.append(other + a)
             vs.append(label[other] + a)
-        if us:
+        if sum(map(len, us)):
+            yield edges(table, np.concatenate(us), np.concatenate(vs))
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        known = table.filter(table.column(7).is_valid())
+        if known.num_rows:
             yield pa.RecordBatch.from_arrays(
-                [sid.take(pa.array(np.concatenate(us))), sid.take(pa.array(np.concatenate(vs)))], ["u", "v"])
+                [known.column(2).combine_chunks(), known.column(7).combine_chunks()], ["u", "v"])
+        table = table.filter(table.column(7).is_null())
+        if not table.num_rows:
+            continue
+        reach = np.concatenate([reach, table.column(3).to_numpy().astype(np.int64)])
+        held = pa.concat_tables([held, table]) if held is not None else table
+        key = held.column(0).to_numpy()
+        last = int(np.searchsorted(key, key[-1]))  # rows before it belong to prefixes that have ended
+        if last:
+            yield from walked(held.slice(0, last), reach[:last])
+            held, reach = held.slice(last), reach[last:]
+        tight = TIGHT
+        if held.num_rows > leaders:
+            while held.num_rows > leaders // 2:
+                leader, reach = led(sketches(held), reach, tight)
+                stays = leader == np.arange(len(leader))
+                other = np.flatnonzero(~stays)
+                if len(other):
+                    yield edges(held, other, leader[other])
+                held, reach = held.take(pa.array(np.flatnonzero(stays))), reach[stays]
+                tight *= 2
+    if held is not None and held.num_rows:
+        yield from walked(held, reach)
 
 
 def sets_for_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,11 +433,13 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = REC
     lone = marked.where("n = 0")
     sets = checkpointed(marked.where("n > 0").groupBy("sid").agg(
         F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "row")).alias("first"),
-        F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+        F.first("keys").alias("keys"), F.first("tails").alias("tails"), F.first("sketch").alias("sketch")))
 
-    rows = sets.select(F.explode("keys").alias("key"), "sid", *[F.col("sketch")[i].alias(f"s{i}") for i in range(3)])
-    edges = rows.repartition("key").sortWithinPartitions("key").mapInArrow(
-        lambda batches: candidate_edges(batches, most), "u binary, v binary")
+    slice_of, leaders = SLICE, LEADERS
+    labels = sets.select("sid", "keys", "tails", "sketch").mapInArrow(
+        lambda batches: leading(batches, slice_of), LABELS)
+    edges = labels.repartition("key").sortWithinPartitions("key", "tail").mapInArrow(
+        lambda batches: candidate_edges(batches, depth, most, leaders), "u binary, v binary")
     clusters = checkpointed(components(edges).select(F.col("node").alias("sid"), F.col("component").alias("cluster")))
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
     # The text of a set is looked up by the doc_id of its first document.
