@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -36,7 +37,6 @@ TIGHT = 6  # sketch bits within which a set is left to a leader
 SLICE = 8_192  # sets whose labels are sorted before the shuffle
 LEADERS = 8_192  # leaders held of one prefix; beyond it they reach farther
 COLUMNS = 4_096  # shingles multiplied at a time
-WORD_CACHE = 400_000
 
 _rng = np.random.default_rng(9_041)
 MULTIPLIERS = _rng.integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,47 +75,50 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
+def runs_of(h: np.ndarray, width: int) -> np.ndarray:
+    """Hash of every run of this many words."""
+    total = np.full(max(0, len(h) - width + 1), width, np.uint64)
+    for i in range(width):
+        total += mixed(h[i:len(total) + i] * PLACES[i])
+    return mixed(total)
 
-SPACES = str.maketrans("\t\n\v\f\r", "     ")
 
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Of each text the sorted distinct hashes of its runs of five words.
 
-def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the runs of five words; of all words if there are fewer; none without a word."""
-    words = [w for w in (text or "").translate(SPACES).split(" ") if w]
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    width = min(WORDS, len(h))
-    total = np.zeros(len(h) - width + 1, np.uint64)
-    for i in range(width):
-        total += mixed(h[i:len(h) - width + 1 + i] * PLACES[i])
-    return np.unique(mixed(total + np.uint64(width)))
+    A text of fewer words has one run of all its words; a text without a word, or null, has none.
+    Words are told apart for all texts together, so each distinct word is hashed once.
+    """
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    words = split.flatten()
+    told = words.dictionary_encode()
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, told.dictionary.to_numpy(zero_copy_only=False)), np.uint64)
+    there = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at an end leaves an empty one
+    h = hashed[told.indices.to_numpy()][there]
+    ends = np.concatenate([[0], np.cumsum(there)])[np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]
+    runs, start = runs_of(h, WORDS), 0
+    for end in ends.tolist():
+        yield np.unique(runs[start:end - WORDS + 1] if end - start >= WORDS else runs_of(h[start:end], end - start)) \
+            if end > start else np.empty(0, np.uint64)
+        start = end
 
 
 def minimum_hashes(x: np.ndarray, count: int) -> np.ndarray:
-    least = np.full(count, 2**32 - 1, np.uint32)
-    for at in range(0, len(x), 512):
-        part = (MULTIPLIERS[:count, None] * x[None, at:at + 512] + SHIFTS[:count, None]) >> np.uint64(32)
-        np.minimum(least, part.min(axis=1).astype(np.uint32), out=least)
-    return least
+    least = np.full(count, 2**64 - 1, np.uint64)
+    for at in range(0, len(x), 256):
+        part = MULTIPLIERS[:count, None] * x[None, at:at + 256]
+        part += SHIFTS[:count, None]
+        np.minimum(least, part.min(axis=1), out=least)
+    return (least >> np.uint64(32)).astype(np.uint32)
 
 
 def signed(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
     """Identity of the set, label in every tree (prefix of the least depth, and the rest), and sketch, for each document."""
-    hashes = WordHashes()
     trees, count = np.arange(TREES, dtype=np.uint64), max(TREES * DEPTH, SKETCH)
     bits_kept = np.uint64(tail_bits(depth))
     for batch in slices(batches, 1_000):
         sids, sizes, keys, tails, sketches = [], [], [], [], []
-        for text in batch.column(2).to_pylist():
-            x = shingles(text, hashes)
+        for x in shingle_sets(batch.column(2)):
             sids.append(xxhash.xxh3_128_digest(x.tobytes()))
             sizes.append(len(x))
             if len(x):
@@ -349,11 +352,11 @@ def candidate_edges(
 
 def sets_for_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingles of every candidate, once for each tile of its group; texts of other sets are dropped."""
-    hashes = WordHashes()
     for batch in slices(batches, 64):
         rows = []
-        for text, sid, cluster, copies, blocks in zip(*(c.to_pylist() for c in batch.columns)):
-            x = shingles(text, hashes).tobytes()
+        sets = shingle_sets(batch.column(0))
+        for x, sid, cluster, copies, blocks in zip(sets, *(c.to_pylist() for c in batch.columns[1:])):
+            x = x.tobytes()
             if xxhash.xxh3_128_digest(x) != sid:
                 continue  # another text with the same doc_id
             block = int.from_bytes(sid[:6], "little") % blocks
