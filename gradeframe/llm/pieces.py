@@ -27,8 +27,8 @@ import pyarrow.compute as pc
 
 CACHE_ENTRIES = 1_000_000
 CACHE_IDS = 16_000_000  # ids held by a cache
-ASKED = 50_000  # pieces asked at a time
-PART = 16 << 20  # bytes of text cut at a time; a longer text is a part of its own
+ASKED = 4_096  # pieces asked at a time
+PART = 2 << 20  # bytes of text cut at a time; a longer text is a part of its own
 
 OTHER, LETTER, DIGIT, MARK, SPACE = range(5)
 CLASSES = np.zeros(256, np.uint8)
