@@ -793,6 +793,7 @@ FROM failed"""
 ORACLES["tool_exists_table"] = ORACLES["tool_exists"]
 ORACLES["cosine_pct_table"] = ORACLES["cosine_by_terms"]
 ORACLES["result_sink"] = ORACLES["cosine_verdict"]
+ORACLES["judge_verdict_by_key"] = ORACLES["judge_verdict"]
 ORACLES["reply_source"] = f"""
 WITH {ATTEMPTS} SELECT pair_id, model, CAST(attempt_no AS INTEGER) AS attempt_no, CAST(http_status AS INTEGER) AS http_status,
   retry_after, body FROM replies"""

@@ -15,7 +15,7 @@ from ..session import CHECKPOINT_KEY, shared_folder
 from ..sources import schemas
 from ..sources.files import with_document_text
 from ..sources.schemas import conform
-from ..sources.tables import once_delivered, read_replies, write_results
+from ..sources.tables import once_delivered, read_replies, write_by_key, write_results
 from . import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -295,19 +295,38 @@ def reason_lines(spark, folder):
     return fixtures.documents(spark, folder).select("doc_id", F.posexplode(lines).alias("pos", "line"))
 
 
-@query
-def judge_verdict(spark, folder):
-    """Requests joined with their replies: the thresholds come from the first, the scores from the second."""
+def _judge_sides(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Requests with their thresholds, and the scores of their replies."""
     judged = _judged(spark, folder).select(
         F.col("doc_id").cast("string").alias("pair_id"), "judge_score", "reason"
     )
-    verdict = replies.judge_pairs(_judge_inputs(spark, folder), judged)
+    return _judge_inputs(spark, folder), judged
+
+
+def _verdict_columns(verdict: DataFrame) -> DataFrame:
     return verdict.select(
         "pair_id", "judge_score", "threshold", F.size("reason_lines").cast("bigint").alias("n_lines"),
         "status", "error_kind", "message",
     )
 
 
+@query
+def judge_verdict(spark, folder):
+    """Requests joined with their replies: the thresholds come from the first, the scores from the second."""
+    return _verdict_columns(replies.judge_pairs(*_judge_sides(spark, folder)))
+
+
+@query
+def judge_verdict_by_key(spark, folder):
+    """The same over two tables that lie by key, as a service that judges again and again would keep them."""
+    buckets, run = int(spark.conf.get("spark.sql.shuffle.partitions")), uuid.uuid4().hex
+    sides = [
+        write_by_key(side, f"{name}_{run}", buckets, path=_folder(spark, name))
+        for name, side in zip(("requests", "judged"), _judge_sides(spark, folder))
+    ]
+    return _verdict_columns(replies.judge_pairs(*sides))
+
+
 # --- attempts -------------------------------------------------------------------------
 
 

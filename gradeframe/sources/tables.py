@@ -1,4 +1,4 @@
-"""Request sink, reply source and result sink."""
+"""Request sink, reply source, result sink, and tables that lie by key."""
 
 from __future__ import annotations
 
@@ -42,3 +42,18 @@ def once_delivered(replies: DataFrame, received_at: str, delay: str = "1 hour",
 def write_results(results: DataFrame, path: str) -> None:
     """Results as parquet, one folder per status."""
     results.write.mode("errorifexists").partitionBy("status").parquet(path)
+
+
+def write_by_key(table: DataFrame, name: str, buckets: int, key: str = "pair_id", path: str | None = None) -> DataFrame:
+    """The table in ``buckets`` files by the hash of ``key``, under ``name`` in the catalogue.
+
+    Tables of one key and one number of buckets are joined on it without a shuffle, however often that is done;
+    requests and their replies are such a pair. Rows are dealt by key before they are written, so a bucket is one
+    file; its size is that of the table by ``buckets``, as long as no single key holds more. Without ``path`` the
+    table goes to the warehouse. A name that is taken is an error.
+    """
+    writer = table.repartition(buckets, key).write.bucketBy(buckets, key).mode("errorifexists")
+    if path:
+        writer = writer.option("path", path)
+    writer.format("parquet").saveAsTable(name)
+    return table.sparkSession.table(name)

@@ -3,6 +3,7 @@ import json
 import pytest
 
 from gradeframe.operators import replies
+from gradeframe.sources.tables import write_by_key
 
 S, R = "Similarity Confidence Score", "Reason for Score"
 
@@ -133,3 +134,27 @@ def test_filter_on_a_parsed_column_does_not_copy_the_parse(spark):
     judged = replies.check_judge_schema(replies.parse_chat(frame)).where("error_class is null")
     plan = judged._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") == 2  # envelope and reply
+
+
+def test_tables_by_key_meet_without_a_shuffle(spark, tmp_path):
+    asked = spark.range(500).selectExpr(
+        "cast(id as string) pair_id", "cast(60 + id % 40 as int) threshold",
+        "if(id % 50 = 0, 'no text', cast(null as string)) input_error")
+    # Replies lack some pairs and have some that nobody asked for.
+    judged = spark.range(100, 600).selectExpr(
+        "cast(id as string) pair_id", "cast(id % 101 as int) judge_score", "'line' reason")
+    plain = sorted(map(str, replies.judge_pairs(asked, judged).collect()))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    names = ("asked_by_key", "judged_by_key")
+    try:
+        sides = [write_by_key(t, n, 5, path=str(tmp_path / n)) for t, n in zip((asked, judged), names)]
+        verdict = replies.judge_pairs(*sides)
+        plan = verdict._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert sorted(map(str, verdict.collect())) == plain and len(plain) == 500
+        assert all(len(list((tmp_path / n).glob("*.parquet"))) == 5 for n in names)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
