@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scores, text
 from ..functions.stem import stem_tokens, stem_words
@@ -152,38 +152,57 @@ def with_cosine_verdict(pairs: DataFrame, stopwords: Iterable[str] | DataFrame)
     )
 
 
-def exploded_terms(pairs: DataFrame, key: str) -> DataFrame:
-    """Long form of both sides' cleaned tokens in one pass over the pairs: term, e and a.
+def counted_terms(pairs: DataFrame, key: str) -> DataFrame:
+    """Long form of both sides' cleaned tokens, counted in the pair's own row: term, e and a.
 
-    Each pair adds one row with an empty term whose counts are 1 where a text is present, so a pair
-    without tokens is not lost.
+    The tokens of both sides are sorted as one array, those of the actual text with a space behind them, so equal
+    tokens lie in runs and the two runs of a term side by side. No table of terms is kept. Each pair adds one row
+    with an empty term whose counts are 1 where a text is present, so a pair without tokens is not lost.
     """
+    def tokens(column: str) -> Column:
+        return F.coalesce(text.clean_tokens(F.col(column), []), F.array().cast("array<string>"))
 
     def row(term: Column, e: Column, a: Column) -> Column:
-        return F.struct(term.alias("term"), e.alias("e"), a.alias("a"))
+        return F.struct(term.alias("term"), e.cast("bigint").alias("e"), a.cast("bigint").alias("a"))
 
-    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    def after(t: Column) -> Column:
+        return F.concat(t, F.lit(" "))
 
-    def side(column: str, e: Column, a: Column) -> Column:
-        tokens = F.coalesce(text.clean_tokens(F.col(column), []), F.array().cast("array<string>"))
-        return F.transform(tokens, lambda t: row(t, e, a))
+    def run(first: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("_start", k + 1), F.size("_tokens"))
+        return F.struct(F.get("_tokens", first).alias("token"), (end - first).alias("n"))
 
-    present = row(F.lit(""), F.col("expected").isNotNull().cast("bigint"), F.col("actual").isNotNull().cast("bigint"))
-    rows = [F.array(present), side("expected", one, zero), side("actual", zero, one)]
-    return pairs.select(key, F.inline(F.concat(*rows)))
+    def term(found: Column, k: Column) -> Column:
+        before, behind = F.get("_runs", k - 1), F.get("_runs", k + 1)
+        both = behind["token"].eqNullSafe(after(found["token"]))
+        return (
+            F.when(~found["token"].endswith(" "), row(found["token"], found["n"], F.when(both, behind["n"]).otherwise(0)))
+            .when(~after(before["token"]).eqNullSafe(found["token"]), row(F.rtrim(found["token"]), F.lit(0), found["n"]))
+        )
+
+    rows = evaluate_once(
+        pairs.select(key, "expected", "actual"), drop=("expected", "actual"),
+        _present=row(F.lit(""), F.col("expected").isNotNull(), F.col("actual").isNotNull()),
+        _tokens=F.sort_array(F.concat(tokens("expected"), F.transform(tokens("actual"), after))),
+    )
+    first = F.transform("_tokens", lambda t, i: F.when(~t.eqNullSafe(F.get("_tokens", i - 1)), i))
+    rows = evaluate_once(rows, _start=F.filter(first, lambda i: i.isNotNull()))
+    rows = evaluate_once(rows, drop=("_tokens", "_start"), _runs=F.transform("_start", run))
+    terms = F.filter(F.transform("_runs", term), lambda t: t.isNotNull())
+    return rows.select(key, F.inline(F.concat(F.array("_present"), terms)))
 
 
 def cosine_by_terms(pairs: DataFrame, stopwords: DataFrame, key: str = "pair_id") -> DataFrame:
     """Cosine as joins and aggregates, for a stopword table of any length.
 
-    Counts are combined on ``(key, term)`` first: a pair's tokens meet in the
-    task that reads the pair, so repeats never reach the shuffle, and a hot term
-    costs one row per pair before the stopword join. ``key`` names one pair.
+    Counts are combined on ``(key, term)`` first, in the pair's own row, so a hot term costs one row per pair
+    before the stopword join and a task holds the terms of one pair. ``key`` names one pair; rows that share a
+    key count as one pair, and only theirs are aggregated on ``(key, term)``.
     """
-    counts = (
-        exploded_terms(pairs, key)
-        .groupBy(key, "term")
-        .agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
+    rows = pairs.select(key, "expected", "actual").withColumn("_rows", F.count("*").over(Window.partitionBy(key)))
+    shared = counted_terms(rows.where("_rows > 1"), key).groupBy(key, "term")
+    counts = counted_terms(rows.where("_rows = 1"), key).unionByName(
+        shared.agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
     )
     kept = drop_stopwords(counts, stopwords.where("word <> ''"))
     marker = F.col("term") == ""

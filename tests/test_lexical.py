@@ -4,7 +4,7 @@ import re
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from gradeframe.functions.stem import porter_stem
 from gradeframe.functions.stopwords import BASE
@@ -128,6 +128,31 @@ def test_term_form_equals_row_form(spark, random_pairs, pairs):
         assert by_id(lexical.cosine_by_terms(frame, words), "cosine") == by_id(lexical.with_cosine(frame, BASE), "cosine")
 
 
+def test_terms_are_counted_in_the_row(spark):
+    rows = [("p", "Red car, red bus 7 12", "bus red-cart car's car"), ("q", None, "a b"), ("r", "", "caf\u00e9 caf"), (None, "x", None)]
+    got = lexical.counted_terms(spark.createDataFrame(rows, SCHEMA), "pair_id").collect()
+    assert sorted(got, key=str) == sorted([
+        ("p", "", 1, 1), ("p", "red", 2, 1), ("p", "car", 1, 2), ("p", "bus", 1, 1), ("p", "12", 1, 0), ("p", "cart", 0, 1),
+        ("q", "", 0, 1), ("r", "", 1, 1), ("r", "caf", 0, 2), (None, "", 1, 0)], key=lambda r: str(lexical_row(r)))
+
+
+def lexical_row(values):
+    return Row(pair_id=values[0], term=values[1], e=values[2], a=values[3])
+
+
+def test_only_rows_that_share_a_key_are_aggregated_by_term(spark):
+    rows = [("p", "red car", "red bus"), ("p", "red", None), ("q", "red", "red car"), (None, "a b", "ox"), (None, "ox", "ox")]
+    frame, words = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([("the",)], "word string")
+    scored = lexical.cosine_by_terms(frame, words)
+    got = by_id(scored, "cosine")
+    assert set(got) == {"p", "q", None} and got[None] == (1.0,)      # rows of one key count as one pair
+    assert got["p"][0] == pytest.approx(2 / math.sqrt(5 * 2)) and got["q"][0] == pytest.approx(1 / math.sqrt(2))
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    above, below = re.split(r"Aggregate \[pair_id#\d+, term#\d+\].*\n", plan)  # one such table, over few rows
+    shared = re.compile(r"Filter \(_rows#\d+L > 1\)")
+    assert shared.search(below) and not shared.search(above)
+
+
 def test_cosine_is_symmetric_and_bounded(random_pairs):
     frame = random_pairs[1]
     swapped = frame.selectExpr("pair_id", "actual AS expected", "expected AS actual")
