@@ -4,16 +4,20 @@ The algorithm is the published one (M. F. Porter, "An algorithm for suffix
 stripping", 1980) with its author's later revisions: ``bli`` and ``logi`` in
 the second step, and words of one or two letters left alone.
 
-It is the one Python function of the package. Spark hands over Arrow batches;
-each batch is dictionary-encoded, so a word is stemmed once per batch however
-often it occurs, and nothing is shuffled.
+It is the one Python step of the package. Spark hands over Arrow batches; they
+are worked on in slices of bounded token count, each dictionary-encoded, and a
+task remembers the words it met, so memory does not follow the length of texts
+and a common word is stemmed once. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import re
 import sys
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
@@ -133,12 +137,34 @@ def porter_stem(word: str) -> str:
     return _tidy_end(_drop_step_4(word))
 
 
-def _stem_values(values: pa.Array) -> pa.Array:
-    coded = values.dictionary_encode()
-    words = coded.dictionary.cast(pa.string())
+# Bounds of a task: tokens worked on at once (or one row, if it has more), and words remembered with their stems.
+SLICE_TOKENS, WORDS_KEPT = 1 << 20, 1 << 17
+
+
+def _stems_of(words: pa.Array, stem: Callable[[str], str]) -> pa.Array:
     changing = pc.match_substring_regex(words, _ANY_ENDING)
-    stems = pa.array([porter_stem(w) for w in words.filter(changing).to_pylist()], pa.string())
-    return pc.replace_with_mask(words, changing, stems).take(coded.indices)
+    stems = pa.array([stem(w) for w in words.filter(changing).to_pylist()], pa.string())
+    return pc.replace_with_mask(words, changing, stems)
+
+
+def _stem_values(values: pa.Array, stem: Callable[[str], str] = porter_stem) -> pa.Array:
+    coded = values.dictionary_encode()
+    return _stems_of(coded.dictionary.cast(pa.string()), stem).take(coded.indices)
+
+
+def _ends(tokens: pa.Array) -> np.ndarray:
+    """Where each row's tokens end, counted from the first row; 0 ahead of them."""
+    counts = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+
+
+def _slices(tokens: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold ``SLICE_TOKENS`` at most, or one row."""
+    ends, start = _ends(tokens), 0
+    while start < len(tokens):
+        stop = int(np.searchsorted(ends, ends[start] + SLICE_TOKENS, "right")) - 1
+        yield start, max(stop, start + 1)
+        start = max(stop, start + 1)
 
 
 @F.arrow_udf(T.StringType())
@@ -148,9 +174,11 @@ def stem_words(words: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
-def stem_tokens(tokens: pa.Array) -> pa.Array:
+def stem_tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Stem of each token of an array column, order and repeats kept."""
-    stems = _stem_values(tokens.flatten())
-    counts = tokens.value_lengths().fill_null(0)
-    offsets = pa.concat_arrays([pa.array([0], pa.int64()), pc.cumulative_sum(counts.cast(pa.int64()))])
-    return pa.ListArray.from_arrays(offsets.cast(pa.int32()), stems, mask=tokens.is_null())
+    stem = lru_cache(WORDS_KEPT)(porter_stem)
+    for batch in batches:
+        for start, stop in _slices(batch):
+            tokens = batch.slice(start, stop - start)
+            ends = pa.array(_ends(tokens), pa.int32())
+            yield pa.ListArray.from_arrays(ends, _stem_values(tokens.flatten(), stem), mask=tokens.is_null())

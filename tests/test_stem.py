@@ -1,6 +1,8 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from gradeframe.functions import stem
 from gradeframe.functions.stem import porter_stem, stem_tokens
 from gradeframe.operators import lexical
 
@@ -45,6 +47,19 @@ def test_arrays_keep_order_repeats_nulls_and_empties(spark):
     assert got == {1: ["run", "run", "run"], 2: [], 3: None, 4: ["cat"]}
 
 
+def test_work_is_bounded_by_tokens(spark, monkeypatch):
+    rows = [["running", "runs"] * 3, [], None, ["cats"] * 9, ["dogs", "cats"], ["ponies"], []]
+    tokens = pa.array(rows[:1] + rows, pa.list_(pa.string())).slice(1)
+    wanted = [r if r is None else [porter_stem(w) for w in r] for r in rows]
+    monkeypatch.setattr(stem, "SLICE_TOKENS", 6)
+    parts = list(stem._slices(tokens))
+    assert parts == [(0, 3), (3, 4), (4, 7)]                     # a row with more tokens than the bound stands alone
+    assert [len(p) for p in stem.stem_tokens.func(iter([tokens]))] == [3, 1, 3]
+    assert [r for p in stem.stem_tokens.func(iter([tokens])) for r in p.to_pylist()] == wanted
+    frame = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "id int, t array<string>").coalesce(1)
+    assert [r.s for r in frame.select("id", stem_tokens("t").alias("s")).sort("id").collect()] == wanted
+
+
 def test_order_of_tests(spark):
     # "being" is a stopword as written; "as" as a stem would be one, but is tested before stemming
     frame = spark.createDataFrame([("being asing its x tses",)], "text string")
