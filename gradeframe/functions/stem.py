@@ -139,6 +139,7 @@ def porter_stem(word: str) -> str:
 
 # Bounds of a task: tokens worked on at once (or one row, if it has more), and words remembered with their stems.
 SLICE_TOKENS, WORDS_KEPT = 1 << 20, 1 << 17
+_SIDES = ["first", "other", "both"]
 
 
 def _stems_of(words: pa.Array, stem: Callable[[str], str]) -> pa.Array:
@@ -182,3 +183,39 @@ def stem_tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             tokens = batch.slice(start, stop - start)
             ends = pa.array(_ends(tokens), pa.int32())
             yield pa.ListArray.from_arrays(ends, _stem_values(tokens.flatten(), stem), mask=tokens.is_null())
+
+
+def _squares(tokens: pa.Array, n_first: np.ndarray, stem: Callable[[str], str]) -> list[np.ndarray]:
+    """Per row: sums of squared counts of the stems of its first tokens, of the others, and of all."""
+    ends, coded = _ends(tokens), tokens.flatten().dictionary_encode()
+    stems = _stems_of(coded.dictionary.cast(pa.string()), stem)
+    long = pc.greater(pc.utf8_length(stems), 1).to_numpy(zero_copy_only=False)
+    stems = stems.dictionary_encode()
+    place = coded.indices.to_numpy(zero_copy_only=False)
+    code = stems.indices.to_numpy(zero_copy_only=False).astype(np.int64)[place]
+    row = np.repeat(np.arange(len(tokens)), np.diff(ends))
+    second = np.arange(ends[-1]) >= (ends[:-1] + n_first)[row]
+    keys, counts = np.unique(((row * max(len(stems.dictionary), 1) + code) * 2 + second)[long[place]], return_counts=True)
+    row = keys // (2 * max(len(stems.dictionary), 1))
+    first, other, dot = (np.zeros(len(tokens), np.int64) for _ in range(3))
+    np.add.at(first, row[keys % 2 == 0], counts[keys % 2 == 0] ** 2)
+    np.add.at(other, row[keys % 2 == 1], counts[keys % 2 == 1] ** 2)
+    met = np.flatnonzero(keys[1:] // 2 == keys[:-1] // 2)  # both sides of a stem stand side by side
+    np.add.at(dot, row[met], counts[met] * counts[met + 1])
+    return [first, other, first + other + 2 * dot]
+
+
+@F.arrow_udf(T.StructType([T.StructField(side, T.LongType()) for side in _SIDES]))
+def stem_squares(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Squared norms of two bags of stems of two characters and more, and of their union.
+
+    The bags come as one array of tokens and the number of those that belong to the first. Null for a null array.
+    """
+    stem = lru_cache(WORDS_KEPT)(porter_stem)
+    for tokens, n_first in batches:
+        for start, stop in _slices(tokens):
+            part = tokens.slice(start, stop - start)
+            none = part.is_null()
+            firsts = n_first.slice(start, stop - start).fill_null(0).to_numpy(zero_copy_only=False)
+            sums = [pc.if_else(none, None, pa.array(x)) for x in _squares(part, firsts, stem)]
+            yield pa.StructArray.from_arrays(sums, _SIDES)

@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scores, text
-from ..functions.stem import stem_tokens, stem_words
+from ..functions.stem import stem_squares, stem_tokens, stem_words
 from ..functions.stopwords import as_literals, drop_stopwords
 from .staging import evaluate_once
 
@@ -86,7 +86,7 @@ def with_cosine(pairs: DataFrame, stopwords: Iterable[str] | DataFrame) -> DataF
 def with_stemmed_cosine(pairs: DataFrame, stopwords: Stopwords = None) -> DataFrame:
     """Adds ``cosine`` over stemmed tokens: stopword test, then stem, then length test.
 
-    Both sides go to Python as one array, so a word they share is stemmed once.
+    Both sides go to Python as one array, so a word they share is stemmed once, and the squared norms come back.
     """
     words = as_literals(stopwords)
     tokens = evaluate_once(
@@ -94,12 +94,14 @@ def with_stemmed_cosine(pairs: DataFrame, stopwords: Stopwords = None) -> DataFr
         _expected=text.without(text.class_tokens(F.col("expected")), words),
         _actual=text.without(text.class_tokens(F.col("actual")), words),
     )
-    stems = evaluate_once(
-        tokens.withColumn("_stems", stem_tokens(F.concat("_expected", "_actual"))), drop=("_stems",),
-        _expected=text.drop_short(F.slice("_stems", 1, F.size("_expected"))),
-        _actual=text.drop_short(F.slice("_stems", F.size("_expected") + 1, F.size("_actual"))),
+    squares = evaluate_once(
+        tokens, drop=("_expected", "_actual"),
+        _squares=stem_squares(F.concat("_expected", "_actual"), F.size("_expected")),
+    )
+    return evaluate_once(
+        squares, drop=("_squares",),
+        cosine=scores.cosine_from_squares(*[F.col(f"_squares.{side}") for side in ("first", "other", "both")]),
     )
-    return _cosine_of(stems)
 
 
 def stemmed(column: Column, words: list[Column]) -> Column:

@@ -60,6 +60,23 @@ def test_work_is_bounded_by_tokens(spark, monkeypatch):
     assert [r.s for r in frame.select("id", stem_tokens("t").alias("s")).sort("id").collect()] == wanted
 
 
+def test_squared_norms_of_stems(monkeypatch):
+    rows = [(["runs", "running", "x", "cat"], ["run", "cats", "cat", "dog"]), ([], []), None, ([], ["ied", "ox"]), (["ox"] * 5, ["oxes"])]
+    tokens = pa.array([r and r[0] + r[1] for r in rows], pa.list_(pa.string()))
+    sizes = pa.array([r and len(r[0]) for r in rows], pa.int32())
+    wanted = [(5, 6, 19), (0, 0, 0), (None, None, None), (0, 1, 1), (25, 1, 36)]  # run 2 1, cat 1 2, dog 0 1; "i" is too short
+    for bound in (1, 4, 1 << 20):
+        monkeypatch.setattr(stem, "SLICE_TOKENS", bound)
+        got = [r for part in stem.stem_squares.func(iter([(tokens, sizes)])) for r in part.to_pylist()]
+        assert [tuple(r.values()) for r in got] == wanted
+
+
+def test_stemmed_cosine_does_not_fold_tokens_in_lambdas(spark):
+    frame = spark.createDataFrame([("a cat", "a dog")], "expected string, actual string")
+    plan = lexical.with_stemmed_cosine(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array" not in plan and "aggregate(" not in plan
+
+
 def test_order_of_tests(spark):
     # "being" is a stopword as written; "as" as a stem would be one, but is tested before stemming
     frame = spark.createDataFrame([("being asing its x tses",)], "text string")
